@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedge.llm.curve_packing import op1_curve_packing
+from sedge.llm.piece_codec import op4_piece_codec
 from sedge.llm.substring_dedup import op3_substring_dedup
 from sedge.llm.suffix_dedup import op7_suffix_dedup
 from sedge.shipping import ship
 
-_ALL = [op3_substring_dedup, op7_suffix_dedup]
+_ALL = [op1_curve_packing, op4_piece_codec, op3_substring_dedup, op7_suffix_dedup]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
