@@ -10,6 +10,7 @@ from sedge.llm.curve_packing import op1_curve_packing
 from sedge.llm.embedding_dedup import op9_embedding_dedup
 from sedge.llm.language_id import op10_language_id
 from sedge.llm.media_columns import op8_media_columns
+from sedge.llm.minhash_dedup import op6_minhash_dedup
 from sedge.llm.piece_codec import op4_piece_codec
 from sedge.llm.quality_crf import op5_quality_crf
 from sedge.llm.secret_scan import op2_secret_scan
@@ -17,7 +18,7 @@ from sedge.llm.substring_dedup import op3_substring_dedup
 from sedge.llm.suffix_dedup import op7_suffix_dedup
 from sedge.shipping import ship
 
-_ALL = [op1_curve_packing, op2_secret_scan, op3_substring_dedup, op4_piece_codec, op5_quality_crf, op7_suffix_dedup, op8_media_columns, op9_embedding_dedup, op10_language_id]
+_ALL = [op1_curve_packing, op2_secret_scan, op3_substring_dedup, op4_piece_codec, op5_quality_crf, op6_minhash_dedup, op7_suffix_dedup, op8_media_columns, op9_embedding_dedup, op10_language_id]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

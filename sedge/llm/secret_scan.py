@@ -19,9 +19,10 @@ from sedge.llm import common as C
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
 #: Maximal runs of so many hex digits are the runs that the contract keeps.
 LONG_HEX = r"[0-9a-f]{24,}"
+#: The same identifiers as spans of 20 characters and more.
+ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
 KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"""(?:https?://[^\s"'<>]+|[a-z0-9.-]+\.(?:amazonaws|example)\.com)"""
 KINDS = ["assign", "access", "hex", "key", "endpoint"]
@@ -54,52 +55,59 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Row per document: doc_id, base and linked (arrays of struct<start, kind, end>, sorted).
+def scan_secrets(docs: DataFrame, scope: int = SCOPE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Row per document: doc_id, base and linked (arrays of struct<start, kind, end>, sorted), and columns to keep.
 
     kind counts in KINDS. A null text is empty and has no spans, as has one without a match.
     Spans of one kind don't overlap; those of different kinds may. Ties at one start go by
     kind. Rows that repeat a doc_id are scanned each. Other columns of docs are ignored.
+
+    Only texts with an access identifier and a weaker part take part in the join; they are
+    written once with their row numbers, all others pass through one projection.
     """
+    text = F.coalesce("text", F.lit(""))
+    kept = [F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *kept)
     text = F.col("text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     assigned = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6)
     access = F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda v: F.length(v) >= 20)
     akia = F.contains(text, F.lit("AKIA"))
-    found = docs.select(
-        "doc_id",
+    mixed = akia & text.rlike(ACCESS_LONG) & (text.rlike(KEY) | text.rlike(ENDPOINT))
+    names = [f"kept_{k}" for k in range(len(keep))]
+    base = [
         _when((F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & text.rlike(ASSIGN), _spans(text, ASSIGN, 0, assigned)).alias("assign"),
         _when(akia, _spans(text, ACCESS, 1, access)).alias("access"),
         _when(text.rlike(LONG_HEX), _spans(text, LONG_HEX, 2)).alias("hex"),
-        _when(akia & text.rlike(KEY), _spans(text, KEY, 3)).alias("key"),
-        _when(akia & text.rlike(ENDPOINT), _spans(text, ENDPOINT, 4)).alias("endpoint"),
-    )
-    found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    found = C.checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    ]
+    together = F.array_sort(F.concat("assign", "access", "hex")).alias("base")
+    plain = docs.filter(~mixed).select("doc_id", *names, *base).select("doc_id", *names, together, F.array().cast(EMPTY).alias("linked"))
 
-    mixed = found.filter((F.size("access") > 0) & (F.size("key") + F.size("endpoint") > 0))
-    spans = lambda *cols: mixed.select("row", F.inline(F.concat(*cols)))
+    weak = [_spans(text, KEY, 3).alias("key"), _spans(text, ENDPOINT, 4).alias("endpoint")]
+    found = docs.filter(mixed).select("doc_id", *names, *base, *weak).select("*", together)
+    found = C.checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    spans = lambda *cols: found.select("row", F.inline(F.concat(*cols)))
     bin_of = F.floor(F.col("start") / scope)
-    near = lambda a, b: (F.greatest(F.col(f"{a}.start"), F.col(f"{b}.start")) - F.least(F.col(f"{a}.end"), F.col(f"{b}.end"))) <= scope
+    last = F.floor((F.col("end") - 1) / scope)
+    near = (F.greatest(F.col("w.start"), F.col("p.start")) - F.least(F.col("w.end"), F.col("p.end"))) <= scope
 
     def linked(weak: DataFrame, part: DataFrame) -> DataFrame:
         """Weak spans with a part of the other kind within the scope.
 
-        A span goes to the bins that it touches and those beside them, a part to the bin of
-        each of its ends; a hit in several bins counts once.
+        A part goes to the bins that it touches, a weak span to those and the ones beside them;
+        a hit in several bins counts once.
         """
-        last = F.floor((F.col("end") - 1) / scope)
         w = weak.withColumn("bin", F.explode(F.sequence(bin_of - 1, last + 1))).alias("w")
         p = part.withColumn("bin", F.explode(F.sequence(bin_of, last))).alias("p")
-        hit = w.join(p, (F.col("w.row") == F.col("p.row")) & (F.col("w.bin") == F.col("p.bin")) & near("w", "p"), "left_semi")
+        hit = w.join(p, (F.col("w.row") == F.col("p.row")) & (F.col("w.bin") == F.col("p.bin")) & near, "left_semi")
         return hit.select("row", "start", "kind", "end").distinct()
 
     ids = spans("access")
     keys = linked(spans("key"), ids)
     ends = linked(linked(spans("endpoint"), ids), keys.unionByName(spans("assign")))
     links = keys.unionByName(ends).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
-    out = found.join(links, "row", "left")
-    return out.select("doc_id", "base", F.coalesce("linked", F.array().cast(EMPTY)).alias("linked"))
+    joined = found.join(links, "row", "left").select("doc_id", *names, "base", F.coalesce("linked", F.array().cast(EMPTY)).alias("linked"))
+    out = plain.unionByName(joined)
+    return out.select("doc_id", "base", "linked", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]) if keep else out
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,28 +123,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each found secret, or part of one, blanked; clean documents stay as they are.
-
-    An assignment loses its value with its name. Texts are cut at the spans' ends and joined
-    again, so whole texts pass through one expression and never move.
-    """
-    return redact(docs)
-
-
 MASK = "[REDACTED]"
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the base kinds replaced by a mask; linked kinds too where a text has an access identifier.
+    """docs with each found span, linked ones included, replaced by one mask; other texts stay as they are.
 
-    Within a text with an access identifier, bare keys anywhere in it are blanked: a superset of
-    the linked ones, so the join is not needed to be safe. Null texts stay null.
+    Spans that overlap share a mask. A null text stays null.
     """
-    text = F.col("text")
-    sub = lambda t, p, by: F.regexp_replace(t, p, by)
-    keyed = F.when(F.contains(text, F.lit("AKIA")) & text.rlike(r"AKIA[A-Z0-9]{16,}"), sub(sub(text, KEY, MASK), r"AKIA[A-Z0-9]{16,}", MASK)).otherwise(text)
-    assigned = F.when((F.contains(keyed, F.lit(":")) | F.contains(keyed, F.lit("="))) & keyed.rlike(ASSIGN), sub(keyed, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "([A-Za-z0-9+/_.=-]{6,})"), MASK)).otherwise(keyed)
-    clean = F.when(assigned.rlike(LONG_HEX), sub(assigned, LONG_HEX, MASK)).otherwise(assigned)
-    out = docs.withColumn("text", clean)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    columns = docs.columns
+    found = scan_secrets(docs.select(F.struct(*[F.col(c) for c in columns]).alias("whole"), "doc_id", "text"), keep=("whole", "text"))
+    text, spans = F.col("text"), F.array_sort(F.concat("base", "linked"))
+    cut = lambda start, end: F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    # a span that starts before the last one's end only moves the end on
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when((s["start"] >= acc["at"]), F.concat(acc["out"], cut(acc["at"], s["start"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
+    )
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text).cast("long"))))
+    out = found.select("whole.*", F.when(F.size(spans) > 0, clean).otherwise(text).alias("clean_text"))
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets and linked parts of credentials masked."""
+    return redact(docs)
