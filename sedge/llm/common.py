@@ -110,7 +110,7 @@ class Rolling:
     """Hashes of any stretch of a sequence of 64-bit units, from one pass of prefix sums."""
 
     def __init__(self, units: np.ndarray):
-        up, self.down = powers(max(len(units), 1))
+        up, self.down = powers(len(units) + 1)
         self.sums = np.zeros(len(units) + 1, U64)
         np.cumsum(units * up[: len(units)], out=self.sums[1:])
 
@@ -142,20 +142,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Rolling(byte_units(data)).at(starts, ends - starts)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """doc_id and UTF-8 text (null: empty) of runs of rows with about limit bytes of text each."""
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
-    for b in batches:
-        docs = b.column("doc_id").to_pylist()
-        for i, t in zip(docs, b.column("text").cast(pa.large_binary()), strict=True):
-            t = t.as_py() or b""
-            if ids and size + len(t) > limit:
-                yield np.array([-1 if x is None else x for x in ids], np.int64), texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-    if ids:
-        yield np.array([-1 if x is None else x for x in ids], np.int64), texts
+def parts(b: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of a batch's rows with about limit bytes of text together, and their texts (null: empty)."""
+    texts = [t.as_py() or b"" for t in b.column("text").cast(pa.large_binary())]
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= limit):
+            size += len(texts[to])
+            to += 1
+        yield b.slice(at, to - at), texts[at:to]
+        at = to

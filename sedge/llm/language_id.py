@@ -105,8 +105,10 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 def fit(texts: dict[str, list[str]], path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and log-free piece probabilities by language (a last row of zeros)."""
     pieces, langs = Pieces(path), sorted(texts)
+    if not langs:
+        return [], np.zeros((pieces.other + 2, 0))
     counts = [Counter(chain.from_iterable(words_of(t) for t in texts[k])) for k in langs]
-    words = sorted(set().union(*counts)) if counts else []
+    words = sorted(set().union(*counts))
     marked = ["▁" + w for w in words]
     weight = np.array([[c[w] for c in counts] for w in words], float).reshape(-1, len(langs))
     groups = [(np.array(ks), pieces.lattice([marked[k] for k in ks])) for ks in by_length(marked).values()]
@@ -154,7 +156,7 @@ class Scorer:
         """Sum over a text's words for each language; nan without a letter."""
         words = [words_of(t) for t in texts]
         known = self.seen.known_for(chain.from_iterable(words))
-        return np.array([np.sum([known[w] for w in ws], axis=0) if ws else np.full(self.p.shape[1], np.nan) for ws in words]).reshape(-1, self.p.shape[1])
+        return np.array([np.sum([known[w] for w in ws], axis=0) if ws else np.full(self.p.shape[1], np.nan) for ws in words]).reshape(len(words), self.p.shape[1])
 
 
 _scorers: dict[int, Scorer] = {}

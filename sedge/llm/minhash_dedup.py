@@ -68,26 +68,13 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (C.mix(h) >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def parts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of a batch with about PART_BYTES of text together."""
-    texts = [t.as_py() or b"" for t in b.column("text").cast(pa.large_binary())]
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= PART_BYTES):
-            size += len(texts[to])
-            to += 1
-        yield b.slice(at, to - at), texts[at:to]
-        at = to
-
-
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by slot, and in all; a fixed 2**SLOT_BITS numbers whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << SLOT_BITS, np.int64), 0
         for b in batches:
-            for part, texts in parts(b):
+            for part, texts in C.parts(b, PART_BYTES):
                 doc, h, *_ = shingles(texts)
                 pair = np.unique(doc.astype(np.int64) << SLOT_BITS | slot(h))
                 df += np.bincount(pair & (1 << SLOT_BITS) - 1, minlength=len(df))
@@ -201,7 +188,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in parts(b):
+            for part, texts in C.parts(b, PART_BYTES):
                 doc, h, n, counts, whole = shingles(texts)
                 which, keys = signatures(doc, h, n * idf.value[slot(h)])
                 rows = [None] * len(texts)
@@ -219,7 +206,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in parts(b):
+            for _, texts in C.parts(b, PART_BYTES):
                 doc, h, n, _, whole = shingles(texts)
                 w = n * idf.value[slot(h)]
                 edges = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()

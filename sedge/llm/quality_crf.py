@@ -23,6 +23,8 @@ from sedge.shipping import ship
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
 STEPS, RATE, DECAY = 150, 0.05, 1e-3
 THRESHOLD = 0.3
+#: Bytes of text that are scored together.
+PART_BYTES = 1 << 20
 
 _SETS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"#$%&*@^~=+\\", b"|", b"<>{}[]()/_", b".,;:?'\"-", b" \t\r", b"aeiou", bytes(range(128, 256))]
 _CLASSES = np.zeros((256, len(_SETS)), bool)
@@ -197,26 +199,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Dat
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column("text").cast(pa.large_binary())]
-            sizes, at = [len(t) for t in texts], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + sizes[to] <= PART_BYTES):
-                    size += sizes[to]
-                    to += 1
-                part = b.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.value.score(texts[at:to]))], names=["doc_id", "held_out", "score"])
-                at = to
+            for part, texts in C.parts(b, PART_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.value.score(texts))], names=["doc_id", "held_out", "score"])
 
     docs = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
     out = docs.mapInArrow(f, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-#: Bytes of text that are scored together.
-PART_BYTES = 1 << 20
-
-
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -234,9 +224,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFra
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [t.as_py() or b"" for t in part.column("text").cast(pa.large_binary())]
+            for part, texts in C.parts(b, PART_BYTES):
                 yield part.filter(pa.array(model.value.score(texts) >= THRESHOLD))
 
     return docs.mapInArrow(f, docs.schema)

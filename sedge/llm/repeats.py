@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedge.llm import common as C
 from sedge.shipping import ship
@@ -326,19 +328,33 @@ class State:
                 yield k + j, hit[begins[j] : begins[j + 1]]
 
 
-def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int, np.ndarray], tuple], chunk_bytes: int = C.TASK_BYTES) -> DataFrame:
-    """One row emit(chunk, k, covered) for each document; see the module's text for the rounds."""
+def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int, np.ndarray], tuple], carry: tuple[str, ...] = (), chunk_bytes: int = C.TASK_BYTES) -> DataFrame:
+    """Row doc_id, emit(chunk, k, covered) for each document; see the module's text for the rounds.
+
+    Columns to carry come back as carried_0, carried_1, ... beside each document; they lie with
+    its chunk meanwhile, so that no join brings them back.
+    """
     spark = docs.sparkSession
     ship(spark)
     size = C.text_bytes(docs)
     n_buckets = C.task_count(spark, size)
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)])
+    carried_fields = docs.schema.fields[2:]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for i, (ids, texts) in enumerate(C.text_batches(batches, chunk_bytes)):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([base + i], pa.int64()), "texts": pa.array([Chunk.pack(ids, texts)], pa.binary())})
+        k = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for part, texts in C.parts(b, chunk_bytes):
+                sink = pa.BufferOutputStream()
+                rest = part.select(carried)
+                with pa.ipc.new_stream(sink, rest.schema) as w:
+                    w.write_batch(rest)
+                blob = Chunk.pack(part.column("doc_id").to_numpy(zero_copy_only=False), texts)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int64()), "texts": pa.array([blob], pa.binary()), "rest": pa.array([C.pack(sink.getvalue().to_pybytes())], pa.binary())})
+                k += 1
 
-    store = C.checkpointed_by(docs.select("doc_id", "text").mapInArrow(chunks, "chunk long, texts binary"), n_buckets, "chunk")
+    store = C.checkpointed_by(docs.mapInArrow(chunks, "chunk long, texts binary, rest binary"), n_buckets, "chunk")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,20 +376,19 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
 
         return f
 
+    out_schema = T.StructType([*T._parse_datatype_string(f"doc_id long, {schema}").fields, *carried_fields])
+
     def last(left: pa.Table, got: pa.Table) -> pa.Table:
-        rows = []
-        for blob in left.column("texts"):
+        tables = []
+        for blob, rest in zip(left.column("texts"), left.column("rest"), strict=True):
             s = State(rule, n_buckets, blob.as_py(), got, 3)
-            rows += [(int(s.chunk.ids[k]), *emit(s.chunk, k, hit)) for k, hit in s.covered(rule)]
-        return arrow(rows)
+            rows = [(int(s.chunk.ids[k]), *emit(s.chunk, k, hit)) for k, hit in s.covered(rule)]
+            own = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(own_schema)]
+            beside = pa.ipc.open_stream(C.unpack(rest.as_py())).read_all()
+            tables.append(pa.table([*own, *[beside.column(n) for n in carried]], names=[*own_schema.names, *carried]))
+        return pa.concat_tables(tables)
 
-    fields = spark.createDataFrame([], f"doc_id long, {schema}").schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(fields)
-
-    def arrow(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow_schema)], schema=arrow_schema)
+    own_schema = to_arrow_schema(T.StructType(out_schema.fields[: len(out_schema) - len(carried)]))
 
     def meet(asked: DataFrame) -> DataFrame:
         return C.checkpointed(asked.groupBy("bucket").applyInArrow(reduce_bucket, ROWS))
@@ -383,9 +398,5 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
     for rounds in (1, 2):
         more = by_chunk.cogroup(got.groupBy("chunk")).applyInArrow(ask(rounds), ROWS)
         got = C.checkpointed(got.unionByName(meet(more)))
-    return by_chunk.cogroup(got.groupBy("chunk")).applyInArrow(last, f"doc_id long, {schema}")
-
+    return by_chunk.cogroup(got.groupBy("chunk")).applyInArrow(last, out_schema)
 
-def null_ids(df: DataFrame) -> DataFrame:
-    """A null doc_id counts as -1, before all others."""
-    return df.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))

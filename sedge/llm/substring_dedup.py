@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import common as C
-from sedge.llm.repeats import Chunk, Rule, null_ids, repeats
+from sedge.llm.repeats import Chunk, Rule, repeats
 
 WINDOW = 13
 GRAM = 5
@@ -37,7 +37,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         kept = list(compress(words, ~hit)) if hit.any() else words
         return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")
 
-    return repeats(null_ids(docs), Rule(True, window, gram), "n_words long, n_removed long, kept string", emit)
+    return repeats(docs, Rule(True, window, gram), "n_words long, n_removed long, kept string", emit)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +45,29 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with the words that remain as text; a text that loses nothing stays as it is.
+
+    Documents that lose all their words go. The other columns lie with the texts meanwhile.
+    """
+
+    def emit(chunk: Chunk, k: int, hit) -> tuple:
+        text = chunk.text(k)
+        if hit.any():
+            text = b" ".join(compress(text.split(), ~hit))
+        return text.decode("utf-8", "replace"), bool(hit.any())
+
+    columns = docs.columns
+    rest = [c for c in columns if c not in ("text", "n_chars")]
+    null = next(n for k in range(len(columns) + 1) if (n := f"text_is_null_{k}") not in columns)
+    whole = docs.withColumn(null, F.col("text").isNull())
+    out = repeats(whole, Rule(True, window, gram), "kept string, changed boolean", emit, carry=(*rest, null))
+    out = out.filter(~F.col("changed") | (F.col("kept") != ""))
+    text = F.when(F.col("changed") | ~F.col(f"carried_{len(rest)}"), F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"carried_{rest.index(c)}").alias(c) for c in columns])
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that remain as their text; those that lose all words go."""
-    kept = remove_repeats(docs).select(F.col("doc_id"), F.col("kept"), F.col("n_removed"))
-    out = docs.join(kept, "doc_id").filter((F.col("n_removed") == 0) | (F.col("kept") != ""))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Documents without the passages that an earlier document has."""
+    return without_repeats(docs)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import common as C
-from sedge.llm.repeats import Chunk, Rule, null_ids, repeats
+from sedge.llm.repeats import Chunk, Rule, repeats
 
 WINDOW = 100
 GRAM = 32
@@ -32,7 +32,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
         return len(text), int(hit.sum()), len(spans), spans.tolist(), np.frombuffer(text, np.uint8)[~hit].tobytes()
 
     schema = "n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
-    return repeats(null_ids(docs), Rule(False, window, gram), schema, emit)
+    return repeats(docs, Rule(False, window, gram), schema, emit)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,141 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sedge.llm import (
+    curve_packing,
+    embedding_dedup,
+    language_id,
+    media_columns,
+    minhash_dedup,
+    piece_codec,
+    quality_crf,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+)
+
+CLASH = "chunk texts node bands place ids row key bucket kind blob component gone_id kept whole held_out score digest html label n links base linked window".split()
+LONG = " ".join(f"w{k * 7919 % 4001}" for k in range(30_000))
+ROWS = [
+    (1, "The quick brown fox. " * 3, "en", "s"),
+    (2, None, None, None),
+    (3, "", "en", "s"),
+    (4, " \n\t ", "en", "s"),
+    (5, LONG, "de", "s"),
+    (6, LONG, "de", "t"),
+    (6, LONG, "de", "t"),
+    (7, "été ▁ 日本語 \x00 token = 'abcdefgh'", "fr", None),
+    (None, "null id", "en", "s"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumns({c: F.lit(c) for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, None, None), (None, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "pack": lambda d, lab: curve_packing.pack_documents(d),
+    "secrets": lambda d, lab: secret_scan.scan_secrets(d),
+    "words": lambda d, lab: substring_dedup.remove_repeats(d),
+    "codec": lambda d, lab: piece_codec.encode_documents(d),
+    "quality": quality_crf.score_quality,
+    "minhash": lambda d, lab: minhash_dedup.near_duplicates(d),
+    "bytes": lambda d, lab: suffix_dedup.remove_repeated_bytes(d),
+    "media": lambda d, lab: media_columns.media_columns(d),
+    "language": lambda d, lab: language_id.identify(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_every_row_has_a_result(docs, labels, name):
+    got = OPERATORS[name](docs, labels).collect()
+    if name == "pack":
+        assert sum(r.length for r in got) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in got}.values())
+        assert {r.doc_id for r in got} == {r[0] for r in ROWS}
+    else:
+        assert len(got) == len(ROWS)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(docs, labels, name):
+    assert OPERATORS[name](docs.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "language"])
+def test_nothing_to_learn_from(docs, labels, name):
+    got = OPERATORS[name](docs.withColumn("lang", F.lit(None).cast("string")), labels.limit(0)).collect()
+    assert len(got) == len(ROWS)
+    assert {r.lang_pred for r in got} == {"und"} if name == "language" else {r.score for r in got} == {0.5}
+
+
+def test_copies_and_empty_texts(docs, labels):
+    got = {}
+    for r in minhash_dedup.near_duplicates(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.class_id)
+    assert got[5] == got[6] == {5} and got[2] == {2} and got[3] == {3} and got[4] == {4}
+    words = {}
+    for r in substring_dedup.remove_repeats(docs).collect():
+        words.setdefault(r.doc_id, []).append(r)
+    assert [r.n_removed for r in words[6]] == [30_000] * 2 and words[5][0].n_removed == 0 and words[3][0].kept == ""
+    spans = {}
+    for r in suffix_dedup.remove_repeated_bytes(docs).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    assert all(r.n_removed == r.n_bytes for r in spans[6]) and spans[2][0].n_bytes == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "minhash", "words", "secrets"])
+def test_stages_keep_the_columns(spark, docs, labels, tmp_path, name):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage = {"quality": quality_crf, "minhash": minhash_dedup, "words": substring_dedup, "secrets": secret_scan}[name].stage
+    for d in (docs, docs.limit(0)):
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and out.dtypes == d.dtypes
+        n = out.count()
+        assert n == 0 if d is not docs else 0 < n <= len(ROWS)
+
+
+def test_stage_removes_secrets(spark, docs, tmp_path):
+    got = [r.text for r in secret_scan.stage(spark, docs, str(tmp_path)).filter("doc_id = 7").collect()]
+    assert got == ["été ▁ 日本語 \x00 [REDACTED]'"]
+
+
+def test_vectors(spark):
+    x = [1.0] + [0.0] * 7
+    y = [1.0, 0.05] + [0.0] * 6
+    rows = [(1, x, 1), (2, y, 1), (3, x, 2), (4, None, 1), (5, [0.0] * 8, 1), (6, [1.0, None], 1), (7, [float("nan")] * 8, 1), (8, [2.0 * v for v in x], 1), (9, x, None), (10, [1.0, 0.0], 1), (1, x, 1), (None, x, 1), (11, [float("inf")] + [0.0] * 7, 1), (12, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(0) for c in ("node", "shard", "shards", "dim", "ok", "links")})
+    got = embedding_dedup.link_vectors(df).collect()
+    assert len(got) == len(rows)
+    by = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert by[1] == (3, 1) and by[2] == (3, 1) and by[8] == (3, 1)
+    assert all(by[k] == (0, k) for k in (3, 4, 5, 6, 7, 9, 10, 11, 12))
+    assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_media_values_depend_on_the_text_alone(docs):
+    got = {}
+    for r in media_columns.media_columns(docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_bytes, r.payload_sha256, r.media_sha256, r.feature))
+    assert got[2] == got[3] and got[5] == got[6]
+    assert next(iter(got[2]))[1] == hashlib.sha256(b"\0" * 64).hexdigest()
+
+
+def test_curve_visits_neighbours():
+    cell = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    key = curve_packing.hilbert(cell, 3)
+    path = cell[np.argsort(key)]
+    assert len(set(key.tolist())) == 512 and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
