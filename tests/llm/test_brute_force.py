@@ -113,12 +113,13 @@ def test_pieces(docs, results):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)))
 
 
-def test_quality(spark, data, results):
+def test_quality(spark, data):
+    data = data.replace("sf0.001", "sf0.01")  # the smallest table has 19 held-out labels only
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    rows = results("op5_quality_crf")
+    rows = queries()["op5_quality_crf"](spark, data).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
 def test_near_duplicates(spark, data, docs, results):
@@ -199,3 +200,31 @@ def test_forward_sums_all_segmentations():
         return out
 
     assert np.allclose(forward(pieces.lattice([word]), p)[0, -1], total(0))
+
+
+def test_words_fall_into_the_tokens_of_the_library():
+    import random
+
+    from sedge.llm.curve_packing import word_coder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rng, letters = random.Random(1), "abXY'sS’Σσς.,!éÉ́Åİıſß123_日本ª²ⅧͅΩǅ'tre llvem|-🙂\x00\x85\xa0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    got = word_coder(path).encode([t.encode() for t in texts])
+    want = [np.array([*e.ids, 1], "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
+
+
+def test_segments_merge_as_in_the_library():
+    import random
+
+    from sedge.llm.piece_codec import agenda
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng, letters = random.Random(2), "ab theing \n\n  ▁é日\x00\t🙂<s>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(5000)]
+    got = [[i for s in ss for i in s[1]] for ss in agenda(path).encode(texts)]
+    assert got == lib.encode(texts)
