@@ -11,6 +11,7 @@ from sedge.llm.embedding_dedup import op9_embedding_dedup
 from sedge.llm.language_id import op10_language_id
 from sedge.llm.media_columns import op8_media_columns
 from sedge.llm.minhash_dedup import op6_minhash_dedup
+from sedge.llm.oracles import ORACLES
 from sedge.llm.piece_codec import op4_piece_codec
 from sedge.llm.quality_crf import op5_quality_crf
 from sedge.llm.secret_scan import op2_secret_scan
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
