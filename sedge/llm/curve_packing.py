@@ -33,6 +33,10 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 BUCKETS, DIMENSIONS, BITS = 256, 3, 10
+#: Punctuation that is a token by itself after letters.
+MARKS = {b".", b",", b"!", b"?", b";", b":"}
+#: Lower case of a whole text looks at this letter's place, that of single letters does not.
+SIGMA = "\u03a3"
 #: Token bytes (two an id) that a range is planned for.
 RANGE_BYTES = 16 << 20
 
@@ -62,13 +66,27 @@ class WordCoder:
         self.last = np.array([vocabulary[c + suffix] for c in names], np.int64)
         self.seen = WordCache(self.encode_words)
 
+    def tokens_of(self, word: bytes) -> list[bytes]:
+        """A normal word's tokens; the pattern is only asked where more than letters and one mark come."""
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1:]]
+        text = word.decode()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            text = text.lower() if SIGMA not in text else "".join([c.lower() for c in text])
+            if text.isalpha():
+                return [text.encode()]
+        else:
+            text = text.lower()
+        return [t.encode() for t in self.tokens.findall(text)]
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """16-bit ids of each word."""
-        texts = [w.decode() for w in words]
-        plain = [t.lower() if t.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", t)]) for t in texts]
-        tokens = [self.tokens.findall(t) for t in plain]
+        tokens = [self.tokens_of(w) for w in words]
         counts = np.array([len(t) for t in tokens], np.int64)
-        data = [t.encode() for t in chain.from_iterable(tokens)]
+        data = list(chain.from_iterable(tokens))
         sizes = np.array([len(d) for d in data], np.int64)
         raw = np.frombuffer(b"".join(data), np.uint8)
         flat = self.inner[raw]

@@ -9,7 +9,7 @@ from typing import Any
 class WordCache:
     """Values by key; `known` holds at least the keys last asked for, and about `limit` others."""
 
-    def __init__(self, make_all: Callable[[list], list], limit: int = 250_000):
+    def __init__(self, make_all: Callable[[list], list], limit: int = 500_000):
         self.make_all, self.limit = make_all, limit
         self.known: dict = {}
         self.old: dict = {}
