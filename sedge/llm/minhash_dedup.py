@@ -6,10 +6,11 @@ has a fixed size; idf saturates, for a shingle that up to a fifth of all documen
 as much about a copy as a rarer one. Samples are grouped in bands; documents that agree in a
 band are compared by exact weighted Jaccard similarity.
 
-Texts of equal words are one node. In a bucket, all nodes are compared with its smallest first.
-What then still lies in different components is compared in rounds with pivots, eight times as
-many each round, until every bucket is one component or all its pairs between components are
-compared: no link between components is left out, and a large group of copies costs few pairs.
+Texts of equal words are one node. The node of a bucket whose own buckets hold most is its hub
+(of a group of copies, their original or what is nearest to it), and all of the bucket are
+compared with that first. A hub's nodes that then lie in different components are dealt to
+blocks; a task takes two blocks and compares all their pairs at once by matrix products, so a
+node's shingles move once a block, not once a pair, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from sedge.shipping import ship
 U64 = np.uint64
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 3
+BANDS, ROWS = 16, 3
 SLOT_BITS, SEGMENTS = 18, 16
 #: idf is log(documents / df), at most that of a fifth of the documents and at least half of it.
 IDF_HIGH = float(np.log(5))
@@ -39,7 +40,9 @@ TABLE_BITS = 16
 PART_BYTES = 1 << 20
 #: Bits of a shingle's hash that are kept to compare two documents.
 KEPT_BYTES = 5
-PIVOTS = 8
+#: Nodes of a hub that a block is planned for, and columns of a product.
+BLOCK, COLUMNS = 256, 8192
+SLACK = 1e-3
 
 
 def shingles(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,24 +155,50 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed documents."""
-    (ha, wa), (hb, wb) = unpack_set(a), unpack_set(b)
+    (ha, ia, na), (hb, ib, nb) = unpack_set(a), unpack_set(b)
     h, inverse = np.unique(np.concatenate((ha, hb)), return_inverse=True)
-    x, y = np.bincount(inverse[: len(ha)], wa, len(h)), np.bincount(inverse[len(ha) :], wb, len(h))
+    x, y = np.bincount(inverse[: len(ha)], ia * na, len(h)), np.bincount(inverse[len(ha) :], ib * nb, len(h))
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
-def pack_set(h: np.ndarray, weight: np.ndarray) -> bytes:
-    """Sorted truncated hashes and their weights."""
+def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """All similarities between two lists of packed documents.
+
+    The n-th occurrence of a shingle is a feature of its own; the weight that two documents
+    share then is a product of 0/1 rows, summed over blocks of columns.
+    """
+    docs = [unpack_set(x) for x in (*left, *right)]
+    row = np.repeat(np.arange(len(docs)), [int(n.sum()) for _, _, n in docs])
+    h = np.concatenate([np.repeat(h, n) for h, _, n in docs])
+    w = np.concatenate([np.repeat(i, n) for _, i, n in docs])
+    level = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for _, _, n in docs])
+    total = np.bincount(row, w, len(docs))
+    _, feature = np.unique(C.mix(h) ^ C.mix(level.astype(U64)), return_inverse=True)
+    shared = np.zeros((len(left), len(right)))
+    order = np.argsort(feature, kind="stable")
+    row, feature, w = row[order], feature[order], w[order]
+    for first in range(0, int(feature[-1]) + 1 if len(feature) else 0, COLUMNS):
+        a, b = np.searchsorted(feature, (first, first + COLUMNS))
+        x = np.zeros((len(docs), COLUMNS), np.float32)
+        x[row[a:b], feature[a:b] - first] = np.sqrt(w[a:b])
+        shared += x[: len(left)] @ x[len(left) :].T
+    return shared / (total[: len(left), None] + total[None, len(left) :] - shared)
+
+
+def pack_set(h: np.ndarray, idf: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted truncated hashes, their idf and counts."""
     raw = np.ascontiguousarray((h >> U64(64 - 8 * KEPT_BYTES)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
-    return len(h).to_bytes(4, "little") + C.pack(raw.tobytes() + np.ascontiguousarray(weight.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (idf.astype("<f4"), n.astype("<i4"))]
+    return len(h).to_bytes(4, "little") + C.pack(raw.tobytes() + b"".join(planes))
 
 
-def unpack_set(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_set(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     raw = np.frombuffer(C.unpack(blob[4:]), np.uint8)
     h = np.zeros((n, 8), np.uint8)
     h[:, :KEPT_BYTES] = raw[: n * KEPT_BYTES].reshape(n, KEPT_BYTES)
-    return h.view("<u8").ravel(), np.ascontiguousarray(raw[n * KEPT_BYTES :].reshape(4, n).T).view("<f4").ravel().astype(float)
+    idf, count = (np.ascontiguousarray(raw[n * (KEPT_BYTES + k) : n * (KEPT_BYTES + k + 4)].reshape(4, n).T) for k in (0, 4))
+    return h.view("<u8").ravel(), idf.view("<f4").ravel().astype(float), count.view("<i4").ravel().astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -179,7 +208,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes are the components of links. Texts without words (null, empty, white space) are
     classes of their own; texts of fewer than five words are one shingle. Rows that repeat a
     doc_id each have a row and may have different classes. A null doc_id counts as -1. A pair
-    of similarity 0.8 misses all bands once in two million. Other columns are ignored.
+    of similarity 0.8 misses all bands once in a hundred thousand. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -201,16 +230,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = C.checkpointed(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
 
     entries = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1")
+    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = C.checkpointed(entries.join(buckets, ["band", "key"]))
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    family = C.checkpointed(members.join(hubs, ["band", "key"]).select("hub", "node").distinct())
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in C.parts(b, PART_BYTES):
                 doc, h, n, _, whole = shingles(texts)
-                w = n * idf.value[slot(h)]
+                w = idf.value[slot(h)]
                 edges = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-                blobs = [pack_set(h[a:z], w[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                blobs = [pack_set(h[a:z], w[a:z], n[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
     wanted = members.select("doc_id").distinct()
@@ -221,33 +253,39 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             ok = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column("left"), b.column("right"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-        return C.checkpointed(both.mapInArrow(compare, "a long, b long"))
-
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    tested = C.checkpointed(members.filter("node != lead").select(F.col("lead").alias("x"), F.col("node").alias("y")).select(*ordered).distinct())
-    links = verified(tested)
-    pivots = PIVOTS
-    while True:
-        whole = components(links)
-        placed = members.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        still = C.checkpointed(placed.join(split.select("band", "key"), ["band", "key"], "left_semi"))
-        largest = still.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        share = (F.xxhash64("node", "band") / F.lit(2.0**64) + 0.5) * F.col("n")
-        pivot = still.filter(share < pivots).select("band", "key", F.col("node").alias("x"), F.col("component").alias("cx"))
-        other = still.select("band", "key", F.col("node").alias("y"), F.col("component").alias("cy"))
-        pairs = pivot.join(other, ["band", "key"]).filter("cx != cy").select(*ordered).distinct()
-        pairs = C.checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = C.checkpointed(links.union(verified(pairs)))
-        tested = C.checkpointed(tested.union(pairs))
-        if pivots >= largest:
-            whole = components(links)
-            break
-        pivots *= PIVOTS
+    pairs = family.filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    links = C.checkpointed(both.mapInArrow(compare, "a long, b long"))
+
+    placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = C.checkpointed(placed)
+    split = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    still = placed.join(split.select("hub", "n"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(sets, "node")
+    dealt = still.select("hub", "node", "component", "block", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def compare_blocks(t: pa.Table) -> pa.Table:
+        node, component, block = (t.column(c).to_numpy() for c in ("node", "component", "block"))
+        blobs = t.column("shingles").to_pylist()
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        s = similarities([blobs[k] for k in left], [blobs[k] for k in right])
+        i, j = np.nonzero((s >= least - SLACK) & (component[left][:, None] != component[right][None, :]))
+        clear = s[i, j] >= least + SLACK
+        i, j = left[i], right[j]
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        # one link for two components is enough; single precision decides nothing near the bound
+        for k in [*np.flatnonzero(clear).tolist(), *np.flatnonzero(~clear).tolist()]:
+            x, y = component[i[k]], component[j[k]]
+            if (min(x, y), max(x, y)) not in links and (clear[k] or similarity(blobs[i[k]], blobs[j[k]]) >= least):
+                links[min(x, y), max(x, y)] = int(node[i[k]]), int(node[j[k]])
+        return pa.table({"a": pa.array([x for x, _ in links.values()], pa.int64()), "b": pa.array([y for _, y in links.values()], pa.int64())})
+
+    more = C.checkpointed(dealt.groupBy("hub", "low", "high").applyInArrow(compare_blocks, "a long, b long"))
+    whole = components(links.union(more))
 
     placed = whole.join(nodes.select("node", "doc_id"), "node")
     low = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
