@@ -74,6 +74,18 @@ def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack((own, before, after, first, last)), size, doc
 
 
+def lines_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lines_of for many texts; the bytes' own arrays are made for PART_BYTES at a time."""
+    found, first, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= PART_BYTES or k + 1 == len(texts):
+            x, n, doc = lines_of(texts[first : k + 1])
+            found.append((x, n, doc + first))
+            first, size = k + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 class Chains:
     """Lines of documents as padded arrays: documents by line number."""
 
@@ -122,15 +134,14 @@ class Field:
         fwd, bwd = chains.messages(((x - self.mean) / self.scale) @ self.w + self.bias, self.t)
         return sigmoid(fwd + bwd)
 
-    def quality(self, texts: list[bytes]) -> np.ndarray:
-        """Length-weighted mean marginal of each text; an empty text has its one empty line's."""
-        x, size, doc = lines_of(texts)
-        p = self.marginals(x, Chains(doc, len(texts)))
+    def quality(self, x: np.ndarray, size: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Length-weighted mean marginal of each of n texts; an empty text has its one empty line's."""
+        p = self.marginals(x, Chains(doc, n))
         weight = np.maximum(size, 1e-3)
-        return np.bincount(doc, p * weight, len(texts)) / np.bincount(doc, weight, len(texts))
+        return np.bincount(doc, p * weight, n) / np.bincount(doc, weight, n)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        q = np.clip(self.quality(texts), 1e-4, 1 - 1e-4)
+        q = np.clip(self.quality(*lines_of(texts), len(texts)), 1e-4, 1 - 1e-4)
         return sigmoid(self.curve[0] + self.curve[1] * np.log(q / (1 - q)))
 
 
@@ -139,7 +150,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
     field = Field(3 * OWN + 2)
     if not texts:
         return field
-    x, _, doc = lines_of(texts)
+    x, size, doc = lines_in_parts(texts)
     field.mean, field.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = (x - field.mean) / field.scale
     y = labels[doc].astype(float)
@@ -163,7 +174,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
         field.w += move[: len(field.w)]
         field.bias += move[len(field.w)]
         field.t += move[-4:].reshape(2, 2)
-    q = np.clip(field.quality(texts), 1e-4, 1 - 1e-4)
+    q = np.clip(field.quality(x, size, doc, len(texts)), 1e-4, 1 - 1e-4)
     a = np.column_stack((np.ones(len(q)), np.log(q / (1 - q))))
     c = np.array([0.0, 1.0])
     for _ in range(25):
