@@ -10,6 +10,7 @@ is left at its end is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +45,7 @@ RANGE_BYTES = 16 << 20
 class WordCoder:
     """ids of texts by way of their words: this vocabulary's pieces never reach over white space.
 
-    The tokenizer file says how a word falls into tokens (its normalizers and pattern) and which
+    The strings of added tokens are cut out of a whole text before that, as the library does. The tokenizer file says how a word falls into tokens (its normalizers and pattern) and which
     merges these go through; words that are new to a worker are merged together. The tests hold
     the ids against the tokenizers library over whole tables.
     """
@@ -57,6 +58,12 @@ class WordCoder:
             raise ValueError("this vocabulary has other rules than its words are cut by here")
         self.tokens = regex.compile(split["pattern"]["Regex"])
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens are looked for in plain text here")
+        self.added = {t["content"].encode(): t["id"].to_bytes(2, "little") for t in added}
+        # of tokens that start at one place the longest counts
+        self.cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")")
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -105,9 +112,16 @@ class WordCoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """16-bit ids and the end id of each text."""
         words = [t.split() for t in texts]
+        marked = {k: self.cut.split(t) for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        for k, parts in marked.items():
+            words[k] = [w for p in parts[::2] for w in p.split()]
         known = self.seen.known_for(chain.from_iterable(words))
         end = END_ID.to_bytes(2, "little")
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        out = [b"".join([known[w] for w in ws]) + end for ws in words]
+        for k, parts in marked.items():
+            # every other part is an added token's string
+            out[k] = b"".join([self.added[p] if i % 2 else b"".join([known[w] for w in p.split()]) for i, p in enumerate(parts)]) + end
+        return out
 
 
 def byte_names() -> list[str]:

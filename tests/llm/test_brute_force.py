@@ -217,6 +217,21 @@ def test_words_fall_into_the_tokens_of_the_library():
     assert got == want
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    import random
+
+    from sedge.llm.curve_packing import pack_documents, word_coder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rng, parts = random.Random(3), ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", "é", "\u0301", "don", "'s", " ", "\n", "Σ", "ab"]
+    texts = ["end of text <|endoftext|> next"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    want = [np.array([*e.ids, 1], "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert word_coder(path).encode([t.encode() for t in texts]) == want
+    row = pack_documents(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).orderBy("start").collect()
+    assert np.frombuffer(b"".join(r.ids for r in row), "<u4").tolist() == [806, 539, 4160, 49407, 1131, 1]
+
+
 def test_segments_merge_as_in_the_library():
     import random
 
