@@ -174,6 +174,16 @@ sql_query(
         select p.left_source, p.right_source, coalesce(n, 0) as n_shared from pairs p left join same s on p.left_source = s.left_source and p.right_source = s.right_source""",
 )
 
+#: All pairs of all sources, where pairwise_overlap takes six sources.
+sql_query(
+    "pairwise_overlap_whole",
+    f"""with h as (select distinct source, {sha("text")} as h from documents),
+             s as (select distinct source from h),
+             pairs as (select a.source as left_source, b.source as right_source from s a join s b on a.source < b.source),
+             same as (select a.source as left_source, b.source as right_source, count(*) as n from h a join h b on a.h = b.h and a.source < b.source group by 1, 2)
+        select p.left_source, p.right_source, coalesce(n, 0) as n_shared from pairs p left join same s on p.left_source = s.left_source and p.right_source = s.right_source""",
+)
+
 sql_query(
     "source_contract",
     f"""with contract as (select 'src0' as source, 3000 as cap union all select 'src1' as source, 2000 as cap union all select 'src2' as source, 1000 as cap)

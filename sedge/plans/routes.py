@@ -77,6 +77,13 @@ sql_query(
       o as (select event_type, cast(<<size(array_intersect(a, b))||len(list_intersect(a, b))>> as double) as n, cast(<<size(array_union(a, b))||len(list_distinct(list_concat(a, b)))>> as double) as u, <<size(a)||len(a)>> as k from s)
       select event_type, round(avg(n / k), 9) as overlap, round(avg(n / u), 9) as jaccard, {count_if("n = u")} as n_equal from o group by event_type""",
 )
+#: Over all events, where topk_overlap takes a third of them.
+sql_query(
+    "topk_overlap_whole",
+    f"""with {ROUTES}, s as (select user_id, event_type, <<collect_set(official)||list(distinct official)>> as a, <<collect_set(interim)||list(distinct interim)>> as b from rt group by 1, 2),
+      o as (select event_type, cast(<<size(array_intersect(a, b))||len(list_intersect(a, b))>> as double) as n, cast(<<size(array_union(a, b))||len(list_distinct(list_concat(a, b)))>> as double) as u, <<size(a)||len(a)>> as k from s)
+      select event_type, round(avg(n / k), 9) as overlap, round(avg(n / u), 9) as jaccard, {count_if("n = u")} as n_equal from o group by event_type""",
+)
 sql_query("changed_routes", f"with {ROUTES} select event_type, {count_if('official <> interim')} as n_changed, count(*) as n, count(distinct case when official <> interim then user_id end) as n_rows_changed from rt group by event_type")
 sql_query("route_support", f"with {ROUTES}, panel as (select distinct k as slot from ev where k % 9 = 4) select r.official as slot, count(*) as n_routes, count(distinct r.user_id) as n_clusters from rt r join panel p on r.official = p.slot group by 1")
 sql_query(
@@ -162,6 +169,11 @@ sql_query(
     "identity_compare",
     f"""select source, case when count(distinct {sha("text")}) = 1 then 'identical' else 'different' end as status, count(*) as n from documents where doc_id < 500 group by source""",
 )
+#: Over all documents, where identity_compare takes the first 500 ids.
+sql_query(
+    "identity_compare_whole",
+    f"""select source, case when count(distinct {sha("text")}) = 1 then 'identical' else 'different' end as status, count(*) as n from documents group by source""",
+)
 sql_query("contract_identity", f"with {LEDGER}, t as (select layer, count(distinct mode_a) as n_modes, max(mode_a) as top from led group by layer) select count(distinct n_modes) = 1 as same_contract, min(n_modes) as least, max(n_modes) as most, count(*) as n from t")
 sql_query(
     "modal_adjacent_pair",
