@@ -37,11 +37,20 @@ _GRAM_SQL = """with e as (select label, vec_id, unnest(embedding) as v, generate
 @frame_query("gram_partial_merge", _GRAM_SQL)
 def gram_partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full matrix is merged; its leading block is shown."""
+    return gram_partial_merge_whole(spark, sf_dir).filter("i <= 8 and j <= 8")
+
+
+_WHOLE_GRAM_SQL = """with e as (select label, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings where label is not null)
+  select a.label as label, cast(a.i as bigint) as i, cast(b.i as bigint) as j, round(sum(cast(a.v as double) * b.v), 4) + 0.0 as g, count(*) as n
+  from e a join e b on a.vec_id = b.vec_id and a.label = b.label group by a.label, a.i, b.i"""
+
+
+@frame_query("gram_partial_merge_whole", _WHOLE_GRAM_SQL)
+def gram_partial_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     g = moments.gram(table(spark, sf_dir, "embeddings"), "label", "embedding")
     cells = g.select("label", "n_rows", "dim", F.posexplode("gram").alias("p", "g"))
-    cells = cells.select(F.col("label").cast("int").alias("label"), (F.floor(F.col("p") / F.col("dim")) + 1).alias("i"), (F.col("p") % F.col("dim") + 1).cast("long").alias("j"), (F.round("g", 4) + F.lit(0.0)).alias("g"), F.col("n_rows").alias("n"))
-    return cells.filter("i <= 8 and j <= 8")
+    return cells.select(F.col("label").cast("int").alias("label"), (F.floor(F.col("p") / F.col("dim")) + 1).alias("i"), (F.col("p") % F.col("dim") + 1).cast("long").alias("j"), (F.round("g", 4) + F.lit(0.0)).alias("g"), F.col("n_rows").alias("n"))
 
 
 @frame_query("ridge_from_gram")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import EVENTS, sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedge.operators import moments
+from sedge.plans.dialect import EVENTS, frame_query, sql_query, table
+from sedge.shipping import ship
 
 D = 4
 _AT = lambda i: f"<<element_at(embedding, {i + 1})||list_extract(embedding, {i + 1})>>"
@@ -70,3 +75,101 @@ sql_query(
     """with q as (select vec_id, label, embedding from embeddings where vec_id % 20 = 0), d as (select q.vec_id as query_id, e.vec_id, round(<<aggregate(zip_with(q.embedding, e.embedding, (x, y) -> pow(cast(x as double) - cast(y as double), 2)), cast(0 as double), (s, v) -> s + v)||list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: pow(cast(p[1] as double) - cast(p[2] as double), 2)))>>, 6) as dist from q join embeddings e on q.label = e.label and q.vec_id <> e.vec_id),
       r as (select query_id, vec_id, dist, row_number() over (partition by query_id order by dist, vec_id) as k from d) select query_id, vec_id, cast(k as bigint) as place, dist from r where k <= 5""",
 )
+
+# The queries above that take the first components have a twin here that takes all of them.
+
+#: Stands for a null label while matrices are merged.
+_NO_LABEL = -(1 << 63)
+_E = "x as (select row_number() over () as r, vec_id, label, embedding, cast(1 + vec_id % 3 as double) as w from embeddings where embedding is not null), e as (select r, vec_id, label, w, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from x)"
+_WHOLE = f"{_E}, gram as (select a.label, len(any_value(a.embedding)) as d, b.i, c.i as j, sum(b.w * cast(b.v as double) * c.v) / sum(b.w) as g from x a join e b on a.r = b.r join e c on a.r = c.r group by a.label, len(a.embedding), b.i, c.i)"
+_HALVES = f"{_E}, l as (select a.i, b.i as j, avg(case when a.vec_id % 2 = 0 then cast(a.v as double) * b.v end) as a, avg(case when a.vec_id % 2 = 1 then cast(a.v as double) * b.v end) as b from e a join e b on a.r = b.r group by a.i, b.i)"
+
+
+def _gram_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row per label and cell: label, d, n (effective rows), i, j, g (weighted mean of products)."""
+    ship(spark)
+    e = table(spark, sf_dir, "embeddings").select(F.coalesce(F.col("label").cast("long"), F.lit(_NO_LABEL)).alias("label"), "embedding", F.expr("1 + vec_id % 3").alias("w"))
+    g = moments.gram(e, "label", "embedding", "w").withColumn("n", F.col("weight_sum") * F.col("weight_sum") / F.col("weight_square_sum"))
+    cells = g.select(F.expr(f"nullif(label, {_NO_LABEL})").alias("label"), F.col("dim").alias("d"), "n", "weight_sum", F.posexplode("gram").alias("p", "g"))
+    return cells.select("label", "d", "n", F.expr("cast(p div d as int)").alias("i"), F.expr("p % d").alias("j"), (F.col("g") / F.col("weight_sum")).alias("g"))
+
+
+def _half_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row per cell of the mean products of even vec_id (a) and odd ones (b): d, i, j, a, b."""
+    ship(spark)
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id % 2").alias("half"), "embedding").filter("half in (0, 1)")
+    g = moments.gram(e, "half", "embedding").select("half", F.col("dim").alias("d"), F.posexplode("gram").alias("p", "g"), "n_rows")
+    mean = lambda k: F.max(F.when(F.col("half") == k, F.col("g") / F.col("n_rows")))
+    return g.groupBy("d", "p").agg(mean(0).alias("a"), mean(1).alias("b")).select("d", F.expr("p div d").alias("i"), F.expr("p % d").alias("j"), "a", "b")
+
+
+@frame_query("weighted_gram_whole", f"with {_WHOLE} select label, i, j, round(g, 6) + 0.0 as g from gram")
+def weighted_gram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gram_cells(spark, sf_dir).select("label", "i", "j", (F.round("g", 6) + F.lit(0.0)).alias("g"))
+
+
+@frame_query("sse_from_gram_whole", f"with {_WHOLE} select label, round(sum(g * (i + 1) * cast(0.1 as double) * (j + 1) * cast(0.1 as double)), 6) as sse from gram group by label")
+def sse_from_gram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gram_cells(spark, sf_dir).groupBy("label").agg(F.round(F.sum(F.expr("g * (i + 1) * 0.1D * (j + 1) * 0.1D")), 6).alias("sse"))
+
+
+_ALPHA = ["round(least(1, ((1 - cast(2 as double) / d) * tr2 + tr * tr) / ((n + 1 - cast(2 as double) / d) * (tr2 - tr * tr / d))), 6) as alpha", "round(tr / d, 6) as mean_diagonal"]
+
+
+@frame_query(
+    "oas_shrinkage_whole",
+    f"""with {_WHOLE}, n as (select label, power(sum(w), 2) / sum(w * w) as n from x group by label), t as (select label, d, sum(case when i = j then g else 0 end) as tr, sum(g * g) as tr2 from gram group by label, d)
+      select t.label, {", ".join(_ALPHA)} from t join n on t.label is not distinct from n.label""",
+)
+def oas_shrinkage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _gram_cells(spark, sf_dir).groupBy("label", "d", "n").agg(F.sum(F.expr("case when i = j then g else 0 end")).alias("tr"), F.sum(F.expr("g * g")).alias("tr2"))
+    return t.selectExpr("label", *_ALPHA)
+
+
+_COMPARED = {"trace_ratio": "round(sum(case when i = j then b else 0 end) / sum(case when i = j then a else 0 end), 6)", "relative_frobenius": "round(sqrt(sum(power(a - b, 2)) / sum(a * a)), 6)"}
+
+
+@frame_query("covariance_comparison_whole", f"with {_HALVES} select {", ".join(f"{v} as {k}" for k, v in _COMPARED.items())} from l")
+def covariance_comparison_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _half_cells(spark, sf_dir).agg(*[F.expr(v).alias(k) for k, v in _COMPARED.items()])
+
+
+_COSINES = {
+    "total": "round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6)",
+    "off_diagonal": "round(sum(oa * ob) / sqrt(sum(oa * oa) * sum(ob * ob)), 6)",
+    "trace_removed": "round(sum(ra * rb) / sqrt(sum(ra * ra) * sum(rb * rb)), 6)",
+}
+
+
+@frame_query(
+    "component_cosines_whole",
+    f"""with {_HALVES}, m as (select avg(case when i = j then a end) as ta, avg(case when i = j then b end) as tb from l),
+      c as (select a, b, case when i = j then 0 else a end as oa, case when i = j then 0 else b end as ob, a - case when i = j then ta else 0 end as ra, b - case when i = j then tb else 0 end as rb from l cross join m)
+      select {", ".join(f"{v} as {k}" for k, v in _COSINES.items())} from c""",
+)
+def component_cosines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _half_cells(spark, sf_dir)
+    traces = cells.agg(F.expr("avg(case when i = j then a end)").alias("ta"), F.expr("avg(case when i = j then b end)").alias("tb"))
+    off = lambda c: F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col(c))
+    less = lambda c, t: F.col(c) - F.when(F.col("i") == F.col("j"), F.col(t)).otherwise(0.0)
+    c = cells.crossJoin(F.broadcast(traces)).select("a", "b", off("a").alias("oa"), off("b").alias("ob"), less("a", "ta").alias("ra"), less("b", "tb").alias("rb"))
+    return c.agg(*[F.expr(v).alias(k) for k, v in _COSINES.items()])
+
+
+sql_query(
+    "split_shrinkage_whole",
+    """with e as (<<select vec_id, posexplode(embedding) as (i, v) from embeddings||select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings>>),
+      m as (select i, avg(case when vec_id % 2 = 0 then cast(v as double) end) as a, avg(case when vec_id % 2 = 1 then cast(v as double) end) as b from e group by i),
+      p as (select sum(a * b) as sig, sum(a * a + b * b) / 2 as tot from m)
+      select round(sig, 6) as cross_power, round(tot - sig, 6) as noise, round(greatest(0, least(1, sig / tot)), 5) as keep from p""",
+)
+_DOT = lambda x, y: f"<<aggregate(zip_with({x}, {y}, (x, y) -> x * y), cast(0 as double), (s, v) -> s + v)||list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1] * p[2]))>>"
+sql_query(
+    "radial_tangential_whole",
+    f"""with u as (<<select label, posexplode(embedding) as (i, v) from embeddings||select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings>>),
+      m as (select label, i, avg(cast(v as double)) as c from u group by label, i),
+      p as (select label, <<transform(array_sort(collect_list(struct(i, c))), s -> s.c)||list(c order by i)>> as c from m group by label),
+      e as (select v.vec_id, p.c, <<zip_with(v.embedding, p.c, (x, y) -> cast(x as double) - y)||list_transform(list_zip(v.embedding, p.c), lambda q: cast(q[1] as double) - q[2])>> as d from embeddings v join p on v.label = p.label),
+      s as (select vec_id, {_DOT("d", "c")} as dc, {_DOT("c", "c")} as cc, {_DOT("d", "d")} as dd from e)
+      select vec_id, round(dc * dc / nullif(cc, 0), 6) as radial, round(dd - dc * dc / nullif(cc, 0), 6) as tangential from s""",
+)

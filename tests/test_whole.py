@@ -7,6 +7,7 @@ import itertools
 import json
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from sedge.plans.catalog import REGISTRY
@@ -47,3 +48,42 @@ def test_route_overlap_of_all_events(spark, data, rows):
         assert r.overlap == pytest.approx(sum(len(a & b) / len(a) for a, b in of) / len(of), abs=1e-8)
         assert r.jaccard == pytest.approx(sum(len(a & b) / len(a | b) for a, b in of) / len(of), abs=1e-8)
         assert r.n_equal == sum(a == b for a, b in of)
+
+
+def test_all_components(spark, data, rows):
+    e = rows("embeddings")
+    x, label, ids = np.array([r.embedding for r in e], float), np.array([r.label for r in e]), np.array([r.vec_id for r in e])
+    w, d = 1.0 + ids % 3, x.shape[1]
+    run = lambda k: REGISTRY[k].run(spark, data).collect()
+    grams = {g: (x[label == g] * w[label == g][:, None]).T @ x[label == g] / w[label == g].sum() for g in set(label.tolist())}
+    cells = run("weighted_gram_whole")
+    assert len(cells) == len(grams) * d * d
+    assert all(abs(r.g - grams[r.label][r.i, r.j]) < 1e-6 for r in cells)
+    scale = np.arange(1, d + 1) * 0.1
+    assert all(r.sse == pytest.approx(scale @ grams[r.label] @ scale, abs=1e-5) for r in run("sse_from_gram_whole"))
+    for r in run("oas_shrinkage_whole"):
+        g, v = grams[r.label], w[label == r.label]
+        n, tr, tr2 = v.sum() ** 2 / (v**2).sum(), np.trace(g), (g**2).sum()
+        assert r.alpha == pytest.approx(min(1, ((1 - 2 / d) * tr2 + tr**2) / ((n + 1 - 2 / d) * (tr2 - tr**2 / d))), abs=1e-6)
+        assert r.mean_diagonal == pytest.approx(tr / d, abs=1e-6)
+    even, odd = x[ids % 2 == 0], x[ids % 2 == 1]
+    a, b = even.T @ even / len(even), odd.T @ odd / len(odd)
+    (r,) = run("covariance_comparison_whole")
+    assert (r.trace_ratio, r.relative_frobenius) == pytest.approx((np.trace(b) / np.trace(a), np.linalg.norm(a - b) / np.linalg.norm(a)), abs=1e-6)
+    cosine = lambda p, q: (p * q).sum() / np.linalg.norm(p) / np.linalg.norm(q)
+    (r,) = run("component_cosines_whole")
+    one = np.eye(d)
+    assert (r.total, r.off_diagonal, r.trace_removed) == pytest.approx((cosine(a, b), cosine(a * (1 - one), b * (1 - one)), cosine(a - one * np.trace(a) / d, b - one * np.trace(b) / d)), abs=1e-6)
+    p, q = even.mean(0), odd.mean(0)
+    (r,) = run("split_shrinkage_whole")
+    assert (r.cross_power, r.noise) == pytest.approx((p @ q, (p @ p + q @ q) / 2 - p @ q), abs=1e-6)
+    split = {r.vec_id: (r.radial, r.tangential) for r in run("radial_tangential_whole")}
+    assert len(split) == len(e)
+    for k, i in enumerate(ids.tolist()):
+        c = x[label == label[k]].mean(0)
+        t = x[k] - c
+        radial = (t @ c) ** 2 / (c @ c)
+        assert split[i] == pytest.approx((radial, t @ t - radial), abs=2e-6)
+    cells = run("gram_partial_merge_whole")
+    assert len(cells) == len(grams) * d * d
+    assert all(abs(r.g - (x[label == r.label].T @ x[label == r.label])[r.i - 1, r.j - 1]) < 1e-3 for r in cells)
