@@ -53,6 +53,31 @@ def gram_partial_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.col("label").cast("int").alias("label"), (F.floor(F.col("p") / F.col("dim")) + 1).alias("i"), (F.col("p") % F.col("dim") + 1).cast("long").alias("j"), (F.round("g", 4) + F.lit(0.0)).alias("g"), F.col("n_rows").alias("n"))
 
 
+#: Interior words of a passage that make its key.
+KEY_WORDS = 5
+
+
+@frame_query("exclude_prior_contains_whole", "with b as (select distinct text from benchmark where length(text) > 0) select d.doc_id, count(*) as n_passages from documents d join b on contains(d.text, b.text) group by d.doc_id")
+def exclude_prior_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole distinct passages that a document holds, where exclude_prior_contains takes their first 80 characters.
+
+    A passage's words between its first and its last are whole words of any text that holds it.
+    Five of them in a row are its key, by which documents are found; contains() decides. Passages
+    too short for a key are compared with every document.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    runs = lambda w, first, last: F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text").filter("length(text) > 0").withColumn("h", F.xxhash64("text"))
+    b = table(spark, sf_dir, "benchmark").filter("length(text) > 0").select("text").distinct().withColumn("w", words("text"))
+    long = b.filter(F.size("w") >= KEY_WORDS + 2).select(F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, KEY_WORDS)).alias("key"))
+    short = b.filter(F.size("w") < KEY_WORDS + 2).select(F.col("text").alias("passage"))
+    keys = docs.withColumn("w", words("text")).filter(F.size("w") >= KEY_WORDS)
+    keys = keys.select("h", F.explode(F.array_distinct(runs(F.col("w"), F.lit(1), F.size("w") - (KEY_WORDS - 1)))).alias("key"))
+    found = keys.join(long, "key").select("h", "passage").distinct()
+    hits = docs.join(found, "h").select("doc_id", "text", "passage").unionByName(docs.crossJoin(short).select("doc_id", "text", "passage"))
+    return hits.filter(F.contains("text", "passage")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"))
+
+
 @frame_query("ridge_from_gram")
 def ridge_from_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)

@@ -87,3 +87,17 @@ def test_all_components(spark, data, rows):
     cells = run("gram_partial_merge_whole")
     assert len(cells) == len(grams) * d * d
     assert all(abs(r.g - (x[label == r.label].T @ x[label == r.label])[r.i - 1, r.j - 1]) < 1e-3 for r in cells)
+
+
+def test_whole_passages(spark, tmp_path):
+    opening = "an opening of more than eighty characters that several of the passages here have in common, "
+    passages = ["hi", "two words", opening + "one end", opening + "another end", opening + "one end", "", None, " led by a blank and six more words ", "a\tb c d e f g h"]
+    texts = [opening + "no end", "say " + opening + "one end and " + opening + "another end", "sohighly", "xtwo wordsy", "filled by a blank and six more words or so", "it is led by a blank and six more words or so", "xa\tb c d e f g hx", "a b c d e f g h", "", None]
+    docs = [*enumerate(texts), (1, texts[1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*enumerate(passages)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = defaultdict(int)
+    for k, t in docs:
+        want[k] += sum(p in (t or "") for p in {p for p in passages if p})
+    got = {r.doc_id: r.n_passages for r in REGISTRY["exclude_prior_contains_whole"].run(spark, str(tmp_path)).collect()}
+    assert got == {k: n for k, n in want.items() if n}
