@@ -3,7 +3,7 @@
 Three kinds stand for themselves (assignments, access identifiers, long hex). Two weaker kinds
 say little alone: a bare 40-character key, an endpoint. Access identifiers, bare keys and
 endpoints meet in an interval join over places of one text: both sides are dealt to bins as
-wide as a scope, so a bin holds a bounded number of spans and no text's spans pair freely.
+wide as a scope and one more, so a bin holds a bounded number of spans and no text's spans pair freely.
 A bare key is reported where an access identifier lies within the scope; an endpoint where
 both an access identifier and a bare or assigned secret do.
 
@@ -86,8 +86,10 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, keep: tuple[str, ...] = ()
     found = docs.filter(mixed).select("doc_id", *names, *base, *weak).select("*", together)
     found = C.checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
     spans = lambda *cols: found.select("row", F.inline(F.concat(*cols)))
-    bin_of = F.floor(F.col("start") / scope)
-    last = F.floor((F.col("end") - 1) / scope)
+    # spans a scope apart end and start scope + 1 places from each other
+    width = scope + 1
+    bin_of = F.floor(F.col("start") / width)
+    last = F.floor((F.col("end") - 1) / width)
     near = (F.greatest(F.col("w.start"), F.col("p.start")) - F.least(F.col("w.end"), F.col("p.end"))) <= scope
 
     def linked(weak: DataFrame, part: DataFrame) -> DataFrame:
