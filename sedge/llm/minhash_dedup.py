@@ -301,7 +301,16 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))
-    return docs.join(gone, key == gone["gone_id"], "left_anti")
+    """One row of each class: the one with the smallest doc_id, of rows that repeat it any one.
+
+    A null doc_id counts as -1. Texts without words are classes of their own, row by row.
+    """
+    ship(spark)
+    numbered = C.checkpointed(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row")))
+    classes = near_duplicates(numbered.select(F.col("row").alias("doc_id"), F.col("whole")["text"].alias("text")))
+    classes = C.checkpointed(classes.select(F.col("doc_id").alias("row"), "class_id"))
+    ids = numbered.select("row", F.coalesce(F.col("whole")["doc_id"].cast("long"), F.lit(-1)).alias("doc_id"))
+    best = classes.join(ids, "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    # only rows that go meet the texts again, each by a number of its own
+    gone = classes.join(best, "row", "left_anti").select("row")
+    return numbered.join(gone, "row", "left_anti").select("whole.*")
