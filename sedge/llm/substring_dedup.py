@@ -1,11 +1,10 @@
-"""Operator 3: repeated passages of words, by a suffix tree cut into prefix groups.
-
-A word suffix is only needed to the depth of a window (13 words). The suffixes are split
-into groups by prefixes of growing length: the chosen gram of five words, then the union of
-the windows that share it, then the window itself; a group that only one document has ends
-there, so long prefixes are made for shared ones alone. The groups of the last length are
-the internal nodes of depth `window`; a node's smallest doc_id keeps its words, in all other
-documents below the node they go. Nodes are named by 64-bit hashes of their paths.
+"""Operator 3: repeated passages of words, by hashed windows in three rounds of ranks.
+
+No suffix tree is built and no maximal repeats come out. Windows of 13 words are compared by
+their chosen gram of five words, then by the union of the windows that share it, then by the
+window itself; what only one document has ends there (see `repeats`). A window's smallest
+doc_id keeps its words, in all other documents that have it they go. Exact up to collisions
+of 64-bit hashes.
 """
 
 from __future__ import annotations

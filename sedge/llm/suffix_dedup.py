@@ -1,4 +1,4 @@
-"""Operator 7: repeated byte strings, by rank doubling over sampled suffix positions."""
+"""Operator 7: repeated byte strings, by hashed windows in three rounds of ranks; no sorted suffixes."""
 
 from __future__ import annotations
 
