@@ -13,9 +13,18 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent
 
 
+#: Rows of an Arrow batch: texts may be long, and a worker holds a batch whole.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "512"
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each Spark context."""
+    """Adds the package to the session's Python files, once for each Spark context.
+
+    Batches get fewer rows too, unless the session has its own number.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS[0]) == "10000":
+        spark.conf.set(*BATCH_ROWS)
     if getattr(sc, "_sedge_shipped", False):
         return
     data = io.BytesIO()
