@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,63 +95,121 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        up = np.full(n, _ODD, U64)
-        down = np.full(n, pow(_ODD, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"][:n], _powers["down"][:n]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two stretches that follow each other, from theirs; not linear in either."""
+    x = a * U64(_ODD)
+    x ^= x >> U64(32)
+    x += b
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(32)
+    return x
 
 
-class Rolling:
-    """Hashes of any stretch of a sequence of 64-bit units, from one pass of prefix sums."""
+class Doubled:
+    """Hashes of stretches of 64-bit units: those of 2n units are joined of two of n units.
 
-    def __init__(self, units: np.ndarray):
-        up, self.down = powers(len(units) + 1)
-        self.sums = np.zeros(len(units) + 1, U64)
-        np.cumsum(units * up[: len(units)], out=self.sums[1:])
+    units are the hashes of every stretch of `base` places.
+    """
+
+    def __init__(self, units: np.ndarray, base: int = 1):
+        self.levels, self.top = {base: units}, base
 
-    def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.down[start])
+    def level(self, length: int) -> int:
+        """The largest level of at most this length."""
+        while 2 * self.top <= length:
+            h, n = self.levels[self.top], self.top
+            self.levels[2 * n] = join(h[: max(len(h) - n, 0)], h[n:])
+            self.top *= 2
+        return max(n for n in self.levels if n <= length)
 
     def all(self, length: int) -> np.ndarray:
         """Of every stretch of this length."""
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
+        n = self.level(length)
+        h = self.levels[n]
+        return h if n == length else join(h[: max(len(h) - length + n, 0)], h[length - n :])
+
+    def at(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of one stretch from each start, of at least the base's length."""
+        if not len(start):
+            return np.zeros(0, U64)
+        n = self.level(int(length.min()))
+        h = self.levels[n]
+        out = h[start]
+        for k in range(1, -(-int(length.max()) // n)):
+            out = join(out, h[start + np.minimum(k * n, length - n)])
+        return join(out, length.astype(U64))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the end."""
+    buffer = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", buffer, strides=(1,))
+
+
+#: Longer stretches of bytes are hashed one by one.
+LONG = 256
+_FIRST = U64((1 << 64) - 1) >> (U64(64) - np.arange(8, 72, 8).astype(U64))
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, eight at a time."""
+    size = ends - starts
+    out = mix(size)
+    if not len(data):
+        return out
+    loads = eights(data)
+    rows = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(rows):
+        left = size[rows] - at
+        out[rows] = join(out[rows], loads[starts[rows] + at] & _FIRST[np.minimum(left, 8) - 1])
+        rows, at = rows[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
-_BYTE_UNITS = mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def byte_units(data: np.ndarray) -> np.ndarray:
-    return _BYTE_UNITS[data]
-
-
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than ASCII white space."""
     edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(byte_units(data)).at(starts, ends - starts)
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; memory that it freed goes back to the machine when its task ends, for workers stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def parts(b: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of a batch's rows with about limit bytes of text together, and their texts (null: empty)."""
+    """Runs of a batch's rows with about limit bytes of text together, and their texts (null: empty).
+
+    A text counts a few bytes besides its own, so that empty ones don't gather without end.
+    """
     texts = [t.as_py() or b"" for t in b.column("text").cast(pa.large_binary())]
     at = 0
     while at < len(texts):
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= limit):
-            size += len(texts[to])
+            size += len(texts[to]) + 64
             to += 1
         yield b.slice(at, to - at), texts[at:to]
         at = to

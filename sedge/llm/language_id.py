@@ -8,7 +8,7 @@ the backward pass, on a bounded sample of documents of each language.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ from sedge.llm.word_cache import WordCache
 from sedge.shipping import ship
 
 MODEL = "piece_bpe_32k.model"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters by Unicode category; a number sign such as a half or a square is none.
+LETTERS = regex.compile(r"\p{L}+")
 #: Fitting takes at most so many documents of each language, of at most so many bytes each.
 SAMPLE, SAMPLE_BYTES = 300, 1 << 14
+#: Languages that a model holds at most.
+LANGUAGES = 256
 ROUNDS = 3
 #: Longest piece, and the longest stretch of a word that is scored as one.
 PIECE, STRETCH = 12, 32
@@ -139,7 +143,7 @@ class Scorer:
 
     def __init__(self, path: str, p: np.ndarray):
         self.pieces, self.p = Pieces(path), p
-        self.seen = WordCache(self.score_words)
+        self.seen = WordCache(self.score_words, lambda v: 120 + v.nbytes)
 
     def score_words(self, words: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(words)
@@ -159,7 +163,7 @@ class Scorer:
         return np.array([np.sum([known[w] for w in ws], axis=0) if ws else np.full(self.p.shape[1], np.nan) for ws in words]).reshape(len(words), self.p.shape[1])
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[bytes, Scorer] = {}
 
 
 def learning(docs: DataFrame) -> DataFrame:
@@ -175,12 +179,18 @@ def sample_texts(docs: DataFrame, per_language: int, max_bytes: int) -> dict[str
     """Texts of the sample by language: the smallest hashes of doc_id among rows of up to max_bytes.
 
     The ids are found first, without texts; each task passes on at most per_language of each.
+    Of rows that repeat a picked doc_id and language one counts, the one with the smallest text
+    by hash. At most LANGUAGES languages are learned, those with most rows.
     """
     rows = learning(docs).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(langs), "lang")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_language).select("doc_id", "lang")
+    ids = rows.select("doc_id", "lang").distinct()
+    ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_language).select("doc_id", "lang")
+    one = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     got: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").orderBy("doc_id", "text").collect():
+    for r in one.orderBy("doc_id", "lang").collect():
         got.setdefault(r.lang, []).append(r.text)
     return got
 
@@ -200,9 +210,9 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_path: str | None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     langs, p = fit(sample_texts(docs, per_language, SAMPLE_BYTES), path)
     model = spark.sparkContext.broadcast(p)
+    key = hashlib.sha256(p.tobytes() + path.encode()).digest()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(model)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(path, model.value)
@@ -221,7 +231,7 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_path: str | None
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     docs = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
-    return docs.mapInArrow(f, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(C.lean(f), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

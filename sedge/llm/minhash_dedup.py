@@ -15,6 +15,7 @@ node's shingles move once a block, not once a pair, and no link between componen
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,15 +53,18 @@ def shingles(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray, np.n
     """
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    a, b = doc_words(data, offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    a, b = doc_words(data, offsets)
     begins = np.searchsorted(a, offsets)
     counts = np.diff(begins)
-    rolling = C.Rolling(C.word_hashes(data, a, b))
-    whole = C.mix(rolling.at(begins[:-1], counts) ^ counts.astype(U64))
+    hashes = C.stretch_hashes(data, a, b)
+    line = hashes.tobytes()
+    whole = np.array([int.from_bytes(hashlib.blake2b(line[8 * x : 8 * y], digest_size=8).digest(), "little") for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], U64)
     each = np.where(counts >= n_words, counts - n_words + 1, (counts > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(texts)), each)
     start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + begins[:-1][doc]
-    h = rolling.at(start, np.minimum(n_words, counts[doc])) if len(doc) else np.zeros(0, U64)
+    h = whole[doc]
+    full = counts[doc] >= n_words
+    h[full] = C.Doubled(hashes).all(n_words)[start[full]]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
@@ -93,7 +97,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total = total + C.unpack_longs(x.as_py())
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([C.pack_longs(total)], pa.binary())})
 
-    counted = docs.select("text").mapInArrow(count, "segment int, counts binary")
+    counted = docs.select("text").mapInArrow(C.lean(count), "segment int, counts binary")
     got = {r.segment: C.unpack_longs(bytes(r.counts)) for r in counted.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()}
     if not got:
         return np.zeros(1 << SLOT_BITS, np.int64), 0
@@ -226,7 +230,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 node = pa.array(whole.view(np.int64), mask=counts == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
-    signed = C.checkpointed(docs.mapInArrow(sign, "doc_id long, node long, bands array<long>"))
+    signed = C.checkpointed(docs.mapInArrow(C.lean(sign), "doc_id long, node long, bands array<long>"))
     nodes = C.checkpointed(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
 
     entries = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
@@ -246,7 +250,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
     wanted = members.select("doc_id").distinct()
-    sets = C.checkpointed(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(collect_sets, "node long, shingles binary"))
+    sets = C.checkpointed(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(C.lean(collect_sets), "node long, shingles binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,13 +259,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     pairs = family.filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    links = C.checkpointed(both.mapInArrow(compare, "a long, b long"))
+    links = C.checkpointed(both.mapInArrow(C.lean(compare), "a long, b long"))
 
     placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = C.checkpointed(placed)
     split = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high")
+    # written, so that a hub's rows meet it in a join of its own, which can split them
+    split = C.checkpointed(split.select("hub", "n"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    still = placed.join(split.select("hub", "n"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(sets, "node")
+    still = placed.join(split, "hub").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(sets, "node")
     dealt = still.select("hub", "node", "component", "block", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 PAIR_BITS = 21
@@ -9,6 +13,8 @@ NONE = np.iinfo(np.int64).max
 END = np.iinfo(np.int64).min
 #: Symbols of words that are merged together.
 CELLS = 1 << 20
+#: A word of more symbols has a heap of its own, for a step in rows costs its whole length.
+LONG = 256
 
 
 class PairMerge:
@@ -58,11 +64,45 @@ class PairMerge:
         out[rows, :width] = s
         return out
 
-    def merge_all(self, flat: np.ndarray, sizes: np.ndarray):
+    @cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
+
+    def merge_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long word: a heap of pairs and linked neighbours."""
+        s, n, get = symbols.tolist(), len(symbols), self.table.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        values = self.made(symbols[:-1], symbols[1:])
+        agenda = [(v, k) for k, v in enumerate(values.tolist()) if v < NONE]
+        heapify(agenda)
+        gone = bytearray(n)
+        while agenda:
+            value, k = heappop(agenda)
+            m = after[k]
+            # a pair that has changed since is another entry, or none
+            if gone[k] or m >= n or s[k] < 0 or s[m] < 0 or get(s[k] << PAIR_BITS | s[m]) != value:
+                continue
+            s[k] = made = value & (1 << PAIR_BITS) - 1
+            gone[m] = 1
+            after[k] = r = after[m]
+            if r < n:
+                before[r] = k
+                if s[r] >= 0 and (v := get(made << PAIR_BITS | s[r])) is not None:
+                    heappush(agenda, (v, k))
+            left = before[k]
+            if left >= 0 and s[left] >= 0 and (v := get(s[left] << PAIR_BITS | made)) is not None:
+                heappush(agenda, (v, left))
+        return np.array(s, np.int64)[np.frombuffer(gone, np.uint8) == 0]
+
+    def merge_all(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (word numbers, merged rows) for words that lie end to end in flat."""
         begins = np.cumsum(sizes) - sizes
         for size in np.unique(sizes):
             which = np.flatnonzero(sizes == size)
+            if size > LONG:
+                for k in which.tolist():
+                    yield np.array([k]), self.merge_one(flat[begins[k] : begins[k] + size])[None, :]
+                continue
             step = max(1, CELLS // max(1, int(size)))
             for at in range(0, len(which), step):
                 rows = which[at : at + step]

@@ -64,7 +64,7 @@ class Agenda:
                     pairs[x, y] = rank[lib.get_score(i)], i
         self.agendas = PairMerge(pairs)
         self.n = n
-        self.seen = WordCache(self.encode_segments)
+        self.seen = WordCache(self.encode_segments, lambda v: 100 + len(v[0]) + 40 * len(v[1]))
 
     def encode_segments(self, keys: list[str]) -> list[tuple[str, list[int]]]:
         """Decimal ids and ids of each segment, checked against the library."""
@@ -143,7 +143,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(f, "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.mapInArrow(C.lean(f), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

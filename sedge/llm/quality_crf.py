@@ -9,6 +9,7 @@ its document's label, and the chain's transitions carry the agreement of lines.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from sedge.llm import common as C
 from sedge.llm.language_id import fold
 from sedge.shipping import ship
 
-#: Fitting takes the rows with the smallest hashes among learnable labels: at most so many, of so many bytes each.
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
+#: Fitting takes the rows with the smallest hashes among learnable labels: at most so many, of so many bytes and lines each.
+SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 3000, 1 << 15, 256
 STEPS, RATE, DECAY = 150, 0.05, 1e-3
 THRESHOLD = 0.3
 #: Bytes of text that are scored together.
@@ -36,86 +37,109 @@ _END[np.frombuffer(b".!?:;\"'", np.uint8)] = True
 OWN = len(_SETS) + 6
 
 
-def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (with neighbours' ones), byte length and document of every line; a text has one line at least."""
-    data = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
+@dataclass
+class Lines:
+    """Lines of texts, text by text: own features (the last says whether a line is repeated in its text), bytes, text."""
+
+    own: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a line is its text's first, and last."""
+        first = np.concatenate(([True], self.doc[1:] != self.doc[:-1]))
+        return first, np.concatenate((first[1:], [True]))
+
+    def full(self) -> np.ndarray:
+        """Own features, those of the line before and after, and the edges."""
+        first, last = self.edges()
+        before = np.where(first[:, None], 0, np.roll(self.own, 1, 0))
+        after = np.where(last[:, None], 0, np.roll(self.own, -1, 0))
+        return np.column_stack((self.own, before, after, first, last))
+
+    def weigh(self, w: np.ndarray) -> np.ndarray:
+        """full() @ w, without that matrix."""
+        first, last = self.edges()
+        own, before, after = (self.own @ v for v in np.split(w[: 3 * OWN], 3))
+        out = own + first * w[-2] + last * w[-1]
+        out[1:] += np.where(first[1:], 0, before[:-1])
+        out[:-1] += np.where(last[:-1], 0, after[1:])
+        return out
+
+
+def piece_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features but the last, size and hash of the lines that end within data."""
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), ends, "right")
     size = ends - starts
-    n = np.maximum(size, 1)[:, None].astype(float)
-    sums = np.zeros((len(ends), len(_SETS)))
+    n = np.maximum(size, 1)
+    own = np.zeros((len(ends), OWN), np.float32)
     for k in range(len(_SETS)):
         total = np.concatenate(([0], np.cumsum(_CLASSES[data, k], dtype=np.int64)))
-        sums[:, k] = total[ends] - total[starts]
+        own[:, k] = (total[ends] - total[starts]) / n
     a, b = C.word_spans(data)
     line = np.searchsorted(ends, a)
     words = np.bincount(line, minlength=len(ends))
-    pair = np.unique(C.mix(C.word_hashes(data, a, b)) ^ C.mix(line.astype(np.uint64)), return_index=True)[1]
+    pair = np.unique(C.join(C.stretch_hashes(data, a, b), line.astype(np.uint64)), return_index=True)[1]
     distinct = np.bincount(line[pair], minlength=len(ends))
-    whole = C.Rolling(C.byte_units(data)).at(starts, size)
-    _, which, times = np.unique(C.mix(whole) ^ C.mix(doc.astype(np.uint64)), return_inverse=True, return_counts=True)
     some = size > 0
-    own = np.column_stack(
-        [
-            sums / n,
-            np.log1p(size),
-            np.where(words > 0, (size / np.maximum(words, 1)).clip(0, 30) / 10, 0),
-            np.where(words > 0, distinct / np.maximum(words, 1), 1),
-            np.where(some, _END[data[np.maximum(ends - 1, 0)]], False),
-            np.where(some, _CLASSES[data[starts], 0], False),
-            (times[which] > 1) & some,
-        ]
-    )
-    first = np.concatenate(([True], doc[1:] != doc[:-1]))
-    last = np.concatenate((first[1:], [True]))
-    before = np.where(first[:, None], 0, np.roll(own, 1, 0))
-    after = np.where(last[:, None], 0, np.roll(own, -1, 0))
-    return np.column_stack((own, before, after, first, last)), size, doc
-
-
-def lines_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lines_of for many texts; the bytes' own arrays are made for PART_BYTES at a time."""
+    k = len(_SETS)
+    own[:, k] = np.log1p(size)
+    own[:, k + 1] = np.where(words > 0, (size / np.maximum(words, 1)).clip(0, 30) / 10, 0)
+    own[:, k + 2] = np.where(words > 0, distinct / np.maximum(words, 1), 1)
+    own[:, k + 3] = some & _END[data[np.maximum(ends - 1, 0)]]
+    own[:, k + 4] = some & _CLASSES[data[starts], 0]
+    return own, size, C.stretch_hashes(data, starts, ends)
+
+
+def lines_of(texts: list[bytes]) -> Lines:
+    """Lines of texts, of which each has one at least; bytes' own arrays are made for about PART_BYTES of whole lines at a time."""
+    data = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), ends, "right")
+    cuts = np.unique(np.concatenate((ends[np.searchsorted(ends, np.arange(PART_BYTES, len(data), PART_BYTES))] + 1, [0, len(data)])))
+    found = [piece_features(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    own, size, whole = (np.concatenate(c) for c in zip(*found, strict=True))
+    _, which, times = np.unique(C.join(whole, doc.astype(np.uint64)), return_inverse=True, return_counts=True)
+    own[:, -1] = (times[which] > 1) & (size > 0)
+    return Lines(own, size, doc)
+
+
+def lines_in_parts(texts: list[bytes]) -> Lines:
+    """lines_of for many texts, PART_BYTES at a time."""
     found, first, size = [], 0, 0
     for k, t in enumerate(texts):
         size += len(t)
         if size >= PART_BYTES or k + 1 == len(texts):
-            x, n, doc = lines_of(texts[first : k + 1])
-            found.append((x, n, doc + first))
+            x = lines_of(texts[first : k + 1])
+            found.append((x.own, x.size, x.doc + first))
             first, size = k + 1, 0
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    return Lines(*[np.concatenate(c) for c in zip(*found, strict=True)])
 
 
 class Chains:
-    """Lines of documents as padded arrays: documents by line number."""
+    """Lines of texts as chains that are walked side by side, line number by line number, longest first."""
 
     def __init__(self, doc: np.ndarray, n_docs: int):
-        self.counts = np.bincount(doc, minlength=n_docs)
-        self.at = np.arange(len(doc)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
-        self.doc, self.shape = doc, (n_docs, int(self.counts.max(initial=1)))
-        self.order = np.argsort(-self.counts, kind="stable")
-        self.alive = np.searchsorted(-self.counts[self.order], -np.arange(1, self.shape[1] + 1), "right")
-
-    def lay(self, v: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.shape)
-        out[self.doc, self.at] = v
-        return out
-
-    def messages(self, unary: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.bincount(doc, minlength=n_docs)
+        order = np.argsort(-counts, kind="stable")
+        self.begins = (np.cumsum(counts) - counts)[order]
+        self.longest = int(counts.max(initial=1))
+        #: Chains of more than k lines, for each k.
+        self.alive = np.searchsorted(-counts[order], -np.arange(1, self.longest + 1), "right").tolist()
+
+    def messages(self, u: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log odds; t[y, z] scores label y before label z."""
-        u = self.lay(unary)[self.order]
-        fwd, bwd = np.zeros(self.shape), np.zeros(self.shape)
-        fwd[:, 0] = u[:, 0]
-        for k in range(1, self.shape[1]):
-            n = self.alive[k]
-            x = fwd[:n, k - 1]
-            fwd[:n, k] = u[:n, k] + np.logaddexp(x + t[1, 1], t[0, 1]) - np.logaddexp(x + t[1, 0], t[0, 0])
-        for k in range(self.shape[1] - 2, -1, -1):
-            n = self.alive[k + 1]
-            x = u[:n, k + 1] + bwd[:n, k + 1]
-            bwd[:n, k] = np.logaddexp(x + t[1, 1], t[1, 0]) - np.logaddexp(x + t[0, 1], t[0, 0])
-        back = np.argsort(self.order)
-        return fwd[back][self.doc, self.at], bwd[back][self.doc, self.at]
+        fwd, bwd = u.copy(), np.zeros(len(u))
+        for k in range(1, self.longest):
+            at = self.begins[: self.alive[k]] + k
+            x = fwd[at - 1]
+            fwd[at] += np.logaddexp(x + t[1, 1], t[0, 1]) - np.logaddexp(x + t[1, 0], t[0, 0])
+        for k in range(self.longest - 2, -1, -1):
+            at = self.begins[: self.alive[k + 1]] + k
+            x = u[at + 1] + bwd[at + 1]
+            bwd[at] = np.logaddexp(x + t[1, 1], t[1, 0]) - np.logaddexp(x + t[0, 1], t[0, 0])
+        return fwd, bwd
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,18 +154,19 @@ class Field:
         self.w, self.bias, self.t = np.zeros(n), 0.0, np.zeros((2, 2))
         self.curve = (0.0, 1.0)
 
-    def marginals(self, x: np.ndarray, chains: Chains) -> np.ndarray:
-        fwd, bwd = chains.messages(((x - self.mean) / self.scale) @ self.w + self.bias, self.t)
+    def marginals(self, lines: Lines, chains: Chains) -> np.ndarray:
+        w = self.w / self.scale
+        fwd, bwd = chains.messages(lines.weigh(w) + (self.bias - self.mean @ w), self.t)
         return sigmoid(fwd + bwd)
 
-    def quality(self, x: np.ndarray, size: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    def quality(self, lines: Lines, n: int) -> np.ndarray:
         """Length-weighted mean marginal of each of n texts; an empty text has its one empty line's."""
-        p = self.marginals(x, Chains(doc, n))
-        weight = np.maximum(size, 1e-3)
-        return np.bincount(doc, p * weight, n) / np.bincount(doc, weight, n)
+        p = self.marginals(lines, Chains(lines.doc, n))
+        weight = np.maximum(lines.size, 1e-3)
+        return np.bincount(lines.doc, p * weight, n) / np.bincount(lines.doc, weight, n)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        q = np.clip(self.quality(*lines_of(texts), len(texts)), 1e-4, 1 - 1e-4)
+        q = np.clip(self.quality(lines_of(texts), len(texts)), 1e-4, 1 - 1e-4)
         return sigmoid(self.curve[0] + self.curve[1] * np.log(q / (1 - q)))
 
 
@@ -150,9 +175,11 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
     field = Field(3 * OWN + 2)
     if not texts:
         return field
-    x, size, doc = lines_in_parts(texts)
-    field.mean, field.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = (x - field.mean) / field.scale
+    lines = lines_in_parts(texts)
+    doc, z = lines.doc, lines.full().astype(float)
+    field.mean, field.scale = z.mean(0), np.maximum(z.std(0), 1e-6)
+    z -= field.mean
+    z /= field.scale
     y = labels[doc].astype(float)
     chains = Chains(doc, len(texts))
     follow = np.flatnonzero(doc[1:] == doc[:-1])
@@ -174,7 +201,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
         field.w += move[: len(field.w)]
         field.bias += move[len(field.w)]
         field.t += move[-4:].reshape(2, 2)
-    q = np.clip(field.quality(x, size, doc, len(texts)), 1e-4, 1 - 1e-4)
+    q = np.clip(field.quality(lines, len(texts)), 1e-4, 1 - 1e-4)
     a = np.column_stack((np.ones(len(q)), np.log(q / (1 - q))))
     c = np.array([0.0, 1.0])
     for _ in range(25):
@@ -185,19 +212,24 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
     return field
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of the bounded sample; the ids are chosen before any text moves."""
+def sample_labels(docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int, max_lines: int) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of the bounded sample; the ids are chosen before any text moves.
+
+    Of rows that repeat a picked doc_id one counts, the one with the smallest text by hash.
+    """
     picked = labels.filter(F.col("quality").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text")
-    got = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "quality").collect()
+    fits = (F.octet_length("text") <= max_bytes) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < max_lines)
+    texts = docs.filter(fits).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    got = one.orderBy("doc_id").select("text", "quality").collect()
     return [r.text.encode() for r in got], np.array([float(r.quality > 0) for r in got])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Row per document: doc_id, held_out, score, predicted.
 
-    Learns from at most `rows` labelled documents of up to SAMPLE_BYTES bytes whose crc32(doc_id
+    Learns from at most `rows` labelled documents of up to SAMPLE_BYTES bytes and SAMPLE_LINES lines whose crc32(doc_id
     as text) mod 5 is not 0 (a doc_id with several labels counts with the highest); every whole
     text is scored from its text alone. Null texts are empty; an empty text is one empty line.
     Without any label to learn from, all scores are 0.5. Repeated rows are scored each; a null
@@ -206,7 +238,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Dat
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = spark.sparkContext.broadcast(fit(*sample_labels(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), rows, SAMPLE_BYTES)))
+    model = spark.sparkContext.broadcast(fit(*sample_labels(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), rows, SAMPLE_BYTES, SAMPLE_LINES)))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +246,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.value.score(texts))], names=["doc_id", "held_out", "score"])
 
     docs = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
-    out = docs.mapInArrow(f, "doc_id long, held_out boolean, score double")
+    out = docs.mapInArrow(C.lean(f), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -231,11 +263,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFra
     spark = docs.sparkSession
     ship(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = spark.sparkContext.broadcast(fit(*sample_labels(ids, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), rows, SAMPLE_BYTES)))
+    model = spark.sparkContext.broadcast(fit(*sample_labels(ids, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), rows, SAMPLE_BYTES, SAMPLE_LINES)))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in C.parts(b, PART_BYTES):
                 yield part.filter(pa.array(model.value.score(texts) >= THRESHOLD))
 
-    return docs.mapInArrow(f, docs.schema)
+    return docs.mapInArrow(C.lean(f), docs.schema)

@@ -1,18 +1,23 @@
-"""Windows that occur before: rank refinement over sampled positions.
+"""Windows that occur before: which sampled positions share ranks, and what decides among those.
 
 Every sequence (bytes or words) is cut into windows of a fixed length, one at each position.
-Which windows started earlier is decided in rounds. Each round gives positions a rank of a
-longer stretch than the round before, and only positions whose rank is shared go on:
+Which windows started earlier is decided in rounds, and only what is shared goes on:
 
 * round 0 ranks the `gram` that a window chose as its minimum by hash (equal windows choose
   the same gram at the same place, so nothing is lost; one choice serves a run of windows);
-* round 1 ranks the union of all windows of a run (between one and two windows long);
-* round 2 ranks the single windows of those runs that differ from others of the same gram.
-
-Texts stay in chunks that are written once and never move again. What moves are, for each
-chunk and bucket of ranks, one row of sorted distinct ranks and, back, one bit for each. A
-rank that fills the corpus so costs one entry a chunk: no task holds all its occurrences.
-Ranks are 64-bit hashes of the stretches.
+* round 1 ranks the union of all windows of a run (between one and two windows long): a run
+  that equals an earlier one repeats as a whole;
+* round 2 takes the runs that are the first of their union but share their gram with others.
+  Their stretches of text meet, dealt by gram, and an operator's own engine decides window by
+  window over the true text: subtrees of suffixes for words, rank pairs by doubling for bytes.
+
+A gram with more than `Rule.hot` distinct unions would fill a task; its windows are ranked one
+by one instead, each dealt by its own hash.
+
+Texts stay in chunks that are written once and never move again. What moves in rounds 0 and 1
+is, for each chunk and bucket of ranks, one row of sorted distinct ranks and, back, one or two
+bits for each. A rank that fills the corpus so costs one entry a chunk: no task holds all its
+occurrences. Unions and the windows of hot grams are compared by two 64-bit hashes each.
 """
 
 from __future__ import annotations
@@ -32,25 +37,45 @@ from sedge.llm import common as C
 from sedge.shipping import ship
 
 U64 = np.uint64
-#: Bits for the place in a sliding minimum; the others are the hash.
-PLACE_BITS = 28
+#: Bits for the place in a sliding minimum; the others are the hash. Texts are below 2**31 bytes.
+PLACE_BITS = 32
 #: Units that are hashed at a time; only a longer document makes a longer slice.
 SLICE = 1 << 20
+#: Distinct stretches of one gram that meet in one task.
+HOT = 4096
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What counts as earlier: words ask for a smaller doc_id, bytes also take the same document."""
+    """What counts as earlier: words ask for a smaller doc_id, bytes also take the same document.
+
+    decide: (stretches, windows) for each stretch of a bucket, and its doc_id, to one flag a
+    window, whether it repeats an earlier one; stretches come in the order of chunks and places.
+    """
 
     words: bool
     window: int
     gram: int
+    decide: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+    hot: int = HOT
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.window:
             raise ValueError("gram must be between 1 and window")
 
 
+@dataclass
+class Slice:
+    """Some whole documents of a chunk: the first one's number, its first byte, and units as places in data."""
+
+    doc: int
+    offset: int
+    begins: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: C.Doubled
+
+
 class Chunk:
     """A group of whole documents with their bytes end to end."""
 
@@ -70,25 +95,28 @@ class Chunk:
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]]
 
-    def slices(self, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """First document, units and each document's first unit, for runs of documents."""
+    def slices(self, rule: Rule) -> Iterator[Slice]:
         n, k = len(self.ids), 0
         while k < n:
             to = max(k + 1, int(np.searchsorted(self.offsets, self.offsets[k] + SLICE, "right")) - 1)
-            data = np.frombuffer(self.data, np.uint8, self.offsets[to] - self.offsets[k], self.offsets[k]) if self.data else np.zeros(0, np.uint8)
-            offsets = self.offsets[k : to + 1] - self.offsets[k]
-            if not rule.words:
-                yield k, C.byte_units(data), offsets
-            elif len(data):
+            at = int(self.offsets[k])
+            data = np.frombuffer(self.data, np.uint8, int(self.offsets[to]) - at, at) if self.data else np.zeros(0, np.uint8)
+            offsets = self.offsets[k : to + 1] - at
+            if rule.words:
                 starts, ends = doc_words(data, offsets)
-                yield k, C.word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+                yield Slice(k, at, np.searchsorted(starts, offsets), starts, ends, C.Doubled(C.stretch_hashes(data, starts, ends)))
             else:
-                yield k, np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+                starts = np.arange(len(data))
+                whole = rule.gram >= 8
+                units = C.eights(data)[: max(len(data) - 7, 0)] if whole else C.mix(data.astype(U64) + U64(1))
+                yield Slice(k, at, offsets, starts, starts + 1, C.Doubled(units, 8 if whole else 1))
             k = to
 
 
 def doc_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of texts that lie end to end; none reaches over the edge of a text."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts, ends = C.word_spans(data)
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
@@ -110,65 +138,79 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows of a chunk that chose the same gram: first and last window, document, ranks."""
+    """Runs of windows of a chunk that chose the same gram.
+
+    first and last window and the gram's place count units from the start of the slice; from
+    and to are the bytes of all the run's windows in the chunk.
+    """
 
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    slice: np.ndarray
     gram: np.ndarray
     union: np.ndarray
-    slice: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
+    def take(self, which: np.ndarray) -> Runs:
+        return Runs(*[getattr(self, f)[which] for f in Runs.__dataclass_fields__])
 
-def runs_of(rule: Rule, chunk: Chunk, keep: np.ndarray | None = None, distinct: np.ndarray | None = None) -> tuple[Runs, list[tuple[int, np.ndarray, C.Rolling | None]]]:
-    """Runs of all documents; with keep, of grams in `distinct` whose flag is set only.
 
-    first and last count units from the start of the slice.
-    """
+def runs_of(rule: Rule, chunk: Chunk, unions: bool) -> Runs:
+    """Runs of all documents, with their unions' hashes or (cheaper) without."""
     w = rule.window - rule.gram + 1
+    low = U64((1 << PLACE_BITS) - 1)
     parts: list[tuple] = []
-    slices: list[tuple[int, np.ndarray, C.Rolling | None]] = []
-    for s, (k, units, begins) in enumerate(chunk.slices(rule)):
-        rolling = C.Rolling(units)
-        if len(units) >= rule.window:
-            grams = rolling.all(rule.gram)
-            low = U64((1 << PLACE_BITS) - 1)
-            best = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U64), w) & low
-            ok = np.zeros(len(best), bool)
-            lengths = np.diff(begins)
-            wide = lengths >= rule.window
-            edge = np.zeros(len(best) + 1, np.int8)
-            np.add.at(edge, begins[:-1][wide], 1)
-            np.add.at(edge, begins[1:][wide] - rule.window + 1, -1)
-            ok = np.cumsum(edge[:-1]).astype(bool)
-            at = np.flatnonzero(ok)
-            if len(at):
-                b = best[at]
-                new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1))))
-                first, last = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))]
-                place = b[new].astype(np.int64)
-                gram = grams[place]
-                if keep is not None:
-                    hit = keep[np.searchsorted(distinct, gram)]
-                    first, last, place, gram = first[hit], last[hit], place[hit], gram[hit]
-                length = last - first + rule.window
-                union = C.mix(rolling.at(first, length) ^ (length * 1024 + (place - first)).astype(U64) ^ C.mix(gram)) if keep is not None else gram
-                doc = k + np.searchsorted(begins, first, "right") - 1
-                parts.append((doc, first, last, gram, union, np.full(len(first), s)))
-        slices.append((k, begins, rolling if keep is not None else None))
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, np.int64)]
-    return Runs(*cols), slices
-
-
-def bucket_rows(chunk: int, kind: int, n_buckets: int, ranks: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """Rows (bucket, kind, chunk, blob) of sorted distinct ranks and what goes with them."""
+    for s, x in enumerate(chunk.slices(rule)):
+        if len(x.starts) < rule.window:
+            continue
+        grams = x.hashes.all(rule.gram)
+        best = sliding_min((C.mix(grams) & ~low) | np.arange(len(grams), dtype=U64), w) & low
+        wide = np.diff(x.begins) >= rule.window
+        edge = np.zeros(len(best) + 1, np.int8)
+        np.add.at(edge, x.begins[:-1][wide], 1)
+        np.add.at(edge, x.begins[1:][wide] - rule.window + 1, -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]).astype(bool))
+        if not len(at):
+            continue
+        b = best[at].astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (at[1:] != at[:-1] + 1))))
+        first, last = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))]
+        place = b[new]
+        length = last - first + rule.window
+        union = C.join(x.hashes.at(first, length), (place - first).astype(U64)) if unions else np.zeros(len(first), U64)
+        doc = x.doc + np.searchsorted(x.begins, first, "right") - 1
+        parts.append((doc, first, last, np.full(len(first), s), grams[place], union, x.offset + x.starts[first], x.offset + x.ends[first + length - 1]))
+    kinds = (np.int64, np.int64, np.int64, np.int64, U64, U64, np.int64, np.int64)
+    return Runs(*([np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in kinds]))
+
+
+def bucket_of(ranks: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (((C.mix(ranks) >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int64)
+
+
+def bucket_order(ranks: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Order by bucket, rank and place; rows of a chunk are made, and answered, in it."""
+    return np.lexsort((ranks, bucket_of(ranks, n_buckets)))
+
+
+def bucket_rows(chunk: int, kind: int, n_buckets: int, ranks: np.ndarray, *columns: np.ndarray | list[bytes]) -> list[tuple]:
+    """Rows (bucket, kind, chunk, blob) of ranks in the order of buckets, and what goes with them."""
     if not len(ranks):
         return []
-    bucket = ((ranks >> U64(32)) * U64(n_buckets)) >> U64(32)
+    bucket = bucket_of(ranks, n_buckets)
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     rows = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        parts = [ranks[a:b].tobytes()] + [C.pack_longs(c[a:b].view(np.int64)) if c.dtype.itemsize == 8 else C.pack(np.packbits(c[a:b])) for c in columns]
+        parts = [ranks[a:b].tobytes()]
+        for c in columns:
+            if isinstance(c, list):
+                parts.append(C.pack(b"".join(c[a:b])))
+            elif c.dtype == U64:
+                parts.append(c[a:b].tobytes())
+            else:
+                parts.append(C.pack_longs(c[a:b]))
         rows.append((int(bucket[a]), kind, chunk, b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
     return rows
 
@@ -184,148 +226,192 @@ def open_blob(blob: bytes) -> list[bytes]:
 
 ROWS = "bucket long, kind int, chunk long, blob binary"
 _ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
-SEEN, UNION, GRAM, WINDOW = 0, 1, 2, 3
+SEEN, UNION, GRAM, WINDOW, TEXT = 0, 1, 2, 3, 4
+#: Bits of an answer.
+WIDTH = {SEEN: 1, UNION: 2, GRAM: 2, WINDOW: 2}
 
 
 def table(rows: list[tuple]) -> pa.Table:
     return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)}, schema=_ROWS)
 
 
-def local_first(ranks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ranks, smallest doc_id of each, index of each occurrence's rank, and the first occurrence (stable by doc_id)."""
-    order = np.lexsort((np.arange(len(ranks)), docs, ranks))
-    r = ranks[order]
-    new = np.concatenate(([True], r[1:] != r[:-1])) if len(r) else np.zeros(0, bool)
+def local_first(ranks: np.ndarray, more: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each occurrence among distinct (rank, more), and where each of these occurs first (by doc_id, then place)."""
+    order = np.lexsort((docs, more, ranks))
+    r, m = ranks[order], more[order]
+    new = np.concatenate(([True], (r[1:] != r[:-1]) | (m[1:] != m[:-1]))) if len(r) else np.zeros(0, bool)
     index = np.empty(len(ranks), np.int64)
     index[order] = np.cumsum(new) - 1
-    head = order[new]
-    return ranks[head], docs[head], index, head
+    return index, order[new]
 
 
-def reduce_bucket(t: pa.Table) -> pa.Table:
-    """Answers one bit an entry; each entry is a chunk's only one of its rank.
+class Distinct:
+    """A chunk's distinct (rank, more) in the order of buckets, with the smallest doc_id of each."""
+
+    def __init__(self, ranks: np.ndarray, more: np.ndarray, docs: np.ndarray, n_buckets: int):
+        index, head = local_first(ranks, more, docs)
+        order = bucket_order(ranks[head], n_buckets)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.index, self.head = place[index], head[order]
+        self.ranks, self.more, self.docs = ranks[self.head], more[self.head], docs[self.head]
+
+    def first(self, rule: Rule, answer: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which occurrences nothing earlier equals. Words don't mind the same doc_id elsewhere."""
+        if rule.words:
+            return (answer >= 1)[self.index] & (docs == self.docs[self.index])
+        out = np.zeros(len(docs), bool)
+        out[self.head] = answer == 2
+        return out
+
 
-    SEEN: the rank occurs more than once. UNION and WINDOW: this chunk holds the first
-    occurrence (smallest doc_id, then smallest chunk). GRAM: different unions follow.
+def two_bits(a: np.ndarray) -> np.ndarray:
+    return np.unpackbits(a.astype(np.uint8)[:, None], axis=1)[:, 6:].ravel()
+
+
+def reduce_bucket(rule: Rule, t: pa.Table) -> pa.Table:
+    """Answers each entry; but for TEXT, an entry is a chunk's only one of its rank.
+
+    SEEN: the rank occurs more than once. UNION and WINDOW: 2 if this chunk holds the first
+    occurrence (smallest doc_id, then smallest chunk), 1 if it holds that doc_id. GRAM: 1 if
+    different unions follow, 2 if more than rule.hot do. TEXT: the flags of all its windows.
     """
     out = []
     kinds, chunks, bucket = t.column("kind").to_numpy(), t.column("chunk").to_numpy(), t.column("bucket")[0].as_py()
     blobs = t.column("blob")
-    for kind in np.unique(kinds):
+    for kind in np.unique(kinds).tolist():
         rows = np.flatnonzero(kinds == kind)
         rows = rows[np.argsort(chunks[rows], kind="stable")]
         parts = [open_blob(blobs[int(i)].as_py()) for i in rows]
         ranks = [np.frombuffer(p[0], U64) for p in parts]
-        sizes = [len(r) for r in ranks]
+        longs = lambda j, parts=parts: np.concatenate([C.unpack_longs(p[j]) for p in parts])
+        plain = lambda j, parts=parts: np.concatenate([np.frombuffer(p[j], U64) for p in parts])
         every = np.concatenate(ranks)
-        distinct, index = np.unique(every, return_inverse=True)
-        if kind == SEEN:
-            many = np.bincount(index, minlength=len(distinct)) > 1
-            np.logical_or.at(many, index, np.concatenate([np.unpackbits(np.frombuffer(C.unpack(p[1]), np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)]).astype(bool))
-            bits = many[index]
-        elif kind == GRAM:
-            low, high = (np.concatenate([C.unpack_longs(p[j]) for p in parts]).view(U64) for j in (1, 2))
-            least, most = np.full(len(distinct), np.iinfo(np.uint64).max, U64), np.zeros(len(distinct), U64)
-            np.minimum.at(least, index, low)
-            np.maximum.at(most, index, high)
-            bits = (least != most)[index]
+        if kind == TEXT:
+            # columns: doc_id, windows and bytes of each stretch, and the stretches
+            ends = [np.cumsum(C.unpack_longs(p[3])).tolist() for p in parts]
+            texts = [x[a:b] for p, e in zip(parts, ends, strict=True) for x in [C.unpack(p[4])] for a, b in zip([0, *e[:-1]], e, strict=True)]
+            counts = longs(2)
+            bits = rule.decide(texts, counts, longs(1))
+            at = np.concatenate(([0], np.cumsum([int(C.unpack_longs(p[2]).sum()) for p in parts])))
         else:
-            docs = np.concatenate([C.unpack_longs(p[1]) for p in parts])
-            *_, head = local_first(every, docs)
-            bits = np.zeros(len(every), bool)
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            least[index[head]] = docs[head]
-            bits[head] = True
-            # the same doc_id in another chunk is no earlier document; only bytes ask who is first then
-            bits = np.where(bits, 2, np.where(docs == least[index], 1, 0)).astype(np.uint8)
-            bits = np.unpackbits(bits[:, None], axis=1)[:, 6:].ravel()
-        width = 2 if kind in (UNION, WINDOW) else 1
-        at = np.concatenate(([0], np.cumsum(sizes))) * width
-        out += [(bucket, int(kind), int(chunks[i]), C.pack(np.packbits(bits[a:b]))) for i, a, b in zip(rows, at[:-1], at[1:], strict=True)]
+            if kind == SEEN:
+                distinct, index = np.unique(every, return_inverse=True)
+                bits = (np.bincount(index, longs(1), len(distinct)) > 1)[index]
+            elif kind == GRAM:
+                distinct, index = np.unique(every, return_inverse=True)
+                least, most = np.full(len(distinct), np.iinfo(np.uint64).max, U64), np.zeros(len(distinct), U64)
+                np.minimum.at(least, index, plain(1))
+                np.maximum.at(most, index, plain(2))
+                many = np.bincount(index, longs(3), len(distinct)) > rule.hot
+                bits = two_bits(np.where(least == most, 0, np.where(many, 2, 1))[index])
+            else:
+                docs = longs(2)
+                index, head = local_first(every, plain(1), docs)
+                answer = (docs == docs[head][index]).astype(np.uint8)
+                answer[head] = 2
+                bits = two_bits(answer)
+            at = np.concatenate(([0], np.cumsum([len(r) for r in ranks]))) * WIDTH[kind]
+        out += [(bucket, kind, int(chunks[i]), C.pack(np.packbits(bits[a:b]))) for i, a, b in zip(rows, at[:-1], at[1:], strict=True)]
     return table(out)
 
 
-def answers(t: pa.Table, kind: int, ranks: np.ndarray, n_buckets: int) -> np.ndarray:
-    """A chunk's bits (or 2-bit answers) in the order of its sorted ranks."""
-    width = 2 if kind in (UNION, WINDOW) else 1
-    counts = np.bincount((((ranks >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int64)) if len(ranks) else np.zeros(0, np.int64)
-    rows = [(b, x) for b, k, x in zip(t.column("bucket").to_pylist(), t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True) if k == kind]
-    parts = [np.unpackbits(np.frombuffer(C.unpack(x), np.uint8), count=int(counts[b]) * width) for b, x in sorted(rows)]
-    bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-    if len(bits) != len(ranks) * width:
+def answers(t: pa.Table, kind: int, counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """A chunk's answers in the order of its ranks; counts: bits of each rank."""
+    rows = sorted((b, x) for b, k, x in zip(t.column("bucket").to_pylist(), t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True) if k == kind)
+    edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, np.int64)
+    sizes = np.add.reduceat(counts, edges) if len(edges) else edges
+    if [b for b, _ in rows] != buckets[edges].tolist():
         raise RuntimeError("a chunk's ranks changed between rounds")
-    return bits.reshape(-1, width) @ (np.array([2, 1]) if width == 2 else np.array([1]))
+    parts = [np.unpackbits(np.frombuffer(C.unpack(x), np.uint8), count=int(n)) for (_, x), n in zip(rows, sizes, strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-def is_first(rule: Rule, answer: np.ndarray) -> np.ndarray:
-    """Of a chunk's smallest doc_id of a rank; words don't mind the same doc_id elsewhere."""
-    return answer >= 1 if rule.words else answer == 2
+def numbers(t: pa.Table, kind: int, ranks: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Answers of WIDTH bits to a chunk's ranks."""
+    width = WIDTH[kind]
+    bits = answers(t, kind, np.full(len(ranks), width), bucket_of(ranks, n_buckets))
+    return bits.reshape(-1, width) @ (np.array([2, 1]) if width == 2 else np.array([1]))
 
 
 class State:
     """What a chunk knows after the rounds whose answers it has."""
 
     def __init__(self, rule: Rule, n_buckets: int, blob: bytes, got: pa.Table, rounds: int):
+        self.rule, self.n_buckets = rule, n_buckets
         self.chunk = Chunk(blob)
-        plain, _ = runs_of(rule, self.chunk)
-        self.seen = np.unique(plain.gram)
-        keep = answers(got, SEEN, self.seen, n_buckets).astype(bool)
-        self.runs, self.slices = runs_of(rule, self.chunk, keep, self.seen)
-        r = self.runs
+        every = runs_of(rule, self.chunk, True)
+        seen = np.unique(every.gram)
+        seen = seen[bucket_order(seen, n_buckets)]
+        shared = np.sort(seen[numbers(got, SEEN, seen, n_buckets) == 1])
+        place = np.minimum(np.searchsorted(shared, every.gram), max(len(shared) - 1, 0))
+        self.runs = r = every.take(shared[place] == every.gram if len(shared) else np.zeros(len(every.gram), bool))
         self.docs = self.chunk.ids[r.doc]
-        self.unions, self.union_doc, self.union_at, self.union_head = local_first(r.union, self.docs)
-        order = np.lexsort((r.union, r.gram))
-        g = r.gram[order]
-        new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
-        self.grams = g[new]
-        u = r.union[order]
-        self.low, self.high = u[new], u[np.concatenate((new[1:] - 1, [len(g) - 1]))] if len(g) else u
+        self.unions = Distinct(r.union, r.gram, self.docs, n_buckets)
         if rounds < 2:
             return
-        first = is_first(rule, answers(got, UNION, self.unions, n_buckets))[self.union_at]
-        if rule.words:
-            self.first = first & (self.docs == self.union_doc[self.union_at])
-        else:
-            head = np.zeros(len(self.docs), bool)
-            head[self.union_head] = True
-            self.first = first & head
-        many = answers(got, GRAM, self.grams, n_buckets).astype(bool)
-        self.open = self.first & many[np.searchsorted(self.grams, r.gram)]
-        n = (r.last - r.first + 1)[self.open]
-        self.window_run = np.repeat(np.flatnonzero(self.open), n)
-        self.window_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + r.first[self.window_run]
-        self.window_rank = np.zeros(len(self.window_run), U64)
-        for s in np.unique(r.slice[self.window_run]):
-            x = r.slice[self.window_run] == s
-            self.window_rank[x] = self.slices[s][2].at(self.window_at[x], rule.window)
-        # a window's gram rank joins in, so that two ranks must meet by chance at once
-        self.window_rank = C.mix(self.window_rank ^ r.gram[self.window_run])
-        self.windows, self.window_doc, self.windows_at, self.window_head = local_first(self.window_rank, self.docs[self.window_run])
+        self.first = self.unions.first(rule, numbers(got, UNION, self.unions.ranks, n_buckets), self.docs)
+        grams = np.unique(r.gram)
+        grams = grams[bucket_order(grams, n_buckets)]
+        many = numbers(got, GRAM, grams, n_buckets)
+        by_value = np.argsort(grams)
+        many = many[by_value][np.searchsorted(grams[by_value], r.gram)] if len(grams) else np.zeros(0, np.int64)
+        self.text = np.flatnonzero(self.first & (many == 1))
+        self.text = self.text[bucket_order(r.gram[self.text], n_buckets)]
+        self.hot = np.flatnonzero(self.first & (many == 2))
+        self.window_run, self.window_at = spread(r, self.hot)
+        ranks = np.zeros(len(self.window_run), U64)
+        wanted = np.unique(r.slice[self.window_run])
+        for s, x in enumerate(self.chunk.slices(rule) if len(wanted) else ()):
+            if s in wanted:
+                y = r.slice[self.window_run] == s
+                ranks[y] = x.hashes.at(self.window_at[y], np.full(int(y.sum()), rule.window))
+        self.windows = Distinct(ranks, r.gram[self.window_run], self.docs[self.window_run], n_buckets)
         if rounds < 3:
             return
-        first = is_first(rule, answers(got, WINDOW, self.windows, n_buckets))[self.windows_at]
-        if rule.words:
-            first &= self.docs[self.window_run] == self.window_doc[self.windows_at]
-        else:
-            head = np.zeros(len(first), bool)
-            head[self.window_head] = True
-            first &= head
-        self.late = ~first
+        self.late = ~self.windows.first(rule, numbers(got, WINDOW, self.windows.ranks, n_buckets), self.docs[self.window_run])
+        counts = (r.last - r.first + 1)[self.text]
+        self.text_late = answers(got, TEXT, counts, bucket_of(r.gram[self.text], n_buckets)).astype(bool)
+
+    def ask_unions(self, chunk: int) -> list[tuple]:
+        u, r = self.unions, self.runs
+        rows = bucket_rows(chunk, UNION, self.n_buckets, u.ranks, u.more, u.docs)
+        order = np.lexsort((u.ranks, u.more))
+        g, x = u.more[order], u.ranks[order]
+        new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+        last = np.concatenate((new[1:] - 1, [len(g) - 1])).astype(np.int64) if len(g) else new
+        by_bucket = bucket_order(g[new], self.n_buckets)
+        return rows + bucket_rows(chunk, GRAM, self.n_buckets, *[c[by_bucket] for c in (g[new], x[new], x[last], last - new + 1)])
 
-    def covered(self, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    def ask_windows(self, chunk: int) -> list[tuple]:
+        w, r, k = self.windows, self.runs, self.text
+        stretches = [self.chunk.data[a:b] for a, b in zip(r.start[k].tolist(), r.end[k].tolist(), strict=True)]
+        rows = bucket_rows(chunk, TEXT, self.n_buckets, r.gram[k], self.docs[k], (r.last - r.first + 1)[k], (r.end - r.start)[k], stretches)
+        return rows + bucket_rows(chunk, WINDOW, self.n_buckets, w.ranks, w.more, w.docs)
+
+    def covered(self) -> Iterator[tuple[int, np.ndarray]]:
         """For each document, which of its units a window with an earlier start covers."""
-        r = self.runs
-        for s, (k, begins, _) in enumerate(self.slices):
-            edge = np.zeros(int(begins[-1]) + 1, np.int32)
+        r, window = self.runs, self.rule.window
+        run, at = spread(r, self.text)
+        run, at = np.concatenate((run[self.text_late], self.window_run[self.late])), np.concatenate((at[self.text_late], self.window_at[self.late]))
+        for s, x in enumerate(self.chunk.slices(self.rule)):
+            edge = np.zeros(int(x.begins[-1]) + 1, np.int32)
             whole = (r.slice == s) & ~self.first
             np.add.at(edge, r.first[whole], 1)
-            np.add.at(edge, r.last[whole] + rule.window, -1)
-            one = self.late & (r.slice[self.window_run] == s)
-            np.add.at(edge, self.window_at[one], 1)
-            np.add.at(edge, self.window_at[one] + rule.window, -1)
+            np.add.at(edge, r.last[whole] + window, -1)
+            one = at[r.slice[run] == s]
+            np.add.at(edge, one, 1)
+            np.add.at(edge, one + window, -1)
             hit = np.cumsum(edge[:-1]) > 0
-            for j in range(len(begins) - 1):
-                yield k + j, hit[begins[j] : begins[j + 1]]
+            for j in range(len(x.begins) - 1):
+                yield x.doc + j, hit[x.begins[j] : x.begins[j + 1]]
+
+
+def spread(r: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and place of each window of some runs."""
+    n = (r.last - r.first + 1)[which]
+    run = np.repeat(which, n)
+    return run, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + r.first[run]
 
 
 def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int, np.ndarray], tuple], carry: tuple[str, ...] = (), chunk_bytes: int = C.TASK_BYTES) -> DataFrame:
@@ -354,24 +440,21 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int64()), "texts": pa.array([blob], pa.binary()), "rest": pa.array([C.pack(sink.getvalue().to_pybytes())], pa.binary())})
                 k += 1
 
-    store = C.checkpointed_by(docs.mapInArrow(chunks, "chunk long, texts binary, rest binary"), n_buckets, "chunk")
+    store = C.checkpointed_by(docs.mapInArrow(C.lean(chunks), "chunk long, texts binary, rest binary"), n_buckets, "chunk")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, blob in zip(b.column("chunk").to_pylist(), b.column("texts"), strict=True):
-                runs, _ = runs_of(rule, Chunk(blob.as_py()))
-                ranks, n = np.unique(runs.gram, return_counts=True)
-                yield from table(bucket_rows(c, SEEN, n_buckets, ranks, n > 1)).to_batches()
+                ranks, n = np.unique(runs_of(rule, Chunk(blob.as_py()), False).gram, return_counts=True)
+                order = bucket_order(ranks, n_buckets)
+                yield from table(bucket_rows(c, SEEN, n_buckets, ranks[order], np.minimum(n, 2)[order])).to_batches()
 
     def ask(rounds: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def f(left: pa.Table, got: pa.Table) -> pa.Table:
             rows = []
             for c, blob in zip(left.column("chunk").to_pylist(), left.column("texts"), strict=True):
                 s = State(rule, n_buckets, blob.as_py(), got, rounds)
-                if rounds == 1:
-                    rows += bucket_rows(c, UNION, n_buckets, s.unions, s.union_doc) + bucket_rows(c, GRAM, n_buckets, s.grams, s.low, s.high)
-                else:
-                    rows += bucket_rows(c, WINDOW, n_buckets, s.windows, s.window_doc)
+                rows += s.ask_unions(c) if rounds == 1 else s.ask_windows(c)
             return table(rows)
 
         return f
@@ -382,7 +465,7 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
         tables = []
         for blob, rest in zip(left.column("texts"), left.column("rest"), strict=True):
             s = State(rule, n_buckets, blob.as_py(), got, 3)
-            rows = [(int(s.chunk.ids[k]), *emit(s.chunk, k, hit)) for k, hit in s.covered(rule)]
+            rows = [(int(s.chunk.ids[k]), *emit(s.chunk, k, hit)) for k, hit in s.covered()]
             own = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(own_schema)]
             beside = pa.ipc.open_stream(C.unpack(rest.as_py())).read_all()
             tables.append(pa.table([*own, *[beside.column(n) for n in carried]], names=[*own_schema.names, *carried]))
@@ -390,11 +473,14 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
 
     own_schema = to_arrow_schema(T.StructType(out_schema.fields[: len(out_schema) - len(carried)]))
 
+    def reduce(t: pa.Table) -> pa.Table:
+        return reduce_bucket(rule, t)
+
     def meet(asked: DataFrame) -> DataFrame:
-        return C.checkpointed(asked.groupBy("bucket").applyInArrow(reduce_bucket, ROWS))
+        return C.checkpointed(asked.groupBy("bucket").applyInArrow(reduce, ROWS))
 
     by_chunk = store.groupBy("chunk")
-    got = meet(store.mapInArrow(seen, ROWS))
+    got = meet(store.mapInArrow(C.lean(seen), ROWS))
     for rounds in (1, 2):
         more = by_chunk.cogroup(got.groupBy("chunk")).applyInArrow(ask(rounds), ROWS)
         got = C.checkpointed(got.unionByName(meet(more)))

@@ -12,6 +12,8 @@ DataFrame functions only. A pattern's places follow from the texts between its m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +32,41 @@ KINDS = ["assign", "access", "hex", "key", "endpoint"]
 SCOPE = 400
 
 
+#: Matches whose places are summed up together; a list that grows is copied at each step.
+BLOCK = 256
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _sums(values: Column) -> Column:
+    """For each value the sum of those before it."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """array<struct<start, kind, end>> of all matches, in code points; keep: a flag for each."""
     p = F.lit(pattern)
-    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length)
-    between = F.transform(F.split(text, pattern, -1), F.length)
+    whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: F.length(m).cast("long"))
+    between = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
     flags = keep if keep is not None else F.transform(whole, lambda _: F.lit(True))
-    steps = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda a, b: F.struct(a.alias("gap"), b.alias("len"))), flags, lambda s, k: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), k.alias("keep")))
-    one = lambda at, s: F.struct((at + s["gap"]).cast("long").alias("start"), F.lit(kind).alias("kind"), (at + s["gap"] + s["len"]).cast("long").alias("end"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("out"))
-    step = lambda acc, s: F.struct((acc["at"] + s["gap"] + s["len"]).cast("long").alias("at"), F.when(s["keep"], F.concat(acc["out"], F.array(one(acc["at"], s)))).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    steps = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda g, n: F.struct(g.alias("gap"), n.alias("len"))), flags, lambda s, k: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), k.alias("keep")))
+    moved = lambda s: s["gap"] + s["len"]
+
+    def places(block: Column, offset: Column) -> Column:
+        starts = F.zip_with(block, _sums(F.transform(block, moved)), lambda s, at: F.struct((offset + at + s["gap"]).alias("start"), F.lit(kind).alias("kind"), (offset + at + moved(s)).alias("end"), s["keep"].alias("keep")))
+        return F.transform(F.filter(starts, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    def all_places(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, s: acc + moved(s)))
+        return F.flatten(F.zip_with(blocks, _sums(totals), places))
+
+    last = lambda s: F.greatest(F.floor((F.size(s) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = _once(steps, lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda k: F.slice(s, k * BLOCK + 1, BLOCK)))
+    return _once(blocks, all_places)
 
 
 EMPTY = "array<struct<start:bigint,kind:int,end:bigint>>"

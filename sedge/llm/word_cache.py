@@ -5,24 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any
 
+#: Bytes that an entry takes besides its key and value, about.
+ENTRY = 200
+
 
 class WordCache:
-    """Values by key; `known` holds at least the keys last asked for, and about `limit` others."""
+    """Values by key, two generations of about `limit` bytes; `known` holds at least the keys last asked for.
+
+    Keys of over `longest` units are made each time, so that odd texts push nothing out.
+    """
 
-    def __init__(self, make_all: Callable[[list], list], limit: int = 500_000):
-        self.make_all, self.limit = make_all, limit
+    def __init__(self, make_all: Callable[[list], list], size_of: Callable[[Any], int] = len, limit: int = 24 << 20, longest: int = 256):
+        self.make_all, self.size_of, self.limit, self.longest = make_all, size_of, limit, longest
         self.known: dict = {}
         self.old: dict = {}
+        self.size = 0
 
     def known_for(self, keys: Iterable[Any]) -> dict:
         """A dict that has all the keys; new values are made in one call."""
         wanted = set(keys)
-        if len(self.known) >= self.limit:
-            self.old, self.known = self.known, {}
+        if self.size >= self.limit:
+            self.old, self.known, self.size = self.known, {}, 0
         new = wanted.difference(self.known)
         old = self.old
-        self.known.update((k, old[k]) for k in [k for k in new if k in old])
-        new = sorted(new.difference(old)) if old else sorted(new)
+        found = {k: old[k] for k in new if k in old}
+        new = sorted(new.difference(found))
         if new:
-            self.known.update(zip(new, self.make_all(new), strict=True))
-        return self.known
+            found.update(zip(new, self.make_all(new), strict=True))
+        long = {k: v for k, v in found.items() if len(k) > self.longest}
+        for k in long:
+            del found[k]
+        self.known.update(found)
+        self.size += sum(map(len, found)) + sum(map(self.size_of, found.values())) + ENTRY * len(found)
+        return self.known | long if long else self.known

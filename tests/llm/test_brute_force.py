@@ -42,7 +42,6 @@ def sha(x):
 
 def test_packing(docs, results):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in results("op1_curve_packing"):
         pieces[r.doc_id].append(r)
@@ -154,6 +153,14 @@ def test_media(docs, results):
         p = b + b"\0" * (-len(b) % 64 or (0 if b else 64))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), sha(p), zlib.crc32(p[-64:]))
+        media = f"P5\n64 {len(p) // 64}\n255\n".encode() + p
+        step = sum(abs(p[k + 64] - p[k]) for k in range(len(p) - 64)) / len(p)
+        mean = sum(p) / len(p)
+        want = f"rows={len(p) // 64};mean={mean:.6f};var={sum(x * x for x in p) / len(p) - mean**2:.6f};step={step:.6f}"
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), sha(media), want)
+        lines = [x for line in t.split("\n") if (x := " ".join(line.split()))]
+        assert (r.n_items, r.position) == (len(lines) + 1, 1 if t.split("\n")[0].split() else 0)
+        assert r.caption == (" ".join(lines[0][:80].split()) if lines else f"{len(t)} characters")
 
 
 def test_vectors(spark, data, results):
@@ -209,7 +216,6 @@ def test_words_fall_into_the_tokens_of_the_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rng, letters = random.Random(1), "abXY'sS’Σσς.,!éÉ́Åİıſß123_日本ª²ⅧͅΩǅ'tre llvem|-🙂\x00\x85\xa0"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
     got = word_coder(path).encode([t.encode() for t in texts])
