@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import count_if, md5_int, quantile, sha, sha_byte, sql_query, strip
+from sedge.plans.dialect import count_if, md5_int, quantile, same_query, sha, sha_byte, sql_query, strip
 
 sql_query(
     "scan_documents",
@@ -35,12 +35,9 @@ sql_query(
 
 sql_query(
     "shard_by_source",
-    """select <<regexp_replace(source, '[^A-Za-z0-9_.-]+', '_')||regexp_replace(source, '[^A-Za-z0-9_.-]+', '_', 'g')>> as shard,
+    """select coalesce(<<regexp_replace(source, '[^A-Za-z0-9_.-]+', '_')||regexp_replace(source, '[^A-Za-z0-9_.-]+', '_', 'g')>>, '<unselected>') as shard,
               count(*) as n_rows, cast(sum(<<octet_length(text)||strlen(text)>>) as bigint) as n_bytes
-       from documents where source in ('src0', 'src1', 'src2', 'src3') group by 1
-       union all
-       select '<unselected>' as shard, count(*) as n_rows, cast(sum(<<octet_length(text)||strlen(text)>>) as bigint) as n_bytes
-       from documents where source not in ('src0', 'src1', 'src2', 'src3')""",
+       from documents group by 1""",
 )
 
 sql_query(
@@ -155,34 +152,19 @@ sql_query(
 
 sql_query(
     "exclude_prior",
-    f"""with prior as (select {sha("text")} as h from benchmark)
-        select d.source, count(*) as n_kept from documents d where {sha("d.text")} not in (select h from prior) group by d.source""",
-)
-
-sql_query(
-    "exclude_prior_contains",
-    """with b as (select distinct substr(text, 1, 80) as head from benchmark where length(text) >= 80)
-       select d.doc_id, count(*) as n_passages from documents d join b on <<contains(d.text, b.head)||contains(d.text, b.head)>> group by d.doc_id""",
+    f"""with prior as (select distinct {sha("text")} as h from benchmark), d as (select source, {sha("text")} as h from documents)
+        select d.source, count(*) as n_kept from d where not exists (select 1 from prior where prior.h = d.h) group by d.source""",
 )
 
 sql_query(
     "pairwise_overlap",
-    f"""with h as (select distinct source, {sha("text")} as h from documents where source in ('src0','src1','src2','src3','src4','src5')),
-             s as (select distinct source from h),
-             pairs as (select a.source as left_source, b.source as right_source from s a join s b on a.source < b.source),
-             same as (select a.source as left_source, b.source as right_source, count(*) as n from h a join h b on a.h = b.h and a.source < b.source group by 1, 2)
-        select p.left_source, p.right_source, coalesce(n, 0) as n_shared from pairs p left join same s on p.left_source = s.left_source and p.right_source = s.right_source""",
-)
-
-#: All pairs of all sources, where pairwise_overlap takes six sources.
-sql_query(
-    "pairwise_overlap_whole",
     f"""with h as (select distinct source, {sha("text")} as h from documents),
              s as (select distinct source from h),
              pairs as (select a.source as left_source, b.source as right_source from s a join s b on a.source < b.source),
              same as (select a.source as left_source, b.source as right_source, count(*) as n from h a join h b on a.h = b.h and a.source < b.source group by 1, 2)
         select p.left_source, p.right_source, coalesce(n, 0) as n_shared from pairs p left join same s on p.left_source = s.left_source and p.right_source = s.right_source""",
 )
+same_query("pairwise_overlap_whole", "pairwise_overlap")
 
 sql_query(
     "source_contract",
@@ -213,7 +195,7 @@ sql_query(
 
 sql_query(
     "token_budget_take",
-    f"""with u as (select doc_id, source, least(n_chars, 2048) as capped, row_number() over (partition by {sha("substr(text, 1, 2048)")} order by doc_id) as k from documents),
+    f"""with u as (select doc_id, source, least(n_chars, 2048) as capped, row_number() over (partition by {sha("text")} order by doc_id) as k from documents),
              c as (select doc_id, source, capped, coalesce(sum(capped) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from u where k = 1)
         select doc_id, source, cast(least(capped, 30000 - before) as bigint) as tokens from c where before < 30000""",
 )
@@ -252,7 +234,7 @@ sql_query(
         select doc_id, source, cast(k as bigint) as turn from p order by k, n desc, source limit 60""",
 )
 
-_A, _B = (f"select distinct {sha('text')} as h from documents where source = '{s}'" for s in ("src0", "src1"))
+_A, _B = (f"select distinct {sha('text')} as h from documents where doc_id % 2 = {k}" for k in (0, 1))
 sql_query("set_intersect", f"select h from ({_A}) a intersect select h from ({_B}) b")
 sql_query("set_except", f"select h from ({_A}) a except select h from ({_B}) b")
 sql_query(
@@ -277,8 +259,9 @@ sql_query(
     "inventory_bytes",
     """select case when n_chars < 500 then 'small' when n_chars < 5000 then 'medium' else 'large' end as class, lang, count(*) as n, cast(sum(<<octet_length(text)||strlen(text)>>) as bigint) as n_bytes from documents group by 1, 2""",
 )
+# a shard's names in pages of so many numbers, so that no list grows with the table
 sql_query(
     "group_by_shard",
-    """select source as shard, count(*) as n, <<array_join(array_sort(collect_list(doc_id)), ',')||array_to_string(list_sort(list(doc_id)), ',')>> as members from documents group by source""",
+    """select source as shard, cast(floor(doc_id / 1000.0) as bigint) as page, count(*) as n, <<array_join(array_sort(collect_list(doc_id)), ',')||array_to_string(list_sort(list(doc_id)), ',')>> as members from documents group by 1, 2""",
 )
 sql_query("length_quantiles", f"select lang, round({quantile('n_chars', 0.5)}, 6) as p50, round({quantile('n_chars', 0.99)}, 6) as p99 from documents group by lang")

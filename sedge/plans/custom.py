@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import hashing
 from sedge.operators import moments, scheduling
-from sedge.plans.dialect import EVENTS, LEDGER, frame_query, run_sql, table
+from sedge.plans.dialect import EVENTS, LEDGER, frame_query, run_sql, same_query, table
 from sedge.shipping import ship
 from sedge.sources import tensors
 from sedge.streaming import events as streams
@@ -31,51 +33,61 @@ def content_hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRAM_SQL = """with e as (select label, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings where label is not null)
   select a.label as label, cast(a.i as bigint) as i, cast(b.i as bigint) as j, round(sum(cast(a.v as double) * b.v), 4) + 0.0 as g, count(*) as n
-  from e a join e b on a.vec_id = b.vec_id and a.label = b.label where a.i <= 8 and b.i <= 8 group by a.label, a.i, b.i"""
+  from e a join e b on a.vec_id = b.vec_id and a.label = b.label group by a.label, a.i, b.i"""
 
 
 @frame_query("gram_partial_merge", _GRAM_SQL)
 def gram_partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full matrix is merged; its leading block is shown."""
-    return gram_partial_merge_whole(spark, sf_dir).filter("i <= 8 and j <= 8")
-
-
-_WHOLE_GRAM_SQL = """with e as (select label, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings where label is not null)
-  select a.label as label, cast(a.i as bigint) as i, cast(b.i as bigint) as j, round(sum(cast(a.v as double) * b.v), 4) + 0.0 as g, count(*) as n
-  from e a join e b on a.vec_id = b.vec_id and a.label = b.label group by a.label, a.i, b.i"""
-
-
-@frame_query("gram_partial_merge_whole", _WHOLE_GRAM_SQL)
-def gram_partial_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     g = moments.gram(table(spark, sf_dir, "embeddings"), "label", "embedding")
     cells = g.select("label", "n_rows", "dim", F.posexplode("gram").alias("p", "g"))
     return cells.select(F.col("label").cast("int").alias("label"), (F.floor(F.col("p") / F.col("dim")) + 1).alias("i"), (F.col("p") % F.col("dim") + 1).cast("long").alias("j"), (F.round("g", 4) + F.lit(0.0)).alias("g"), F.col("n_rows").alias("n"))
 
 
-#: Interior words of a passage that make its key.
-KEY_WORDS = 5
+same_query("gram_partial_merge_whole", "gram_partial_merge")
+
+#: Words, and characters of passages without so many, that make a passage's key.
+KEY_WORDS, KEY_CHARS = 5, 3
 
 
-@frame_query("exclude_prior_contains_whole", "with b as (select distinct text from benchmark where length(text) > 0) select d.doc_id, count(*) as n_passages from documents d join b on contains(d.text, b.text) group by d.doc_id")
-def exclude_prior_contains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole distinct passages that a document holds, where exclude_prior_contains takes their first 80 characters.
+def passages_in(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Row per document that holds a passage: doc_id, n_passages (whole distinct ones, of any length).
 
-    A passage's words between its first and its last are whole words of any text that holds it.
-    Five of them in a row are its key, by which documents are found; contains() decides. Passages
-    too short for a key are compared with every document.
+    A passage's words between its first and its last are whole words of any text that holds it;
+    up to five of them in a row are its key, by which documents are found. One of two words or
+    fewer is found by its first characters. contains() decides. Empty and null texts hold
+    nothing; repeated rows of docs count each, on their own doc_id.
     """
     words = lambda c: F.split(c, r"\s+")
-    runs = lambda w, first, last: F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS)))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text").filter("length(text) > 0").withColumn("h", F.xxhash64("text"))
-    b = table(spark, sf_dir, "benchmark").filter("length(text) > 0").select("text").distinct().withColumn("w", words("text"))
-    long = b.filter(F.size("w") >= KEY_WORDS + 2).select(F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, KEY_WORDS)).alias("key"))
-    short = b.filter(F.size("w") < KEY_WORDS + 2).select(F.col("text").alias("passage"))
-    keys = docs.withColumn("w", words("text")).filter(F.size("w") >= KEY_WORDS)
-    keys = keys.select("h", F.explode(F.array_distinct(runs(F.col("w"), F.lit(1), F.size("w") - (KEY_WORDS - 1)))).alias("key"))
-    found = keys.join(long, "key").select("h", "passage").distinct()
-    hits = docs.join(found, "h").select("doc_id", "text", "passage").unionByName(docs.crossJoin(short).select("doc_id", "text", "passage"))
-    return hits.filter(F.contains("text", "passage")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"))
+    docs = docs.select("doc_id", "text").filter("length(text) > 0").withColumn("h", F.xxhash64("text"))
+    b = passages.filter("length(text) > 0").select(F.col("text").alias("passage")).distinct().withColumn("w", words("passage"))
+    inner = F.least(F.size("w") - 2, F.lit(KEY_WORDS))
+    first = F.substring("passage", 1, KEY_CHARS)
+    b = b.withColumn("n", F.when(inner > 0, inner).otherwise(-F.length(first)))
+    b = b.select("passage", "n", F.when(inner > 0, F.xxhash64(F.slice("w", 2, F.greatest(inner, F.lit(1))))).otherwise(F.xxhash64(first)).alias("key"))
+    texts = docs.select("h", "text").dropDuplicates(["h"]).withColumn("w", words("text"))
+    def runs_of(n: int) -> F.Column:
+        """Hashes of all runs of n words, or of -n characters."""
+        at = F.sequence(F.lit(1), F.when(F.lit(n > 0), F.size("w")).otherwise(F.length("text")) - (abs(n) - 1))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, n) if n > 0 else F.substring(F.col("text"), i, F.lit(-n)))))
+
+    found = []
+    for (n,) in b.select("n").distinct().collect():  # at most KEY_WORDS + KEY_CHARS numbers
+        size = F.size("w") if n > 0 else F.length("text")
+        runs = texts.filter(size >= abs(n)).select("h", F.explode(runs_of(n)).alias("key"))
+        found.append(runs.join(b.filter(F.col("n") == n), "key").select("h", "passage"))
+    if not found:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_passages")).limit(0)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    return docs.join(pairs, "h").filter(F.contains("text", "passage")).groupBy("doc_id").agg(F.countDistinct("passage").alias("n_passages"))
+
+
+@frame_query("exclude_prior_contains", "with b as (select distinct text from benchmark where length(text) > 0) select d.doc_id, count(distinct b.text) as n_passages from documents d join b on contains(d.text, b.text) group by d.doc_id")
+def exclude_prior_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+same_query("exclude_prior_contains_whole", "exclude_prior_contains")
 
 
 @frame_query("ridge_from_gram")

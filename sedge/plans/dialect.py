@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,11 @@ def sql_query(key: str, sql: str) -> None:
     REGISTRY[key] = Query(key, lambda spark, sf_dir: run_sql(spark, sf_dir, sql), for_oracle(sql))
 
 
+def same_query(key: str, of: str) -> None:
+    """A second name for a query."""
+    REGISTRY[key] = replace(REGISTRY[of], key=key)
+
+
 def frame_query(key: str, oracle: str | None = None) -> Callable:
     """Registers a function of (spark, sf_dir), with SQL of the same result where there is one."""
 

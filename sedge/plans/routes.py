@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import EVENTS, LEDGER, count_if, sha, sql_query
+from sedge.plans.dialect import EVENTS, LEDGER, count_if, same_query, sha, sql_query
 
 #: Two routings of a row: its slot, and one that a hash moves now and then.
 ROUTES = f"""{EVENTS}, rt as (select event_id, user_id, event_type, k as official, case when (event_id * 31) % 10 = 0 then (k + 7) % 100 else k end as interim, base as w, cand as w2 from ev)"""
@@ -73,17 +73,11 @@ sql_query(
 )
 sql_query(
     "topk_overlap",
-    f"""with {ROUTES}, s as (select user_id, event_type, <<collect_set(official)||list(distinct official)>> as a, <<collect_set(interim)||list(distinct interim)>> as b from rt where event_id % 3 = 0 group by 1, 2),
-      o as (select event_type, cast(<<size(array_intersect(a, b))||len(list_intersect(a, b))>> as double) as n, cast(<<size(array_union(a, b))||len(list_distinct(list_concat(a, b)))>> as double) as u, <<size(a)||len(a)>> as k from s)
-      select event_type, round(avg(n / k), 9) as overlap, round(avg(n / u), 9) as jaccard, {count_if("n = u")} as n_equal from o group by event_type""",
-)
-#: Over all events, where topk_overlap takes a third of them.
-sql_query(
-    "topk_overlap_whole",
     f"""with {ROUTES}, s as (select user_id, event_type, <<collect_set(official)||list(distinct official)>> as a, <<collect_set(interim)||list(distinct interim)>> as b from rt group by 1, 2),
       o as (select event_type, cast(<<size(array_intersect(a, b))||len(list_intersect(a, b))>> as double) as n, cast(<<size(array_union(a, b))||len(list_distinct(list_concat(a, b)))>> as double) as u, <<size(a)||len(a)>> as k from s)
       select event_type, round(avg(n / k), 9) as overlap, round(avg(n / u), 9) as jaccard, {count_if("n = u")} as n_equal from o group by event_type""",
 )
+same_query("topk_overlap_whole", "topk_overlap")
 sql_query("changed_routes", f"with {ROUTES} select event_type, {count_if('official <> interim')} as n_changed, count(*) as n, count(distinct case when official <> interim then user_id end) as n_rows_changed from rt group by event_type")
 sql_query("route_support", f"with {ROUTES}, panel as (select distinct k as slot from ev where k % 9 = 4) select r.official as slot, count(*) as n_routes, count(distinct r.user_id) as n_clusters from rt r join panel p on r.official = p.slot group by 1")
 sql_query(
@@ -127,13 +121,6 @@ sql_query(
       b as (select layer, mode_a, mode_b, sse, n_bytes, min(sse) over (partition by layer) + 1e-2 * max(energy) over (partition by layer) as bar from s)
       select layer, <<min_by(concat(mode_a, mode_b), struct(n_bytes, mode_a, mode_b))||arg_min(concat(mode_a, mode_b), (n_bytes, mode_a, mode_b))>> as choice, count(*) as n_ties from b where sse <= bar group by layer""",
 )
-sql_query(
-    "propose_confirm",
-    f"""with {LEDGER}, s as (select layer, l_orderkey % 3 = 0 as confirming, mode_a, sum(base - cand) / sum(base) as gain from led group by 1, 2, 3),
-      p as (select layer, <<max_by(mode_a, struct(gain, mode_a))||arg_max(mode_a, (gain, mode_a))>> as mode_a from s where not confirming group by layer)
-      select p.layer, p.mode_a, round(s.gain, 9) as confirmed_gain, case when s.gain is null then 'no_data' when s.gain > 0.005 then 'accepted' when s.gain > 0 then 'below_margin' else 'not_better' end as reason
-      from p left join s on s.layer = p.layer and s.mode_a = p.mode_a and s.confirming""",
-)
 sql_query("family_argmin", f"with {LEDGER}, s as (select layer % 10 as family, mode_a, round(sum(cand), 2) as sse from led group by 1, 2) select family, <<min_by(mode_a, struct(sse, mode_a))||arg_min(mode_a, (sse, mode_a))>> as mode_a, round(min(sse), 2) as sse from s group by family")
 sql_query(
     "policy_sweep",
@@ -167,13 +154,9 @@ sql_query(
 )
 sql_query(
     "identity_compare",
-    f"""select source, case when count(distinct {sha("text")}) = 1 then 'identical' else 'different' end as status, count(*) as n from documents where doc_id < 500 group by source""",
-)
-#: Over all documents, where identity_compare takes the first 500 ids.
-sql_query(
-    "identity_compare_whole",
     f"""select source, case when count(distinct {sha("text")}) = 1 then 'identical' else 'different' end as status, count(*) as n from documents group by source""",
 )
+same_query("identity_compare_whole", "identity_compare")
 sql_query("contract_identity", f"with {LEDGER}, t as (select layer, count(distinct mode_a) as n_modes, max(mode_a) as top from led group by layer) select count(distinct n_modes) = 1 as same_contract, min(n_modes) as least, max(n_modes) as most, count(*) as n from t")
 sql_query(
     "modal_adjacent_pair",
@@ -183,7 +166,7 @@ sql_query(
 )
 sql_query(
     "panel_preference",
-    f"""with {EVENTS}, t as (select user_id, event_type, sum(base) as b, sum(cand) as c from ev where k < 30 group by 1, 2)
+    f"""with {EVENTS}, t as (select user_id, event_type, sum(base) as b, sum(cand) as c from ev group by 1, 2)
       select user_id, round(sum(power(c - b, 2)), 6) as sse, case when sum(c) < sum(b) then 'candidate' when sum(c) > sum(b) then 'baseline' else 'tie' end as preference from t group by user_id""",
 )
 sql_query("enumerate_arms", "with e as (select distinct l_partkey % 40 as expert from lineitem) select concat('only-', cast(expert as varchar(10))) as arm, expert from e union all select 'panel' as arm, expert from e where expert < 8")

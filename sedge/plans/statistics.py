@@ -44,7 +44,7 @@ sql_query(
     f"""with {EVENTS}, skeleton as (select distinct user_id from ev)
       select s.user_id, count(e.event_id) as n, round(coalesce(sum(power(e.k / cast(100 as double), 2) * power(e.cand - e.base, 2)), 0), 6) as sse,
              round(coalesce(sum(power(e.k / cast(100 as double), 2) * power(e.base, 2)), 0), 4) as energy
-      from skeleton s left join (select * from ev where k >= 50) e on s.user_id = e.user_id group by s.user_id""",
+      from skeleton s left join ev e on s.user_id = e.user_id group by s.user_id""",
 )
 
 sql_query("weighted_relative_sse", f"with {LEDGER} select layer, round(sum(power((cand - base) * weight, 2)) / sum(power(base * weight, 2)), 9) as relative_sse from led group by layer")
@@ -153,18 +153,6 @@ sql_query(
       from a full outer join b on a.event_id = b.event_id full outer join c on a.event_id = c.event_id group by a.user_id""",
 )
 
-sql_query(
-    "kld_verdict",
-    f"""with {EVENTS}, {_CLUSTERS}, s as (select event_type, avg(delta) as m, stddev_samp(delta) / sqrt(count(*)) as se from cl group by event_type)
-      select event_type, case when m + 1.96 * se < 0 then 'pass' when m - 1.96 * se > 0 then 'fail' else 'repeat' end as verdict, round(m, 9) as mean_delta, round(se, 9) as se from s""",
-)
-
-sql_query(
-    "screening_gate",
-    f"""with {EVENTS}, {_CLUSTERS}, r as (select event_type, delta, row_number() over (partition by event_type order by user_id) as k from cl)
-      select event_type, avg(delta) < 0 as mean_ok, {count_if("delta < 0")} >= 6 as count_ok, avg(delta) < 0 and {count_if("delta < 0")} >= 6 as passed from r where k <= 8 group by event_type""",
-)
-
 sql_query(
     "retention_rule",
     f"""with {EVENTS}, {_CLUSTERS}, r as (select event_type, delta, row_number() over (partition by event_type order by user_id) as k from cl)
@@ -172,12 +160,6 @@ sql_query(
              avg(case when k <= 8 then delta end) < 0 and avg(case when k > 8 then delta end) < 0 as retained from r where k <= 16 group by event_type""",
 )
 
-sql_query(
-    "confirmation_gate",
-    f"""with {EVENTS}, {_CLUSTERS}, t as (select event_type, {quantile("base", 0.99)} as pb, {quantile("cand", 0.99)} as pc from ev group by event_type)
-      select cl.event_type, avg(delta) + 1.645 * stddev_samp(delta) / sqrt(count(*)) < 0 as mean_ok, max(pc) <= 1.05 * max(pb) as tail_ok from cl join t on cl.event_type = t.event_type group by cl.event_type""",
-)
-
 sql_query("local_fallback", f"with {LEDGER} select layer, avg(cand) < avg(base) and max(cand) <= 1.02 * max(base) as passes, round(avg(cand) - avg(base), 6) as mean_change from led group by layer")
 
 sql_query(
@@ -185,39 +167,3 @@ sql_query(
     f"""with {EVENTS}, p as (select user_id, event_id, base, cand, cast(floor(base) as bigint) = cast(floor(cand) as bigint) as same from ev)
       select user_id, count(*) as n, {count_if("same")} as n_same, {count_if("abs(base - cand) <= 0.1")} as n_close, round(max(abs(base - cand)), 9) as worst from p group by user_id""",
 )
-
-sql_query(
-    "mode_gate",
-    f"""with {LEDGER}, d as (select mode_a, layer, sum(base - cand) as gain, sum(base) as base from led group by 1, 2),
-      s as (select mode_a, avg(gain / base) as m, stddev_samp(gain / base) / sqrt(count(*)) as se, count(*) as n from d group by mode_a)
-      select mode_a, n, round(m, 9) as mean_gain, m - 1.96 * se > 0 as passes, (select bool_and(m - 1.96 * se > 0) from s) as all_pass from s""",
-)
-
-# Draws follow from md5 of seed, replicate and position: the same in any engine and partitioning.
-_REPS = 200
-_DRAW = f"""rep as (<<select id as rep from range({_REPS})||select range as rep from range({_REPS})>>)"""
-
-
-def _bootstrap(seed: str, clusters: str, statistic: str) -> str:
-    draw = md5_int(f"concat('{seed}:', cast(rep.rep as varchar(20)), ':', cast(c.place as varchar(20)))")
-    return f"""{_DRAW}, num as ({clusters}), size as (select count(*) as n from num),
-      pick as (select rep.rep, {draw} % size.n as draw from rep cross join num c cross join size),
-      stat as (select pick.rep, {statistic} as x from pick join num on pick.draw = num.place group by pick.rep)"""
-
-
-_USERS = "select user_id, sum(base) as sb, sum(cand) as sc, avg(cand - base) as d, row_number() over (order by user_id) - 1 as place from ev group by user_id"
-_LAYERS = "select layer, sum(base) as sb, sum(cand) as sc, row_number() over (order by layer) - 1 as place from led group by layer"
-_CI = f"round({quantile('x', 0.025)}, 7) as low, round({quantile('x', 0.975)}, 7) as high, count(*) as n_replicates"
-
-sql_query("bootstrap_mean_ci", f"with {EVENTS}, {_bootstrap('mean', _USERS, 'avg(num.d)')} select round(avg(x), 7) as mean, round(stddev_samp(x), 7) as se, {_CI} from stat")
-sql_query("bootstrap_improvement_ci", f"with {EVENTS}, {_bootstrap('gain', _USERS, 'case when sum(num.sb) > 0 then 1 - sum(num.sc) / sum(num.sb) end')} select {_CI}, round(avg(case when x > 0 then cast(1 as double) else cast(0 as double) end), 7) as share_positive from stat where x is not null")
-sql_query("cluster_ratio_ci", f"with {LEDGER}, {_bootstrap('ratio', _LAYERS, 'sum(num.sc) / sum(num.sb)')} select {_CI} from stat")
-sql_query("bootstrap_median_ratio", f"with {LEDGER}, {_bootstrap('median', _LAYERS, quantile('num.sc / num.sb', 0.5))} select {_CI} from stat")
-sql_query(
-    "keep_stability",
-    f"""with {LEDGER}, l as (select expert % 50 as item, layer, sum(base - cand) as gain from led group by 1, 2),
-      {_bootstrap("keep", "select layer, row_number() over (order by layer) - 1 as place from l group by layer", "count(*)")},
-      score as (select pick.rep, l.item, sum(l.gain) as gain from pick join num on pick.draw = num.place join l on l.layer = num.layer where pick.rep < 20 group by 1, 2),
-      kept as (select rep, item, row_number() over (partition by rep order by gain desc, item) as k from score)
-      select item, {count_if("k <= 10")} as n_kept, round(avg(case when k <= 10 then cast(1 as double) else cast(0 as double) end), 9) as inclusion from kept group by item""",
-)

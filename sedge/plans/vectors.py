@@ -6,51 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.operators import moments
-from sedge.plans.dialect import EVENTS, frame_query, sql_query, table
+from sedge.plans.dialect import EVENTS, frame_query, same_query, sql_query, table
 from sedge.shipping import ship
 
-D = 4
-_AT = lambda i: f"<<element_at(embedding, {i + 1})||list_extract(embedding, {i + 1})>>"
-#: The first few components of each row.
-_X = "x as (select vec_id, label, " + ", ".join(f"cast({_AT(i)} as double) as x{i}" for i in range(D)) + ", cast(1 + vec_id % 3 as double) as w from embeddings)"
-
-
-def _long(value: str, group: str = "label") -> str:
-    """Rows (group, i, j, value) from one pass: all sums first, then a small unpivot."""
-    sums = ", ".join(value.format(i=i, j=j) + f" as g{i}{j}" for i in range(D) for j in range(i, D))
-    cells = " union all ".join(f"select {group}, {i} as i, {j} as j, g{min(i, j)}{max(i, j)} as g from s" for i in range(D) for j in range(D))
-    return f"s as (select {group}, {sums} from x group by {group}), gram as ({cells})"
-
-
-_GRAM = f"{_X}, {_long('sum(w * x{i} * x{j}) / sum(w)')}"
-
-sql_query("weighted_gram", f"with {_GRAM} select label, i, j, round(g, 6) as g from gram")
-sql_query("sse_from_gram", f"with {_GRAM}, d as (select label, i, j, g, (i + 1) * cast(0.1 as double) * (j + 1) * cast(0.1 as double) as ww from gram) select label, round(sum(g * ww), 6) as sse from d group by label")
-sql_query(
-    "oas_shrinkage",
-    f"""with {_GRAM}, n as (select label, power(sum(w), 2) / sum(w * w) as n from x group by label), t as (select label, sum(case when i = j then g else 0 end) as tr, sum(g * g) as tr2 from gram group by label)
-      select t.label, round(least(1, ((1 - cast(2 as double) / {D}) * tr2 + tr * tr) / ((n + 1 - cast(2 as double) / {D}) * (tr2 - tr * tr / {D}))), 6) as alpha, round(tr / {D}, 6) as mean_diagonal from t join n on t.label = n.label""",
-)
-sql_query(
-    "covariance_comparison",
-    f"""with {_X}, a as (select {', '.join(f'avg(case when vec_id % 2 = 0 then x{i} * x{j} end) as a{i}{j}, avg(case when vec_id % 2 = 1 then x{i} * x{j} end) as b{i}{j}' for i in range(D) for j in range(D))} from x),
-      l as ({' union all '.join(f'select {i} as i, {j} as j, a{i}{j} as a, b{i}{j} as b from a' for i in range(D) for j in range(D))})
-      select round(sum(case when i = j then b else 0 end) / sum(case when i = j then a else 0 end), 6) as trace_ratio, round(sqrt(sum(power(a - b, 2)) / sum(a * a)), 6) as relative_frobenius from l""",
-)
-sql_query(
-    "component_cosines",
-    f"""with {_X}, a as (select {', '.join(f'avg(case when vec_id % 2 = 0 then x{i} * x{j} end) as a{i}{j}, avg(case when vec_id % 2 = 1 then x{i} * x{j} end) as b{i}{j}' for i in range(D) for j in range(D))} from x),
-      l as ({' union all '.join(f'select {i} as i, {j} as j, a{i}{j} as a, b{i}{j} as b from a' for i in range(D) for j in range(D))}),
-      m as (select sum(case when i = j then a else 0 end) / {D} as ta, sum(case when i = j then b else 0 end) / {D} as tb from l),
-      c as (select i, j, a, b, case when i = j then 0 else a end as oa, case when i = j then 0 else b end as ob, a - case when i = j then ta else 0 end as ra, b - case when i = j then tb else 0 end as rb from l cross join m)
-      select round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) as total, round(sum(oa * ob) / sqrt(sum(oa * oa) * sum(ob * ob)), 6) as off_diagonal, round(sum(ra * rb) / sqrt(sum(ra * ra) * sum(rb * rb)), 6) as trace_removed from c""",
-)
-sql_query(
-    "split_shrinkage",
-    f"""with {_X}, a as (select {', '.join(f'avg(case when vec_id % 2 = 0 then x{i} end) as a{i}, avg(case when vec_id % 2 = 1 then x{i} end) as b{i}' for i in range(D))} from x),
-      p as (select {' + '.join(f'a{i} * b{i}' for i in range(D))} as sig, ({' + '.join(f'a{i} * a{i} + b{i} * b{i}' for i in range(D))}) / 2 as tot from a)
-      select round(sig, 6) as cross_power, round(tot - sig, 6) as noise, round(greatest(0, least(1, sig / tot)), 5) as keep from p""",
-)
 sql_query(
     "vector_metrics",
     """select a.vec_id, round(<<aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, v) -> s + v)||list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double)))>>, 5) as dot,
@@ -65,9 +23,6 @@ sql_query("situ_activation", f"with {EVENTS} select event_id, round((base - 50)
 _LOG = "ls as (select user_id, k, sum(base) / 50 as a, sum(cand) / 50 as b from ev group by 1, 2), mx as (select user_id, max(a) as ma, max(b) as mb from ls group by user_id), lz as (select ls.user_id, ma + ln(sum(exp(a - ma))) as za, mb + ln(sum(exp(b - mb))) as zb from ls join mx on ls.user_id = mx.user_id group by ls.user_id, ma, mb)"
 sql_query("kl_divergence", f"with {EVENTS}, {_LOG} select ls.user_id, round(sum(exp(a - za) * ((a - za) - (b - zb))), 7) as kl, round(sum(exp(a - za)), 7) as mass from ls join lz on ls.user_id = lz.user_id group by ls.user_id")
 sql_query("masked_kl", f"with {EVENTS.replace('from events)', 'from events where event_id % 4 <> 0)')}, {_LOG} select ls.user_id, round(sum(exp(a - za) * ((a - za) - (b - zb))), 7) as kl, count(*) as n_shown from ls join lz on ls.user_id = lz.user_id group by ls.user_id")
-sql_query("radial_tangential", """with p as (select label, avg(cast(<<element_at(embedding, 1)||list_extract(embedding, 1)>> as double)) as c0, avg(cast(<<element_at(embedding, 2)||list_extract(embedding, 2)>> as double)) as c1 from embeddings group by label),
-      e as (select v.vec_id, c0, c1, cast(<<element_at(v.embedding, 1)||list_extract(v.embedding, 1)>> as double) - c0 as d0, cast(<<element_at(v.embedding, 2)||list_extract(v.embedding, 2)>> as double) - c1 as d1 from embeddings v join p on v.label = p.label)
-      select vec_id, round(power(d0 * c0 + d1 * c1, 2) / (c0 * c0 + c1 * c1), 6) as radial, round(d0 * d0 + d1 * d1 - power(d0 * c0 + d1 * c1, 2) / (c0 * c0 + c1 * c1), 6) as tangential from e""")
 sql_query("nibble_unpack", f"with {EVENTS} select event_id, k & 15 as low, <<shiftright(k, 4)||k >> 4>> & 15 as high, (k & 15) + 16 * (<<shiftright(k, 4)||k >> 4>> & 15) = k as round_trip from ev".replace("<<shiftright(k, 4)||k >> 4>>", "<<shiftright(k, 4)||(k // 16)>>"))
 sql_query("permutation_inverse", "with p as (select vec_id, label, row_number() over (partition by label order by cast(<<element_at(embedding, 1)||list_extract(embedding, 1)>> as double), vec_id) - 1 as place, row_number() over (partition by label order by vec_id) - 1 as idx from embeddings) select label, cast(place as bigint) as source, cast(idx as bigint) as target from p")
 sql_query(
@@ -76,8 +31,6 @@ sql_query(
       r as (select query_id, vec_id, dist, row_number() over (partition by query_id order by dist, vec_id) as k from d) select query_id, vec_id, cast(k as bigint) as place, dist from r where k <= 5""",
 )
 
-# The queries above that take the first components have a twin here that takes all of them.
-
 #: Stands for a null label while matrices are merged.
 _NO_LABEL = -(1 << 63)
 _E = "x as (select row_number() over () as r, vec_id, label, embedding, cast(1 + vec_id % 3 as double) as w from embeddings where embedding is not null), e as (select r, vec_id, label, w, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from x)"
@@ -103,13 +56,13 @@ def _half_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("d", "p").agg(mean(0).alias("a"), mean(1).alias("b")).select("d", F.expr("p div d").alias("i"), F.expr("p % d").alias("j"), "a", "b")
 
 
-@frame_query("weighted_gram_whole", f"with {_WHOLE} select label, i, j, round(g, 6) + 0.0 as g from gram")
-def weighted_gram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@frame_query("weighted_gram", f"with {_WHOLE} select label, i, j, round(g, 6) + 0.0 as g from gram")
+def weighted_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gram_cells(spark, sf_dir).select("label", "i", "j", (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
 
-@frame_query("sse_from_gram_whole", f"with {_WHOLE} select label, round(sum(g * (i + 1) * cast(0.1 as double) * (j + 1) * cast(0.1 as double)), 6) as sse from gram group by label")
-def sse_from_gram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@frame_query("sse_from_gram", f"with {_WHOLE} select label, round(sum(g * (i + 1) * cast(0.1 as double) * (j + 1) * cast(0.1 as double)), 6) as sse from gram group by label")
+def sse_from_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gram_cells(spark, sf_dir).groupBy("label").agg(F.round(F.sum(F.expr("g * (i + 1) * 0.1D * (j + 1) * 0.1D")), 6).alias("sse"))
 
 
@@ -117,11 +70,11 @@ _ALPHA = ["round(least(1, ((1 - cast(2 as double) / d) * tr2 + tr * tr) / ((n +
 
 
 @frame_query(
-    "oas_shrinkage_whole",
+    "oas_shrinkage",
     f"""with {_WHOLE}, n as (select label, power(sum(w), 2) / sum(w * w) as n from x group by label), t as (select label, d, sum(case when i = j then g else 0 end) as tr, sum(g * g) as tr2 from gram group by label, d)
       select t.label, {", ".join(_ALPHA)} from t join n on t.label is not distinct from n.label""",
 )
-def oas_shrinkage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def oas_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _gram_cells(spark, sf_dir).groupBy("label", "d", "n").agg(F.sum(F.expr("case when i = j then g else 0 end")).alias("tr"), F.sum(F.expr("g * g")).alias("tr2"))
     return t.selectExpr("label", *_ALPHA)
 
@@ -129,8 +82,8 @@ def oas_shrinkage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPARED = {"trace_ratio": "round(sum(case when i = j then b else 0 end) / sum(case when i = j then a else 0 end), 6)", "relative_frobenius": "round(sqrt(sum(power(a - b, 2)) / sum(a * a)), 6)"}
 
 
-@frame_query("covariance_comparison_whole", f"with {_HALVES} select {", ".join(f"{v} as {k}" for k, v in _COMPARED.items())} from l")
-def covariance_comparison_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@frame_query("covariance_comparison", f"with {_HALVES} select {", ".join(f"{v} as {k}" for k, v in _COMPARED.items())} from l")
+def covariance_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _half_cells(spark, sf_dir).agg(*[F.expr(v).alias(k) for k, v in _COMPARED.items()])
 
 
@@ -142,12 +95,12 @@ _COSINES = {
 
 
 @frame_query(
-    "component_cosines_whole",
+    "component_cosines",
     f"""with {_HALVES}, m as (select avg(case when i = j then a end) as ta, avg(case when i = j then b end) as tb from l),
       c as (select a, b, case when i = j then 0 else a end as oa, case when i = j then 0 else b end as ob, a - case when i = j then ta else 0 end as ra, b - case when i = j then tb else 0 end as rb from l cross join m)
       select {", ".join(f"{v} as {k}" for k, v in _COSINES.items())} from c""",
 )
-def component_cosines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def component_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _half_cells(spark, sf_dir)
     traces = cells.agg(F.expr("avg(case when i = j then a end)").alias("ta"), F.expr("avg(case when i = j then b end)").alias("tb"))
     off = lambda c: F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col(c))
@@ -157,7 +110,7 @@ def component_cosines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query(
-    "split_shrinkage_whole",
+    "split_shrinkage",
     """with e as (<<select vec_id, posexplode(embedding) as (i, v) from embeddings||select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings>>),
       m as (select i, avg(case when vec_id % 2 = 0 then cast(v as double) end) as a, avg(case when vec_id % 2 = 1 then cast(v as double) end) as b from e group by i),
       p as (select sum(a * b) as sig, sum(a * a + b * b) / 2 as tot from m)
@@ -165,7 +118,7 @@ sql_query(
 )
 _DOT = lambda x, y: f"<<aggregate(zip_with({x}, {y}, (x, y) -> x * y), cast(0 as double), (s, v) -> s + v)||list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1] * p[2]))>>"
 sql_query(
-    "radial_tangential_whole",
+    "radial_tangential",
     f"""with u as (<<select label, posexplode(embedding) as (i, v) from embeddings||select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings>>),
       m as (select label, i, avg(cast(v as double)) as c from u group by label, i),
       p as (select label, <<transform(array_sort(collect_list(struct(i, c))), s -> s.c)||list(c order by i)>> as c from m group by label),
@@ -173,3 +126,6 @@ sql_query(
       s as (select vec_id, {_DOT("d", "c")} as dc, {_DOT("c", "c")} as cc, {_DOT("d", "d")} as dd from e)
       select vec_id, round(dc * dc / nullif(cc, 0), 6) as radial, round(dd - dc * dc / nullif(cc, 0), 6) as tangential from s""",
 )
+
+for _k in "weighted_gram sse_from_gram oas_shrinkage covariance_comparison component_cosines split_shrinkage radial_tangential".split():
+    same_query(f"{_k}_whole", _k)

@@ -101,3 +101,50 @@ def test_whole_passages(spark, tmp_path):
         want[k] += sum(p in (t or "") for p in {p for p in passages if p})
     got = {r.doc_id: r.n_passages for r in REGISTRY["exclude_prior_contains_whole"].run(spark, str(tmp_path)).collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_passages_of_any_length(spark):
+    import random
+
+    from sedge.plans.custom import passages_in
+
+    rng, words = random.Random(1), ["a", "bb", "ccc", "dd dd", "e.", "f"]
+    line = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
+    docs = [(k, line(0, 14)) for k in range(100)] + [(300, None), (301, ""), (0, "bb ccc")]
+    passages = [line(1, 9) for _ in range(40)] + ["cc", "c", "b", "c d", "e. f", "", "  ", None, "zz top"]
+    want = defaultdict(set)
+    for d, t in docs:
+        for p in {p for p in passages if p}:
+            if t and p in t:
+                want[d].add(p)
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in passages], "text string")
+    assert {r.doc_id: r.n_passages for r in passages_in(d, p).collect()} == {k: len(v) for k, v in want.items()}
+    assert passages_in(d, p.limit(0)).count() == passages_in(d.limit(0), p).count() == 0
+
+
+def test_weights_are_poisson(spark, data):
+    from sedge.plans.dialect import EVENTS, run_sql
+    from sedge.plans.gates import resampled
+
+    sql = f"with {EVENTS}, {resampled('x', 'select user_id as unit from ev group by user_id', [], {'n': 'sum(w)'}, 400)} select w, count(*) as n from drawn group by w"
+    n = {r.w: r.n for r in run_sql(spark, data, sql).collect()}
+    total = sum(n.values())
+    assert abs(n[0] / total - 0.3679) < 0.01 and abs(n[2] / total - 0.1839) < 0.01 and abs(sum(k * v for k, v in n.items()) / total - 1) < 0.02
+
+
+def test_verdicts(spark, tmp_path):
+    """Clear gains, clear losses, noise and a domain that is worse, against the rules in words."""
+    from sedge.plans.dialect import run_sql
+    from sedge.plans.gates import paired_verdict
+
+    def verdict(rows):
+        spark.createDataFrame(rows, "domain string, unit long, b double, c double").createOrReplaceTempView("pairs")
+        got = {r.domain: r for r in run_sql(spark, str(tmp_path), "with " + paired_verdict("select domain, unit, b, c from pairs", 0.0, 0.01)).collect()}
+        return got["all"].verdict, {k: r.status for k, r in got.items()}
+
+    better = [(d, k, 1.0 + 0.001 * k, 0.9) for d in "xy" for k in range(20)]
+    assert verdict(better) == ("pass", dict.fromkeys(["all", "x", "y"], "improvement_supported"))
+    assert verdict([(d, k, c, b) for d, k, b, c in better])[0] == "fail"
+    assert verdict(better + [("z", k, 0.9, 1.0 + 0.001 * k) for k in range(5)])[0] == "fail"
+    assert verdict([(d, k, b, b - 0.001) for d, k, b, _ in better])[0] == "repeat_required"
+    assert verdict([("x", k, 1.0, 1.0 + (-1) ** k * 0.1) for k in range(30)]) == ("repeat_required", {"all": "inconclusive", "x": "inconclusive"})
