@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions import hashing
-from sedge.operators import moments, scheduling
+from sedge.operators import allocation, moments, scheduling
 from sedge.plans.dialect import EVENTS, LEDGER, frame_query, run_sql, same_query, table
 from sedge.shipping import ship
 from sedge.sources import tensors
@@ -147,7 +147,7 @@ def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("stream_tumbling_events", "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def stream_tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained(spark, streams.tumbling(streams.stream_of(spark, sf_dir, "events"))).withColumn("total", F.round("total", 6))
+    return streams.drained(spark, streams.tumbling(streams.stream_of(spark, sf_dir, "events")), "window_start", "event_type").withColumn("total", F.round("total", 6))
 
 
 @frame_query(
@@ -157,9 +157,49 @@ def stream_tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
        select cast(epoch_us(min(ts)) as bigint) as session_start, user_id, count(*) as n from s group by user_id, session""",
 )
 def stream_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained(spark, streams.sessions(streams.stream_of(spark, sf_dir, "events")))
+    return streams.drained_sessions(spark, streams.sessions(streams.stream_of(spark, sf_dir, "events")))
 
 
 @frame_query("stream_dedup_ingest", "select distinct sha256(text) as text_hash from documents")
 def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.distinct_ingest(spark, streams.stream_of(spark, sf_dir, "documents"))
+
+
+@frame_query("stream_until_target", "select count(*) as n_texts, count(*) > 0 as some from (select distinct sha256(text) as h from documents) t")
+def stream_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts until a tenth of all characters is there; a table of one file is one batch."""
+    target = table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0] or 0
+    got = streams.ingest_until(spark, streams.stream_of(spark, sf_dir, "documents"), target // 10)
+    return got.agg(F.count(F.lit(1)).alias("n_texts"), (F.count(F.lit(1)) > 0).alias("some"))
+
+
+_BUDGET = f"with recursive {LEDGER}, item as (select layer, expert, round(sum(base - cand) * 100) as d, cast(sum(weight) as double) as c from led group by 1, 2), pos as (select d, c from item where d > 0 and c > 0), target as (select cast(floor(sum(c) * 0.4) as bigint) as t from item)"
+
+
+@frame_query(
+    "byte_target",
+    f"""{_BUDGET}, b as (select 0 as k, cast(0 as double) as low, (select max(d / c) from pos) as high union all
+        select k + 1, case when over then (low + high) / 2 else low end, case when over then high else (low + high) / 2 end from (select k, low, high, (select sum(case when d > (low + high) / 2 * c then c else 0 end) from pos) > (select t from target) as over from b where k < 72) x),
+      f as (select high from b where k = 72) select cast(count(*) as bigint) as n_kept, cast(sum(c) as bigint) as n_bytes, sum(d) as damage, cast(max(t) - sum(c) as bigint) as slack from pos, f, target where d > high * c""",
+)
+def byte_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = run_sql(spark, sf_dir, f"with {LEDGER} select layer, expert, round(sum(base - cand) * 100) as d, sum(weight) as c from led group by 1, 2")
+    total = items.agg(F.sum("c")).first()[0] or 0
+    return allocation.byte_target(items, "d", "c", int(total * 0.4)).select("n_kept", "n_bytes", "damage", "slack")
+
+
+@frame_query("low_rank_residual")
+def low_rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each label's energy that four directions leave; one matrix a label comes to the driver."""
+    ship(spark)
+    g = moments.gram(table(spark, sf_dir, "embeddings"), "label", "embedding").collect()
+    rows = [(int(r.label), int(r.dim), round(allocation.low_rank(np.array(r.gram).reshape(r.dim, r.dim), 4)[1], 9)) for r in g]
+    return spark.createDataFrame(rows, "label long, dim int, residual double")
+
+
+@frame_query("fit_codebook")
+def fit_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four code vectors for discount and tax, weighted by quantity, and how much is nearest to each."""
+    rows = run_sql(spark, sf_dir, "select array(l_discount, l_tax) as v, l_quantity as w from lineitem")
+    got = allocation.nearest(rows, allocation.fit_codebook(rows, "v", "w", 4))
+    return got.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("error")) / F.sum("w"), 9).alias("mse"))

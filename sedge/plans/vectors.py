@@ -24,6 +24,27 @@ _LOG = "ls as (select user_id, k, sum(base) / 50 as a, sum(cand) / 50 as b from
 sql_query("kl_divergence", f"with {EVENTS}, {_LOG} select ls.user_id, round(sum(exp(a - za) * ((a - za) - (b - zb))), 7) as kl, round(sum(exp(a - za)), 7) as mass from ls join lz on ls.user_id = lz.user_id group by ls.user_id")
 sql_query("masked_kl", f"with {EVENTS.replace('from events)', 'from events where event_id % 4 <> 0)')}, {_LOG} select ls.user_id, round(sum(exp(a - za) * ((a - za) - (b - zb))), 7) as kl, count(*) as n_shown from ls join lz on ls.user_id = lz.user_id group by ls.user_id")
 sql_query("nibble_unpack", f"with {EVENTS} select event_id, k & 15 as low, <<shiftright(k, 4)||k >> 4>> & 15 as high, (k & 15) + 16 * (<<shiftright(k, 4)||k >> 4>> & 15) = k as round_trip from ev".replace("<<shiftright(k, 4)||k >> 4>>", "<<shiftright(k, 4)||(k // 16)>>"))
+#: Magnitudes of the eight codes of a four-bit float with two bits of exponent and one of mantissa: fixed values.
+_E2M1 = (0, 0.5, 1, 1.5, 2, 3, 4, 6)
+_E2M1_SQL = "case k & 7 " + " ".join(f"when {i} then cast({v} as double)" for i, v in enumerate(_E2M1)) + " end * case when k & 8 = 8 then -1 else 1 end"
+sql_query("e2m1_decode", f"with {EVENTS}, d as (select k & 15 as code, {_E2M1_SQL.replace('k & 8 = 8', '(k & 8) = 8').replace('case k & 7', 'case (k & 7)')} as x from ev) select code, x + 0.0 as x, count(*) as n from d group by code, x + 0.0")
+#: Three-bit symbols of a user's first eight slots, packed low end first and taken apart again.
+_PLACE = "case i " + " ".join(f"when {i + 1} then {8**i}" for i in range(8)) + " end"
+sql_query(
+    "packed_symbols",
+    f"""with {EVENTS}, s as (select user_id, k % 8 as v, row_number() over (partition by user_id order by event_id) as i from ev), p as (select user_id, cast(sum(v * {_PLACE}) as bigint) as word, count(*) as n from s where i <= 8 group by user_id)
+      select p.user_id, p.word, p.n, min(case when cast(floor(p.word / cast({_PLACE} as double)) as bigint) % 8 = s.v then 1 else 0 end) = 1 as round_trip
+      from p join s on p.user_id = s.user_id where s.i <= 8 group by p.user_id, p.word, p.n""",
+)
+# signs of a Hadamard matrix come from the parity of shared bits
+sql_query(
+    "hadamard_blocks",
+    """with e as (<<select vec_id, posexplode(embedding) as (i, v) from embeddings||select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings>>),
+      f as (select vec_id, cast(floor(i / 8.0) as bigint) as block, i % 8 as i, cast(v as double) as v from e), r as (<<select vec_id, block, i, v, explode(sequence(0, 7)) as j from f||select vec_id, block, i, v, unnest(range(8)) as j from f>>),
+      t as (select vec_id, block, j, sum(case when bit_count(i & j) % 2 = 0 then v else -v end) / sqrt(cast(8 as double)) as y from r group by vec_id, block, j)
+      select vec_id, block, round(sum(y * y), 5) as energy, round(sum(case when j = 0 then y else 0 end), 5) + 0.0 as dc from t group by vec_id, block""",
+)
+sql_query("iso_times", "select event_id, <<date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")||strftime(ts, '%Y-%m-%dT%H:%M:%S')>> as iso, <<cast(to_timestamp_ntz(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), \"yyyy-MM-dd'T'HH:mm:ss\") = date_trunc('second', ts) as boolean)||strptime(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S') = date_trunc('second', ts)>> as round_trip from events")
 sql_query("permutation_inverse", "with p as (select vec_id, label, row_number() over (partition by label order by cast(<<element_at(embedding, 1)||list_extract(embedding, 1)>> as double), vec_id) - 1 as place, row_number() over (partition by label order by vec_id) - 1 as idx from embeddings) select label, cast(place as bigint) as source, cast(idx as bigint) as target from p")
 sql_query(
     "knn_topk",
