@@ -41,10 +41,13 @@ def splitmix64(x: np.ndarray) -> np.ndarray:
 
 
 def sampled(rate: int):
-    """UDF of (epoch, token): whether splitmix64(epoch xor token) is a multiple of rate."""
+    """UDF of (epoch, token): whether splitmix64(epoch xor token) is a multiple of rate; null where either is null."""
 
     def f(epoch: pd.Series, token: pd.Series) -> pd.Series:
-        x = epoch.to_numpy(np.int64).view(np.uint64) ^ token.to_numpy(np.int64).view(np.uint64)
-        return pd.Series(splitmix64(x) % np.uint64(rate) == 0)
+        known = epoch.notna() & token.notna()
+        x, y = (c[known].to_numpy(np.int64).view(np.uint64) for c in (epoch, token))
+        out = pd.Series(None, index=epoch.index, dtype="boolean")
+        out[known] = splitmix64(x ^ y) % np.uint64(rate) == 0
+        return out
 
     return F.pandas_udf(f, "boolean", F.PandasUDFType.SCALAR)

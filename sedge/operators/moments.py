@@ -59,7 +59,10 @@ def gram(rows: DataFrame, group: str, vector: str, weight: str | None = None) ->
 
 
 def ridge(grams: DataFrame, group: str, target: int, penalty: float) -> DataFrame:
-    """Row per group: coefficients of component `target` on the others, from the Gram matrix alone."""
+    """Row per group: coefficients of component `target` on the others, from the Gram matrix alone.
+
+    A matrix without a single solution, such as all zeros, gets the one of the least norm.
+    """
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -68,7 +71,7 @@ def ridge(grams: DataFrame, group: str, target: int, penalty: float) -> DataFram
                 m = np.array(g).reshape(d, d)
                 rest = [i for i in range(d) if i != target]
                 a = m[np.ix_(rest, rest)] + penalty * np.trace(m) / d * np.eye(d - 1)
-                out.append(np.linalg.solve(a, m[rest, target]))
+                out.append(np.linalg.lstsq(a, m[rest, target], rcond=None)[0])
             yield pd.DataFrame({group: b[group], "coefficients": out})
 
     return grams.select(group, "dim", "gram").mapInPandas(solve, f"{group} long, coefficients array<double>")

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Replicates that are drawn at once.
+BLOCK = 64
+
+
 def token_batches(docs: DataFrame, group: str, order: str, tokens: str, cap: int) -> DataFrame:
     """Row per document of a group in order: batch number; a batch closes before it would pass cap.
 
@@ -94,8 +98,11 @@ def seeded_bootstrap(clusters: DataFrame, group: str, order: str, base: str, can
     def f(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order, kind="stable")
         b, c = p[base].to_numpy(float), p[cand].to_numpy(float)
-        pick = np.random.default_rng(seed).integers(0, len(p), (samples, len(p)))
-        sb, sc = b[pick].sum(1), c[pick].sum(1)
+        rng, sums = np.random.default_rng(seed), []
+        for at in range(0, samples, BLOCK):  # one stream of draws, a block of replicates at a time
+            pick = rng.integers(0, len(p), (min(BLOCK, samples - at), len(p)))
+            sums.append((b[pick].sum(1), c[pick].sum(1)))
+        sb, sc = (np.concatenate(x) for x in zip(*sums, strict=True))
         x = 1 - sc[sb > 0] / sb[sb > 0]
         low, high = np.quantile(x, [0.025, 0.975]) if len(x) else (np.nan, np.nan)
         return pd.DataFrame({group: [p[group].iloc[0]], "improvement": [1 - c.sum() / b.sum()], "low": [low], "high": [high], "share_positive": [float((x > 0).mean()) if len(x) else np.nan]})

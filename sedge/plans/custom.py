@@ -96,13 +96,26 @@ def ridge_from_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments.ridge(moments.gram(table(spark, sf_dir, "embeddings"), "label", "embedding"), "label", 0, 0.01)
 
 
-@frame_query("token_batches")
+#: Rows in order take the batch of the row before, or the next one where that would pass the cap.
+_BATCHES = """with recursive r as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as k from documents),
+  w as (select source, k, doc_id, cast(0 as bigint) as batch, n_chars as used from r where k = 1 union all
+    select r.source, r.k, r.doc_id, case when w.used > 0 and w.used + r.n_chars > 16384 then w.batch + 1 else w.batch end, case when w.used > 0 and w.used + r.n_chars > 16384 then r.n_chars else w.used + r.n_chars end
+    from w join r on r.source = w.source and r.k = w.k + 1) select source, doc_id, batch from w"""
+
+
+@frame_query("token_batches", _BATCHES)
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return scheduling.token_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 16384)
 
 
-@frame_query("balanced_partitions")
+_PARTS = """with e as (select source, row_number() over (partition by source order by doc_id) as idx, sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and current row) as ends from documents),
+  z as (select source, idx, ends from e union all select distinct source, 0, 0 from documents), t as (select source, max(idx) as n, max(ends) as total from z group by source),
+  c as (select z.source, s.k, arg_min(idx, (abs(ends - total * s.k / cast(8 as double)), idx)) as at from z join t on z.source = t.source cross join (select range as k from range(1, 8)) s group by z.source, s.k union all select source, 0, 0 from t union all select source, 8, n from t)
+  select a.source, cast(a.k as bigint) as part, cast(a.at as bigint) as first, cast(b.at as bigint) as stop, cast(zb.ends - za.ends as bigint) as tokens from c a join c b on a.source = b.source and b.k = a.k + 1 join z za on za.source = a.source and za.idx = a.at join z zb on zb.source = a.source and zb.idx = b.at"""
+
+
+@frame_query("balanced_partitions", _PARTS)
 def balanced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return scheduling.balanced_partitions(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 8)
@@ -111,7 +124,14 @@ def balanced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = f"with {LEDGER} select layer, expert, cast(round(sum(base - cand)) as bigint) as gain, cast(sum(weight) as bigint) as cost from led group by layer, expert"
 
 
-@frame_query("lpt_schedule")
+#: The item in turn goes to the worker of the least load, of equal ones to the first.
+_TURNS = f"""with recursive {LEDGER}, item as (select layer, expert, cast(sum(weight) as bigint) as cost from led group by 1, 2), r as (select layer, expert, cost, row_number() over (partition by layer order by cost desc, expert) as k from item),
+  w as (select layer, cast(0 as bigint) as k, cast(null as bigint) as expert, cast(null as bigint) as worker, [0, 0, 0, 0]::bigint[] as load from (select distinct layer from r) x union all
+    select r.layer, r.k, r.expert, list_position(w.load, list_min(w.load)) - 1, list_transform(w.load, lambda v, i: case when i = list_position(w.load, list_min(w.load)) then v + r.cost else v end) from w join r on r.layer = w.layer and r.k = w.k + 1)
+  select layer, expert, cast(worker as bigint) as worker from w where k > 0"""
+
+
+@frame_query("lpt_schedule", _TURNS)
 def lpt_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return scheduling.longest_first(run_sql(spark, sf_dir, _ITEMS), "layer", "expert", "cost", 4)
@@ -130,6 +150,10 @@ def bootstrap_exact_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.seeded_bootstrap(c, "event_type", "user_id", "base", "cand", 2000, 1234)
 
 
+#: A shard holds the vectors of so many numbers, so its file has a bounded size.
+SHARD_ROWS = 1 << 16
+
+
 @frame_query("safetensors_headers", "select cast(label as varchar) as label, 'embedding' as name, 'F32' as dtype, count(*) as n_rows, cast(max(len(embedding)) as bigint) as n_columns, cast(count(*) * max(len(embedding)) * 4 as bigint) as n_bytes from embeddings where label is not null group by label")
 def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of embeddings are encoded as tensor files, and their headers read."""
@@ -139,10 +163,11 @@ def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat = np.concatenate([np.asarray(c.flatten(), np.float32) for c in t.column("embedding").chunks])
         return pa.table({"label": [str(t.column("label")[0].as_py())], "content": pa.array([tensors.encode({"embedding": flat.reshape(t.num_rows, -1)})], pa.binary())})
 
-    e = table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("label", "embedding")
-    files = e.groupBy("label").applyInArrow(shard, "label string, content binary")
+    e = table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("label", F.floor(F.col("vec_id") / SHARD_ROWS).alias("shard"), "embedding")
+    files = e.groupBy("label", "shard").applyInArrow(shard, "label string, content binary")
     h = tensors.headers(files, "label", "content")
-    return h.select("label", "name", "dtype", F.col("shape")[0].alias("n_rows"), F.col("shape")[1].alias("n_columns"), (F.col("end") - F.col("begin")).alias("n_bytes"))
+    rows, columns = F.col("shape")[0], F.col("shape")[1]
+    return h.groupBy("label", "name", "dtype").agg(F.sum(rows).alias("n_rows"), F.max(columns).alias("n_columns"), F.sum(F.col("end") - F.col("begin")).alias("n_bytes"))
 
 
 @frame_query("stream_tumbling_events", "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -77,7 +78,7 @@ class _Part(InputPartition):
 class TensorSource(DataSource):
     """Format `tensors`: rows (file, tensor, row, values) of two-dimensional tensors.
 
-    Options: path (a file or folder), tensor (only this one), rows (a partition, 4096).
+    Options: path (a file or folder, or the URI of one in a store that Arrow knows), tensor (only this one), rows (a partition, 4096).
     """
 
     @classmethod
@@ -100,10 +101,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         path, rows = self.options["path"], int(self.options.get("rows", 4096))
-        files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".safetensors")) if os.path.isdir(path) else [path]
+        store, path = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+        found = store.get_file_info(path)
+        files = sorted(f.path for f in store.get_file_info(FileSelector(path)) if f.path.endswith(".safetensors")) if found.type == FileType.Directory else [path]
         out: list[InputPartition] = []
         for f in files:
-            with open(f, "rb") as h:
+            with store.open_input_file(f) as h:
                 n = int.from_bytes(h.read(8), "little")
                 header = json.loads(h.read(n))
             for name, t in header.items():
@@ -112,7 +115,8 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as h:
+        store, _ = FileSystem.from_uri(self.options["path"]) if "://" in self.options["path"] else (LocalFileSystem(), None)
+        with store.open_input_file(partition.path) as h:
             n = int.from_bytes(h.read(8), "little")
             t = json.loads(h.read(n))[partition.name]
             kind, width = np.dtype(TYPES[t["dtype"]]), t["shape"][1]
@@ -134,25 +138,30 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
         self.options = options
 
+    def store(self) -> tuple[FileSystem, str]:
+        path = self.options["path"]
+        return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.options["path"], exist_ok=True)
+        store, folder = self.store()
+        store.create_dir(folder, recursive=True)
         tensors: dict[str, list] = {}
         for r in rows:
             tensors.setdefault(r.tensor, []).append((r.row, r["values"]))
         name = f"part-{uuid.uuid4().hex}.safetensors"
-        path = os.path.join(self.options["path"], f".{name}.open")
-        with open(path, "wb") as h:
+        path = f"{folder}/.{name}.open"
+        with store.open_output_stream(path) as h:
             h.write(encode({k: np.array([x for _, x in sorted(v)], np.float64).reshape(len(v), -1) for k, v in tensors.items()}))
-            h.flush()
-            os.fsync(h.fileno())
-        return _Written(path, os.path.join(self.options["path"], name))
+        return _Written(path, f"{folder}/{name}")
 
     def commit(self, messages: list) -> None:
+        store, _ = self.store()
         for m in messages:
             if m:
-                os.replace(m.path, m.final)
+                store.move(m.path, m.final)
 
     def abort(self, messages: list) -> None:
+        store, _ = self.store()
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and store.get_file_info(m.path).type == FileType.File:
+                store.delete_file(m.path)

@@ -76,3 +76,49 @@ def test_tensor_files_round_trip(spark, tmp_path):
     got = spark.read.format("tensors").option("path", str(tmp_path / "out")).option("rows", 2).load()
     assert got.rdd.getNumPartitions() == 3
     assert [(r.row, r["values"]) for r in got.orderBy("row").collect()] == [(k, [float(k), 2.0]) for k in range(5)]
+
+
+def test_values_of_queries_without_sql(spark, data):
+    """Hash samples, folds, ridge fits and seeded intervals against plain computations over whole tables."""
+    import json
+
+    from sedge.plans.catalog import REGISTRY
+
+    rows = lambda name: spark.read.parquet(f"{data}/{name}.parquet").collect()
+    run = lambda key: REGISTRY[key].run(spark, data).collect()
+    ev = rows("events")
+    mixed = hashing.splitmix64(np.array([r.user_id ^ r.event_id for r in ev]))
+    assert sorted((r.event_id, r.user_id) for r in run("hash_sample")) == sorted((r.event_id, r.user_id) for r, x in zip(ev, mixed.tolist(), strict=True) if x % 16 == 0)
+    for r, d in zip(sorted(run("content_hash_folds"), key=lambda r: r.doc_id), sorted(rows("documents"), key=lambda r: r.doc_id), strict=True):
+        digest = hashlib.blake2b(d.text.encode(), digest_size=16).hexdigest()
+        side = int.from_bytes(hashlib.blake2b(str(d.doc_id).encode(), digest_size=8).digest(), "little") % 3
+        assert (r.doc_id, r.digest, r.fold, r.side) == (d.doc_id, digest, int(digest, 16) % 8, side)
+    e = rows("embeddings")
+    for r in run("ridge_from_gram"):
+        x = np.array([v.embedding for v in e if v.label == r.label], float)
+        m = x.T @ x
+        want = np.linalg.solve(m[1:, 1:] + 0.01 * np.trace(m) / len(m) * np.eye(len(m) - 1), m[1:, 0])
+        assert np.allclose(r.coefficients, want)
+    sums: dict = {}
+    for r in ev:
+        t = sums.setdefault(r.event_type, {}).setdefault(r.user_id, [0.0, 0.0])
+        t[0] += r.value
+        t[1] += r.value * ((90 + 20 * ((r.event_id * 7919) % 101) / 100) / 100)
+        assert json.loads(r.props)["k"] is not None
+    for r in run("bootstrap_exact_seed"):
+        b, c = np.array([sums[r.event_type][u] for u in sorted(sums[r.event_type])]).T
+        pick = np.random.default_rng(1234).integers(0, len(b), (2000, len(b)))
+        x = 1 - c[pick].sum(1) / b[pick].sum(1)
+        assert np.allclose([r.improvement, r.low, r.high, r.share_positive], [1 - c.sum() / b.sum(), *np.quantile(x, [0.025, 0.975]), (x > 0).mean()])
+
+
+def test_hash_samples_pass_nulls_on(spark):
+    df = spark.createDataFrame([(1, 2), (None, 2), (1, None)], "a long, b long")
+    got = [r.s for r in df.select(hashing.sampled(1)("a", "b").alias("s")).collect()]
+    assert got == [True, None, None]
+
+
+def test_ridge_of_zeros(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0, 0.0])], "g long, v array<double>")
+    (r,) = moments.ridge(moments.gram(df, "g", "v"), "g", 0, 0.01).collect()
+    assert r.coefficients == [0.0, 0.0]
