@@ -25,10 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the folder from spark.checkpoint.dir; only where that is unset, makes a local one."""
+    """Takes the folder from spark.checkpoint.dir; only in local mode, where that is unset, makes one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sedge-checkpoint-"))
 
 
 @contextlib.contextmanager

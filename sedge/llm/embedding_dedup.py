@@ -34,6 +34,8 @@ RECALL = 0.98
 #: Similarities in single precision may be off by so much; verification is in double.
 SLACK = 1e-4
 QUERIES = 512
+#: A beam of at least this share of a shard holds the whole shard: that is one matrix product.
+DENSE = 8
 
 
 def links_of(queries: np.ndarray, x: np.ndarray, graph: Graph, least: float, audited: np.ndarray, beam: int = BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def links_of(queries: np.ndarray, x: np.ndarray, graph: Graph, least: float, aud
                 links, found = links + int((true >= least).sum()), found + int(got.sum())
                 nearest, met = nearest + len(asked), met + int((top[asked] >= true.max(axis=1) - SLACK).sum())
             qs, ns = np.concatenate((qs, q + k)), np.concatenate((ns, n))
-        if beam >= len(x) or (found >= recall * links and met >= recall * nearest):
+        if beam * DENSE >= len(x) or (found >= recall * links and met >= recall * nearest):
             break
         beam *= WIDER
     key = np.unique(qs * len(x) + ns)
@@ -74,7 +76,7 @@ def find(q: np.ndarray, graph: Graph, least: float, beam: int) -> tuple[np.ndarr
     """Candidate pairs of a block of queries, and the best similarity met; beams that hold links alone are widened."""
     rows, qs, ns, top = np.arange(len(q)), [], [], np.full(len(q), -np.inf)
     while True:
-        if beam >= len(graph.x):
+        if beam * DENSE >= len(graph.x):
             sims = q[rows] @ graph.x.T
             top[rows] = sims.max(axis=1)
             r, n = np.nonzero(sims >= least - SLACK)

@@ -8,9 +8,10 @@ band are compared by exact weighted Jaccard similarity.
 
 Texts of equal words are one node. The node of a bucket whose own buckets hold most is its hub
 (of a group of copies, their original or what is nearest to it), and all of the bucket are
-compared with that first. A hub's nodes that then lie in different components are dealt to
-blocks; a task takes two blocks and compares all their pairs at once by matrix products, so a
-node's shingles move once a block, not once a pair, and no link between components is left out.
+compared with that first. The hub's nodes that then lie in other components than its own are dealt
+to blocks, as are those in its own; a task takes two blocks, one of the former kind at least, and
+compares all their pairs at once by matrix products, so a node's shingles move once a block, not
+once a pair, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -263,12 +264,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     placed = family.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = C.checkpointed(placed)
-    split = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low != high")
+    # nodes in the hub's own component need no comparison with each other
+    main = placed.filter("hub = node").select("hub", F.col("component").alias("main"))
+    placed = C.checkpointed(placed.join(main, "hub").select("hub", "node", "component", (F.col("component") == F.col("main")).alias("is_main")))
+    split = placed.groupBy("hub").agg(F.count_if("is_main").alias("n_main"), F.count_if(~F.col("is_main")).alias("n_minor")).filter("n_minor > 0")
     # written, so that a hub's rows meet it in a join of its own, which can split them
-    split = C.checkpointed(split.select("hub", "n"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    still = placed.join(split, "hub").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(sets, "node")
-    dealt = still.select("hub", "node", "component", "block", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    split = C.checkpointed(split.select("hub", F.ceil(F.col("n_main") / BLOCK).alias("mains"), F.ceil(F.col("n_minor") / BLOCK).alias("minors")))
+    h = F.xxhash64("node")
+    block = F.when(F.col("is_main"), F.pmod(h, "mains")).otherwise(F.col("mains") + F.pmod(h, "minors"))
+    still = placed.join(split, "hub").withColumn("block", block).join(sets, "node")
+    others = F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("minors") - 1)
+    dealt = still.select("hub", "node", "component", "block", "shingles", F.explode(others).alias("other"))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def compare_blocks(t: pa.Table) -> pa.Table:
