@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's checkpoint folder; a local one only in local mode where none is set."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sedge-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
