@@ -41,8 +41,9 @@ U64 = np.uint64
 PLACE_BITS = 32
 #: Units that are hashed at a time; only a longer document makes a longer slice.
 SLICE = 1 << 20
-#: Distinct stretches of one gram that meet in one task.
+#: Distinct stretches of one gram that meet in one task, and bytes of stretches that are decided at a time.
 HOT = 4096
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -269,6 +270,25 @@ def two_bits(a: np.ndarray) -> np.ndarray:
     return np.unpackbits(a.astype(np.uint8)[:, None], axis=1)[:, 6:].ravel()
 
 
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
+
+
+def decide_in_parts(rule: Rule, grams: np.ndarray, texts: list[bytes], counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """rule.decide for a bucket, some whole grams of about PART_BYTES of text at a time."""
+    order = np.argsort(grams, kind="stable")
+    sizes = np.array([len(t) for t in texts], np.int64)[order]
+    new = np.flatnonzero(np.concatenate(([True], grams[order][1:] != grams[order][:-1])))
+    _, first = np.unique((np.cumsum(sizes) - sizes)[new] // PART_BYTES, return_index=True)
+    edges = [*new[first].tolist(), len(order)]
+    begins, bits = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), bool)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        part = order[a:b]
+        bits[ranges(begins[part], counts[part])] = rule.decide([texts[k] for k in part.tolist()], counts[part], docs[part])
+    return bits
+
+
 def reduce_bucket(rule: Rule, t: pa.Table) -> pa.Table:
     """Answers each entry; but for TEXT, an entry is a chunk's only one of its rank.
 
@@ -291,8 +311,7 @@ def reduce_bucket(rule: Rule, t: pa.Table) -> pa.Table:
             # columns: doc_id, windows and bytes of each stretch, and the stretches
             ends = [np.cumsum(C.unpack_longs(p[3])).tolist() for p in parts]
             texts = [x[a:b] for p, e in zip(parts, ends, strict=True) for x in [C.unpack(p[4])] for a, b in zip([0, *e[:-1]], e, strict=True)]
-            counts = longs(2)
-            bits = rule.decide(texts, counts, longs(1))
+            bits = decide_in_parts(rule, every, texts, longs(2), longs(1))
             at = np.concatenate(([0], np.cumsum([int(C.unpack_longs(p[2]).sum()) for p in parts])))
         else:
             if kind == SEEN:
@@ -410,8 +429,7 @@ class State:
 def spread(r: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run and place of each window of some runs."""
     n = (r.last - r.first + 1)[which]
-    run = np.repeat(which, n)
-    return run, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + r.first[run]
+    return np.repeat(which, n), ranges(r.first[which], n)
 
 
 def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int, np.ndarray], tuple], carry: tuple[str, ...] = (), chunk_bytes: int = C.TASK_BYTES) -> DataFrame:

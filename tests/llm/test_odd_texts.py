@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sedge.llm import curve_packing, embedding_dedup, language_id, media_columns, piece_codec, quality_crf, substring_dedup, suffix_dedup
+from sedge.llm import curve_packing, embedding_dedup, language_id, media_columns, piece_codec, quality_crf, repeats, substring_dedup, suffix_dedup
 
 
 def table(spark, texts):
@@ -78,6 +78,18 @@ def test_hot_grams_give_the_same_bytes(spark, hot):
     assert {r.doc_id: bytes(r.kept) for r in got} == want
 
 
+def test_buckets_are_decided_in_parts(monkeypatch):
+    """Whatever the parts, a window's first occurrence stays: each gram's stretches come together and in order."""
+    rng = np.random.default_rng(11)
+    grams = rng.integers(0, 9, 60).astype(np.uint64)
+    texts = [b"a%d g%d x%d b" % (rng.integers(0, 2), g, rng.integers(0, 3)) for g in grams]
+    counts, docs = np.full(60, 2), rng.integers(0, 20, 60)
+    rule = substring_dedup.rule_of(3, 1, 100)
+    whole = substring_dedup.decide(3, texts, counts, docs)
+    monkeypatch.setattr(repeats, "PART_BYTES", 50)
+    assert (repeats.decide_in_parts(rule, grams, texts, counts, docs) == whole).all() and whole.any()
+
+
 def test_subtree_depths():
     words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9])
     tree = substring_dedup.Subtree(words, np.array([0, 3, 6]), 3)
