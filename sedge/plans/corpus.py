@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import count_if, md5_int, quantile, same_query, sha, sha_byte, sql_query, strip
+from sedge.plans.dialect import count_if, md5_int, same_query, sha, sha_byte, sql_query, strip
 
 sql_query(
     "scan_documents",
@@ -76,12 +76,6 @@ sql_query(
                {sha("html")} as content_sha256, cast(<<octet_length(html)||strlen(html)>> as bigint) as n_bytes, html is null as unreadable from pages""",
 )
 
-sql_query(
-    "extent_receipts",
-    """with ext as (select source, doc_id, n_chars, cast(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and current row) as bigint) as ends from documents)
-       select source, count(*) as n_extents, cast(max(ends) as bigint) as total, min(ends - n_chars) as first_start from ext group by source""",
-)
-
 sql_query(
     "filter_minimum",
     """select doc_id, source, n_chars from documents
@@ -173,42 +167,12 @@ sql_query(
         from documents d left join contract c on d.source = c.source group by d.source""",
 )
 
-sql_query(
-    "source_length_profile",
-    """with r as (select source, n_chars, row_number() over (partition by source order by n_chars, doc_id) - 1 as k, count(*) over (partition by source) as n from documents)
-       select source, max(n) as n_documents, cast(sum(n_chars) as bigint) as n_tokens,
-              max(case when k = floor(0.5 * (n - 1)) then n_chars end) as p50, max(case when k = floor(0.9 * (n - 1)) then n_chars end) as p90, max(n_chars) as longest
-       from r group by source""",
-)
-
 sql_query(
     "group_by_marker",
     """with m as (select conv_id, turn, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn, role, text rows between unbounded preceding and current row) as section from conversations)
        select conv_id, cast(section as bigint) as section, count(*) as n_rows, cast(sum(length(text)) as bigint) as n_chars from m where section > 0 group by 1, 2""",
 )
 
-sql_query(
-    "prefix_document_count",
-    """with r as (select source, doc_id, row_number() over w as k, sum(n_chars) over w as total from documents window w as (partition by source order by doc_id rows between unbounded preceding and current row))
-       select source, cast(min(k) as bigint) as n_documents from r where total >= 20000 group by source""",
-)
-
-sql_query(
-    "token_budget_take",
-    f"""with u as (select doc_id, source, least(n_chars, 2048) as capped, row_number() over (partition by {sha("text")} order by doc_id) as k from documents),
-             c as (select doc_id, source, capped, coalesce(sum(capped) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from u where k = 1)
-        select doc_id, source, cast(least(capped, 30000 - before) as bigint) as tokens from c where before < 30000""",
-)
-
-sql_query(
-    "document_windows",
-    """with r as (select doc_id, source, n_chars, row_number() over (partition by source order by doc_id) as consumed from documents),
-            e as (select doc_id, source, consumed, row_number() over (partition by source order by doc_id) as k from r where n_chars >= 512)
-       select source, doc_id, cast(k - 1 as bigint) as window_index, cast(consumed as bigint) as n_consumed from e where k <= 5""",
-)
-
-sql_query("seeded_shuffle", f"""select doc_id, source, cast(row_number() over (partition by source order by {sha("concat('11:', cast(doc_id as varchar(20)))")}, doc_id) as bigint) as place from documents""")
-
 sql_query(
     "tiered_selection",
     f"""with top as (select doc_id, lang, n_chars from documents order by n_chars desc, {sha("text")}, doc_id limit 32),
@@ -264,4 +228,3 @@ sql_query(
     "group_by_shard",
     """select source as shard, cast(floor(doc_id / 1000.0) as bigint) as page, count(*) as n, <<array_join(array_sort(collect_list(doc_id)), ',')||array_to_string(list_sort(list(doc_id)), ',')>> as members from documents group by 1, 2""",
 )
-sql_query("length_quantiles", f"select lang, round({quantile('n_chars', 0.5)}, 6) as p50, round({quantile('n_chars', 0.99)}, 6) as p99 from documents group by lang")

@@ -96,7 +96,6 @@ sql_query(
       select rank_id, first_row, end_row, n, coalesce(lag(end_row) over (order by rank_id) <= first_row, true) as disjoint_from_last from x""",
 )
 sql_query("rank_partial_sum", "with r as (select l_partkey as pos, l_suppkey % 4 as rank_id, sum(l_quantity) as v from lineitem group by 1, 2) select pos, cast(sum(v) as bigint) as total, max(v) = min(v) as replicated, count(*) as n_ranks from r group by pos")
-sql_query("equal_population_buckets", f"with {EVENTS}, r as (select event_id, event_type, row_number() over (partition by event_type order by base, event_id) - 1 as k, count(*) over (partition by event_type) as n from ev) select event_id, cast(floor(k * 7 / cast(n as double)) as bigint) as bucket from r")
 sql_query(
     "expert_occurrence_index",
     f"""with {EVENTS}, c as (select user_id, k, count(*) as n from ev group by 1, 2), o as (select user_id, k, n, sum(n) over (partition by user_id order by k rows between unbounded preceding and current row) - n as first_at from c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import EVENTS, LEDGER, count_if, md5_int, quantile, sql_query
+from sedge.plans.dialect import EVENTS, LEDGER, count_if, quantile, sql_query
 
 #: Cluster means, pooled and equal weights, tails: overall and by domain.
 _CLUSTERS = "cl as (select event_type, user_id, avg(cand - base) as delta, count(*) as n from ev group by event_type, user_id)"
@@ -25,20 +25,6 @@ sql_query(
              {count_if("cand < base")} as better, {count_if("cand > base")} as worse from ev group by event_type""",
 )
 
-sql_query(
-    "tail_metrics",
-    f"""with {EVENTS}, r as (select event_type, cand, row_number() over (partition by event_type order by cand desc, event_id) as k, count(*) over (partition by event_type) as n from ev)
-      select event_type, round({quantile("cand", 0.99)}, 9) as p99, round(avg(case when k <= ceil(0.01 * n) then cand end), 9) as cvar1, round(max(cand), 9) as worst from r group by event_type""",
-)
-
-sql_query(
-    "tail_error_stats",
-    f"""with {LEDGER}, e as (select layer, expert, l_orderkey, l_linenumber, power(cand - base, 2) as err, power(base, 2) as energy from led),
-      r as (select layer, err, energy, row_number() over (partition by layer order by err, l_orderkey, l_linenumber, expert) as k, count(*) over (partition by layer) as n from e)
-      select layer, round(sum(err) / sum(energy), 9) as relative_sse, round(max(case when k = ceil(0.99 * n) then err end), 4) as p99,
-             round(avg(case when k > n - ceil(0.01 * n) then err end), 4) as cvar1, round(max(err), 4) as worst from r group by layer""",
-)
-
 sql_query(
     "sse_by_document",
     f"""with {EVENTS}, skeleton as (select distinct user_id from ev)
@@ -67,18 +53,6 @@ sql_query(
              round((n * sbc - sb * sc) / sqrt((n * sbb - sb * sb) * (n * scc - sc * sc)), 6) as pearson, round(worst, 9) as max_abs from m""",
 )
 
-sql_query(
-    "spearman_corr",
-    f"""with {EVENTS}, r as (select event_type, rank() over (partition by event_type order by base) + (count(*) over (partition by event_type, base) - 1) / cast(2 as double) - 1 as rb,
-                  rank() over (partition by event_type order by cand) + (count(*) over (partition by event_type, cand) - 1) / cast(2 as double) - 1 as rc from ev)
-      select event_type, round(corr(rb, rc), 8) as spearman from r group by event_type""",
-)
-
-sql_query(
-    "quantile_vector",
-    f"""with {EVENTS} select event_type, {", ".join(f"round({quantile('base', q)}, 9) as p{int(q * 100):02d}" for q in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0))} from ev group by event_type""",
-)
-
 sql_query(
     "margin_stats",
     f"""with {EVENTS}, m as (select user_id, event_type, base - lead(base) over (partition by user_id, event_type order by base desc, event_id) as margin from ev)
