@@ -108,3 +108,56 @@ def seeded_bootstrap(clusters: DataFrame, group: str, order: str, base: str, can
         return pd.DataFrame({group: [p[group].iloc[0]], "improvement": [1 - c.sum() / b.sum()], "low": [low], "high": [high], "share_positive": [float((x > 0).mean()) if len(x) else np.nan]})
 
     return clusters.select(group, order, base, cand).groupBy(group).applyInPandas(f, f"{group} string, improvement double, low double, high double, share_positive double")
+
+
+def balanced_fill(items: DataFrame, group: str, item: str, score: str, bins: int) -> DataFrame:
+    """Row per item: its bin, of equal capacities (the last may stay short).
+
+    The item with the highest score goes to the bin with the least sum that has room; ties go
+    to the smaller item and bin. Groups are of one object's parts, and so small.
+    """
+
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([score, item], ascending=[False, True], kind="stable")
+        room, heap, out = -(-len(p) // bins), [(0, b, 0) for b in range(bins)], []
+        for s in p[score]:
+            total, b, n = heapq.heappop(heap)
+            out.append(b)
+            if n + 1 < room:
+                heapq.heappush(heap, (total + s, b, n + 1))
+        return pd.DataFrame({group: p[group], item: p[item], "bin": out})
+
+    return items.select(group, item, score).groupBy(group).applyInPandas(f, f"{group} long, {item} long, bin long")
+
+
+def descend(options: DataFrame, group: str, item: str, mode: str, value: str, cost: str, price: float, sweeps: int = 20) -> DataFrame:
+    """Row per item: the mode that coordinate descent ends with, and the group's objective.
+
+    options has each item's value and cost in each mode (numbered from 0, all of them). The objective is the
+    square of the group's sum of values plus price x the sum of costs. Starts are every mode
+    for all items; the best end counts, of equal ones the one from the smaller start. A step
+    changes one item to its best mode, ties to the smaller, until a sweep changes nothing.
+    """
+
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        x, c = (p.pivot(index=item, columns=mode, values=v).sort_index() for v in (value, cost))
+        names, x, c = x.index.to_numpy(), x.to_numpy(float), c.to_numpy(float)
+        best: tuple[float, np.ndarray] | None = None
+        rows = np.arange(len(x))
+        for start in range(x.shape[1]):
+            chosen = np.full(len(x), start)
+            for _ in range(sweeps):
+                before = chosen.copy()
+                total = x[rows, chosen].sum()
+                for k in rows:
+                    rest = total - x[k, chosen[k]]
+                    chosen[k] = int(np.argmin((rest + x[k]) ** 2 + price * c[k]))
+                    total = rest + x[k, chosen[k]]
+                if (chosen == before).all():
+                    break
+            objective = x[rows, chosen].sum() ** 2 + price * c[rows, chosen].sum()
+            if best is None or objective < best[0]:
+                best = objective, chosen
+        return pd.DataFrame({group: p[group].iloc[0], item: names, "mode": best[1], "objective": best[0]})
+
+    return options.select(group, item, mode, value, cost).groupBy(group).applyInPandas(f, f"{group} long, {item} long, mode long, objective double")

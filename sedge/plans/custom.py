@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.functions import hashing
+from sedge.functions import extensions, hashing
 from sedge.operators import allocation, moments, scheduling
 from sedge.plans.dialect import EVENTS, LEDGER, frame_query, run_sql, same_query, table
 from sedge.shipping import ship
@@ -228,3 +228,46 @@ def fit_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "select array(l_discount, l_tax) as v, l_quantity as w from lineitem")
     got = allocation.nearest(rows, allocation.fit_codebook(rows, "v", "w", 4))
     return got.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("error")) / F.sum("w"), 9).alias("mse"))
+
+
+#: The item in turn goes to the bin of the least sum that has room.
+_FILL = f"""with recursive {LEDGER}, item as (select layer, expert % 40 as expert, cast(sum(weight) as bigint) as score from led group by 1, 2), r as (select layer, expert, score, row_number() over (partition by layer order by score desc, expert) as k, cast(ceil(count(*) over (partition by layer) / 4.0) as bigint) as room from item),
+  w as (select layer, cast(0 as bigint) as k, cast(null as bigint) as expert, cast(null as bigint) as bin, [0, 0, 0, 0]::bigint[] as load, [0, 0, 0, 0]::bigint[] as n from (select distinct layer from r) x union all
+    select layer, k, expert, b - 1, list_transform(load, lambda v, i: case when i = b then v + score else v end), list_transform(n, lambda v, i: case when i = b then v + 1 else v end)
+    from (select r.layer, r.k, r.expert, r.score, w.load, w.n, list_position(list_transform(w.load, lambda v, i: case when w.n[i] < r.room then v else null end), list_min(list_transform(w.load, lambda v, i: case when w.n[i] < r.room then v else null end))) as b from w join r on r.layer = w.layer and r.k = w.k + 1) y)
+  select layer, expert, cast(bin as bigint) as bin from w where k > 0"""
+
+
+@frame_query("balanced_fill", _FILL)
+def balanced_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    items = run_sql(spark, sf_dir, f"with {LEDGER} select layer, expert % 40 as expert, cast(sum(weight) as bigint) as score from led group by 1, 2")
+    return scheduling.balanced_fill(items, "layer", "expert", "score", 4)
+
+
+@frame_query("coordinate_descent")
+def coordinate_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes of a layer's slots whose errors should cancel, at a price for the ones that cost more."""
+    ship(spark)
+    options = run_sql(spark, sf_dir, f"with {LEDGER}, s as (select layer, expert % 20 as slot, sum(cand - base) / 1000 as d, sum(weight) as w from led group by 1, 2) select layer, slot, m.mode, d * (1 - m.mode) - d * 0.5 * m.mode * (m.mode - 1) / 2 as value, w * m.mode as cost from s join (select 0 as mode union all select 1 as mode union all select 2 as mode) m on true")
+    return scheduling.descend(options, "layer", "slot", "mode", "value", "cost", 0.01).withColumn("objective", F.round("objective", 6))
+
+
+@frame_query(
+    "token_chunks",
+    """with w as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws from documents), c as (select doc_id, ws, unnest(range(cast(ceil(len(ws) / 64.0) as bigint))) as chunk from w)
+       select doc_id, chunk, cast(least(len(ws) - chunk * 64, 64) as bigint) as n_words, sha256(array_to_string(ws[chunk * 64 + 1:chunk * 64 + 64], ' ')) as words_sha256 from c""",
+)
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = extensions.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 64)
+    return c.select("doc_id", "chunk", "n_words", F.sha2(F.array_join("words", " "), 256).alias("words_sha256"))
+
+
+@frame_query("pool_progress", "select source, count(*) as n_planned, cast(sum(case when doc_id % 3 = 0 then 1 else 0 end) as bigint) as n_done, cast(sum(case when doc_id % 3 = 0 then n_chars else 0 end) as bigint) as chars_done, round(sum(case when doc_id % 3 = 0 then n_chars else 0 end) / cast(sum(n_chars) as double), 9) as share, sum(case when doc_id % 3 = 0 then 0 else 1 end) = 0 as complete from documents group by source")
+def pool_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a run is whose receipts name a third of the plan, group by group."""
+    plan = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    done = plan.filter("doc_id % 3 = 0").select("doc_id", F.lit(True).alias("done")).distinct()
+    is_done = F.coalesce("done", F.lit(False))
+    got = plan.join(done, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_planned"), F.count_if(is_done).alias("n_done"), F.coalesce(F.sum(F.when(is_done, F.col("n_chars"))), F.lit(0)).alias("chars_done"), F.sum("n_chars").alias("all_"))
+    return got.select("source", "n_planned", "n_done", "chars_done", F.round(F.col("chars_done") / F.col("all_"), 9).alias("share"), (F.col("n_done") == F.col("n_planned")).alias("complete"))

@@ -122,3 +122,30 @@ def test_ridge_of_zeros(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0, 0.0])], "g long, v array<double>")
     (r,) = moments.ridge(moments.gram(df, "g", "v"), "g", 0, 0.01).collect()
     assert r.coefficients == [0.0, 0.0]
+
+
+def test_descent_ends_where_no_single_change_helps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, m, float(rng.normal()), float(m * rng.integers(1, 4))) for g in range(4) for i in range(5) for m in range(3)]
+    df = spark.createDataFrame(rows, "g long, item long, mode long, v double, c double")
+    by = {(g, i, m): (v, c) for g, i, m, v, c in rows}
+    cost = lambda g, modes: sum(by[g, i, m][0] for i, m in enumerate(modes)) ** 2 + 0.05 * sum(by[g, i, m][1] for i, m in enumerate(modes))
+    got = scheduling.descend(df, "g", "item", "mode", "v", "c", 0.05).collect()
+    for g in range(4):
+        mine = sorted((r["item"], r.mode, r.objective) for r in got if r.g == g)
+        modes = [m for _, m, _ in mine]
+        assert mine[0][2] == pytest.approx(cost(g, modes))
+        assert all(cost(g, modes[:i] + [m] + modes[i + 1 :]) >= cost(g, modes) - 1e-12 for i in range(5) for m in range(3))
+        assert cost(g, modes) <= min(cost(g, [m] * 5) for m in range(3)) + 1e-12
+
+
+def test_chunks_and_tokenizers(spark):
+    from sedge.functions import extensions
+
+    df = spark.createDataFrame([(1, " a b  c d\ne "), (2, ""), (3, None), (4, "x")], "k long, t string")
+    got = sorted((r.k, r.chunk, r.n_words, list(r["words"])) for r in extensions.chunks(df, "t", 3, 1).collect())
+    assert got == [(1, 0, 3, ["a", "b", "c"]), (1, 1, 3, ["c", "d", "e"]), (4, 0, 1, ["x"])]
+    lengths = lambda texts: [[len(w) for w in t.split()] for t in texts]
+    assert {r.k: r.n for r in df.select("k", extensions.tokens(lengths)("t").alias("n")).collect()} == {1: [1] * 5, 2: [], 3: None, 4: [1]}
+    extensions.register(spark, word_lengths=lengths)
+    assert spark.sql("select word_lengths('ab c') as n, blake2b_128('a') as h").first().n == [2, 1]
