@@ -27,7 +27,7 @@ COSINE = 0.98
 SHARD = 4096
 BEAM = 64
 #: By how much a beam is widened.
-WIDER = 4
+WIDER = 8
 #: One query in so many is audited; 1 audits all. Of their links and nearest nodes so many must be found.
 AUDIT = 20
 RECALL = 0.98

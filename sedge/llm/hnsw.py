@@ -93,14 +93,16 @@ def choose(x: np.ndarray, node: int, near: np.ndarray, sims: np.ndarray, n: int)
     order = np.argsort(-sims, kind="stable")
     near, sims = near[order], sims[order]
     among = x[near] @ x[near].T
-    chosen: list[int] = []
+    blocked, mine, left = np.zeros(len(near), bool), np.zeros(len(near), bool), n
     for k in range(len(near)):
-        if not chosen or (among[k, chosen] < sims[k]).all():
-            chosen.append(k)
-            if len(chosen) == n:
+        if not blocked[k]:
+            mine[k] = True
+            left -= 1
+            if not left:
                 break
-    rest = [k for k in range(len(near)) if k not in set(chosen)]
-    return near[np.array([*chosen, *rest][:n])]
+            # nearer to this one than to the node
+            blocked |= among[k] >= sims
+    return near[np.concatenate((np.flatnonzero(mine), np.flatnonzero(~mine)))[:n]]
 
 
 def layer_links(x: np.ndarray, links: int, beam: int) -> np.ndarray:
