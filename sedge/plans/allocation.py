@@ -26,11 +26,14 @@ sql_query(
       b as (select layer, n, objective, n_bytes, damage, row_number() over (partition by layer order by objective desc, n_bytes, n) as k from z)
       select layer, cast(n as bigint) as n_kept, cast(n_bytes as bigint) as n_bytes, cast(damage as bigint) as damage from b where k = 1""",
 )
+_GRID = [250 * k for k in range(40)]
+_AT = lambda lam, v: f"sum(case when damage > {lam} * n_bytes then {v} else 0 end)"
+# one pass over the items: a conditional sum for each multiplier, then forty rows of them
 sql_query(
     "lagrangian_grid",
-    f"""with {_OPTIONS}, grid as (select <<id * 250||range * 250>> as lam from <<range(0, 40)||range(0, 40)>>), t as (select lam, sum(case when damage > lam * n_bytes then n_bytes else 0 end) as n_bytes, sum(case when damage > lam * n_bytes then damage else 0 end) as damage from item cross join grid group by lam),
-      b as (select sum(n_bytes) * 0.4 as budget from item)
-      select cast(min(lam) as bigint) as lam, cast(max(t.n_bytes) as bigint) as n_bytes, cast(max(t.damage) as bigint) as damage from t cross join b where t.n_bytes <= b.budget""",
+    f"""with {_OPTIONS}, s as (select sum(n_bytes) * 0.4 as budget, {", ".join(f"{_AT(lam, 'n_bytes')} as b{lam}, {_AT(lam, 'damage')} as d{lam}" for lam in _GRID)} from item),
+      t as (<<select budget, stack({len(_GRID)}, {", ".join(f"{lam}, b{lam}, d{lam}" for lam in _GRID)}) as (lam, n_bytes, damage) from s||select budget, unnest([{", ".join(str(lam) for lam in _GRID)}]) as lam, unnest([{", ".join(f"b{lam}" for lam in _GRID)}]) as n_bytes, unnest([{", ".join(f"d{lam}" for lam in _GRID)}]) as damage from s>>)
+      select cast(min(lam) as bigint) as lam, cast(max(n_bytes) as bigint) as n_bytes, cast(max(damage) as bigint) as damage from t where n_bytes <= budget""",
 )
 sql_query(
     "rate_options",

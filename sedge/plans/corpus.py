@@ -176,26 +176,17 @@ sql_query(
 sql_query(
     "tiered_selection",
     f"""with top as (select doc_id, lang, n_chars from documents order by n_chars desc, {sha("text")}, doc_id limit 32),
-             rest as (select d.doc_id, d.lang, d.n_chars, row_number() over (partition by d.lang order by d.n_chars desc, d.doc_id) as k from documents d where d.doc_id not in (select doc_id from top))
+             rest as (select d.doc_id, d.lang, d.n_chars, row_number() over (partition by d.lang order by d.n_chars desc, d.doc_id) as k from documents d where not exists (select 1 from top where top.doc_id = d.doc_id))
         select doc_id, lang, n_chars, 'confirmation' as tier, cast(row_number() over (partition by lang order by n_chars desc, doc_id) - 1 as bigint) as place from top
         union all select doc_id, lang, n_chars, 'auxiliary' as tier, cast(k - 1 as bigint) as place from rest where k <= 2""",
 )
 
-sql_query(
-    "stratified_sample",
-    """with w as (select source, count(*) as n from documents group by source),
-            q as (select source, n, 100.0 * n / sum(n) over () as share from w),
-            f as (select source, floor(share) as base, share - floor(share) as frac from q),
-            r as (select source, base, row_number() over (order by frac desc, source) as k, 100 - sum(base) over () as left_over from f),
-            quota as (select source, cast(base as bigint) + case when k <= left_over then 1 else 0 end as quota from r),
-            d as (select doc_id, source, row_number() over (partition by source order by doc_id) as k from documents)
-       select d.source, d.doc_id from d join quota on d.source = quota.source where d.k <= quota.quota""",
-)
-
+# no source gives more than all turns there are
 sql_query(
     "round_robin_strata",
-    f"""with p as (select source, doc_id, row_number() over (partition by source order by {sha("cast(doc_id as varchar(20))")}, doc_id) as k, count(*) over (partition by source) as n from documents)
-        select doc_id, source, cast(k as bigint) as turn from p order by k, n desc, source limit 60""",
+    f"""with n as (select source, count(*) as n from documents group by source), p as (select source, doc_id, row_number() over (partition by source order by {sha("cast(doc_id as varchar(20))")}, doc_id) as k from documents),
+             q as (select source, doc_id, k from p where k <= 60)
+        select q.doc_id, q.source, cast(q.k as bigint) as turn from q join n on q.source = n.source order by q.k, n.n desc, q.source limit 60""",
 )
 
 _A, _B = (f"select distinct {sha('text')} as h from documents where doc_id % 2 = {k}" for k in (0, 1))

@@ -153,3 +153,17 @@ def spearman_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def equal_population_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = placed(_events(spark, sf_dir), ["event_type"], ["base", "event_id"])
     return p.select("event_id", F.floor((F.col("place") - 1) * 7 / F.col("n").cast("double")).alias("bucket"))
+
+
+_QUOTAS = """with w as (select source, count(*) as n from documents group by source),
+            q as (select source, n, 100.0 * n / sum(n) over () as share from w),
+            f as (select source, floor(share) as base, share - floor(share) as frac from q),
+            r as (select source, base, row_number() over (order by frac desc, source) as k, 100 - sum(base) over () as left_over from f)
+       select source, cast(base as bigint) + case when k <= left_over then 1 else 0 end as quota from r"""
+
+
+@frame_query("stratified_sample", f"with quota as ({_QUOTAS}), d as (select doc_id, source, row_number() over (partition by source order by doc_id) as k from documents) select d.source, d.doc_id from d join quota on d.source = quota.source where d.k <= quota.quota")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents of each source, as many as its share of a hundred by largest remainders."""
+    p = placed(_documents(spark, sf_dir), ["source"], ["doc_id"])
+    return p.join(run_sql(spark, sf_dir, _QUOTAS), "source").filter("place <= quota").select("source", "doc_id")
