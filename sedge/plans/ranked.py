@@ -167,3 +167,17 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first documents of each source, as many as its share of a hundred by largest remainders."""
     p = placed(_documents(spark, sf_dir), ["source"], ["doc_id"])
     return p.join(run_sql(spark, sf_dir, _QUOTAS), "source").filter("place <= quota").select("source", "doc_id")
+
+
+@frame_query(
+    "range_join_extents",
+    """with x as (select source, doc_id, n_chars, sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and current row) as ends from documents),
+      p as (select source, total, part, cast(floor(total * part / 8.0) as bigint) as pos from (select source, max(ends) as total from x group by source) t cross join (select <<id as part from range(8)||range as part from range(8)>>) r)
+      select p.source, p.part, x.doc_id, cast(p.pos - (x.ends - x.n_chars) as bigint) as inside from p join x on p.source = x.source and p.pos >= x.ends - x.n_chars and p.pos < x.ends""",
+)
+def range_join_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that holds each eighth of a source's characters: eight positions a source meet its extents."""
+    x = placed(_documents(spark, sf_dir), ["source"], ["doc_id"], "n_chars").withColumn("ends", F.col("before") + F.col("n_chars")).select("source", "doc_id", "before", "ends")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))
+    p = x.groupBy("source").agg(F.max("ends").alias("total")).select("source", "total", part.alias("part")).withColumn("pos", F.floor(F.col("total") * F.col("part") / 8.0))
+    return p.join(x, "source").filter("pos >= before and pos < ends").select("source", "part", "doc_id", (F.col("pos") - F.col("before")).alias("inside"))

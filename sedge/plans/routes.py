@@ -47,12 +47,6 @@ sql_query(
       select expert, count(*) as n_candidates, count(distinct support) = 1 as support_agrees, <<array_join(array_sort(collect_list(mode_a)), '+')||array_to_string(list_sort(list(mode_a)), '+')>> as candidates from c group by expert""",
 )
 sql_query("observation_membership", f"with {EVENTS} select e.event_type, count(*) as n, {count_if('l.k is not null')} as n_cached from ev e left join (select distinct k from ev where user_id % 10 = 0) l on e.k = l.k group by e.event_type")
-sql_query(
-    "range_join_extents",
-    """with x as (select source, doc_id, n_chars, sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and current row) as ends from documents),
-      p as (select source, total, part, cast(floor(total * part / 8.0) as bigint) as pos from (select source, max(ends) as total from x group by source) t cross join (select <<id as part from range(8)||range as part from range(8)>>) r)
-      select p.source, p.part, x.doc_id, cast(p.pos - (x.ends - x.n_chars) as bigint) as inside from p join x on p.source = x.source and p.pos >= x.ends - x.n_chars and p.pos < x.ends""",
-)
 sql_query(
     "overlay_precedence",
     f"""with {LEDGER}, o as (select expert, 0 as priority, max(base) as v from led group by 1 union all select expert, 1 as priority, max(cand) as v from led where mode_a = 'A' group by 1 union all select expert, 2 as priority, min(cand) as v from led where mode_a = 'R' group by 1)
