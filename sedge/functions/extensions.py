@@ -28,7 +28,7 @@ def tokens(tokenizer: Tokenizer) -> Callable[[Column | str], Column]:
             out[known] = pd.Series(tokenizer(text[known].tolist()), index=text.index[known], dtype=object)
         return out
 
-    return F.pandas_udf(f, "array<int>", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(f, "array<int>")
 
 
 def chunks(rows: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:

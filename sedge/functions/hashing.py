@@ -15,12 +15,16 @@ def blake2b_128():
     def f(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=16).hexdigest())
 
-    return F.pandas_udf(f, "string", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(f, "string")
 
 
 def big_fold(modulus: int):
     """UDF: the 128-bit big-endian integer of a hex digest, modulo."""
-    return F.pandas_udf(lambda h: h.map(lambda x: None if x is None else int(x, 16) % modulus).astype("Int64"), "long", F.PandasUDFType.SCALAR)
+
+    def f(digest: pd.Series) -> pd.Series:
+        return digest.map(lambda x: None if x is None else int(x, 16) % modulus).astype("Int64")
+
+    return F.pandas_udf(f, "long")
 
 
 def little_fold(modulus: int):
@@ -29,7 +33,7 @@ def little_fold(modulus: int):
     def f(key: pd.Series) -> pd.Series:
         return key.map(lambda k: None if k is None else int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little") % modulus).astype("Int64")
 
-    return F.pandas_udf(f, "long", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(f, "long")
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:
@@ -50,4 +54,4 @@ def sampled(rate: int):
         out[known] = splitmix64(x ^ y) % np.uint64(rate) == 0
         return out
 
-    return F.pandas_udf(f, "boolean", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(f, "boolean")
