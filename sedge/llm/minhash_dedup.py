@@ -235,10 +235,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = C.checkpointed(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
 
     entries = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, as hubs are below, so that a large bucket's rows meet it in a join of its own, which can split them
+    buckets = C.checkpointed(entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = C.checkpointed(entries.join(buckets, ["band", "key"]))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    hubs = C.checkpointed(members.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub")))
     family = C.checkpointed(members.join(hubs, ["band", "key"]).select("hub", "node").distinct())
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
