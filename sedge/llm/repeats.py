@@ -39,10 +39,10 @@ from sedge.shipping import ship
 U64 = np.uint64
 #: Bits for the place in a sliding minimum; the others are the hash. Texts are below 2**31 bytes.
 PLACE_BITS = 32
-#: Units that are hashed at a time; only a longer document makes a longer slice.
+#: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Distinct stretches of one gram that meet in one task, and bytes of stretches that are decided at a time.
-HOT = 4096
+HOT = 512
 PART_BYTES = 1 << 20
 
 
@@ -64,10 +64,19 @@ class Rule:
         if not 0 < self.gram <= self.window:
             raise ValueError("gram must be between 1 and window")
 
+    def units(self, data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, C.Doubled]:
+        """Starts, ends and hashes of words, or of single bytes."""
+        if self.words:
+            return starts, ends, C.Doubled(C.stretch_hashes(data, starts, ends))
+        whole = self.gram >= 8
+        units = C.eights(data)[: max(len(data) - 7, 0)] if whole else C.mix(data.astype(U64) + U64(1))
+        at = np.arange(len(data))
+        return at, at + 1, C.Doubled(units, 8 if whole else 1)
+
 
 @dataclass
 class Slice:
-    """Some whole documents of a chunk: the first one's number, its first byte, and units as places in data."""
+    """Some whole documents of a chunk, or a part of a long one: the first one's number, the first byte, units as places from there."""
 
     doc: int
     offset: int
@@ -75,6 +84,9 @@ class Slice:
     starts: np.ndarray
     ends: np.ndarray
     hashes: C.Doubled
+    #: Of a part: its first unit in the document, and whether another part follows.
+    first: int = 0
+    more: bool = False
 
 
 class Chunk:
@@ -97,20 +109,28 @@ class Chunk:
         return self.data[self.offsets[k] : self.offsets[k + 1]]
 
     def slices(self, rule: Rule) -> Iterator[Slice]:
+        """Runs of whole documents of up to SLICE bytes; a longer one comes in parts that share window - 1 units."""
         n, k = len(self.ids), 0
         while k < n:
             to = max(k + 1, int(np.searchsorted(self.offsets, self.offsets[k] + SLICE, "right")) - 1)
             at = int(self.offsets[k])
             data = np.frombuffer(self.data, np.uint8, int(self.offsets[to]) - at, at) if self.data else np.zeros(0, np.uint8)
             offsets = self.offsets[k : to + 1] - at
-            if rule.words:
-                starts, ends = doc_words(data, offsets)
-                yield Slice(k, at, np.searchsorted(starts, offsets), starts, ends, C.Doubled(C.stretch_hashes(data, starts, ends)))
+            starts, ends = doc_words(data, offsets) if rule.words else (None, None)
+            if len(data) <= SLICE:
+                yield Slice(k, at, np.searchsorted(starts, offsets) if rule.words else offsets, *rule.units(data, starts, ends))
             else:
-                starts = np.arange(len(data))
-                whole = rule.gram >= 8
-                units = C.eights(data)[: max(len(data) - 7, 0)] if whole else C.mix(data.astype(U64) + U64(1))
-                yield Slice(k, at, offsets, starts, starts + 1, C.Doubled(units, 8 if whole else 1))
+                units = len(starts) if rule.words else len(data)
+                step = SLICE // 4 if rule.words else SLICE
+                for first in range(0, max(units, 1), step):
+                    stop = min(first + step + rule.window - 1, units)
+                    if rule.words:
+                        low, high = (int(starts[first]), int(ends[stop - 1])) if units else (0, 0)
+                        part = rule.units(data[low:high], starts[first:stop] - low, ends[first:stop] - low)
+                    else:
+                        low = first
+                        part = rule.units(data[first:stop], None, None)
+                    yield Slice(k, at + low, np.array([0, stop - first]), *part, first, first + step < units)
             k = to
 
 
@@ -413,6 +433,7 @@ class State:
         r, window = self.runs, self.rule.window
         run, at = spread(r, self.text)
         run, at = np.concatenate((run[self.text_late], self.window_run[self.late])), np.concatenate((at[self.text_late], self.window_at[self.late]))
+        long = np.zeros(0, bool)
         for s, x in enumerate(self.chunk.slices(self.rule)):
             edge = np.zeros(int(x.begins[-1]) + 1, np.int32)
             whole = (r.slice == s) & ~self.first
@@ -422,8 +443,15 @@ class State:
             np.add.at(edge, one, 1)
             np.add.at(edge, one + window, -1)
             hit = np.cumsum(edge[:-1]) > 0
-            for j in range(len(x.begins) - 1):
-                yield x.doc + j, hit[x.begins[j] : x.begins[j + 1]]
+            if not x.first and not x.more:
+                for j in range(len(x.begins) - 1):
+                    yield x.doc + j, hit[x.begins[j] : x.begins[j + 1]]
+                continue
+            # parts overlap: the units that two share are covered if either says so
+            long = hit if not x.first else np.concatenate((long, np.zeros(x.first + len(hit) - len(long), bool)))
+            long[x.first :] |= hit
+            if not x.more:
+                yield x.doc, long
 
 
 def spread(r: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,6 +463,9 @@ def spread(r: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int, np.ndarray], tuple], carry: tuple[str, ...] = (), chunk_bytes: int = C.TASK_BYTES) -> DataFrame:
     """Row doc_id, emit(chunk, k, covered) for each document; see the module's text for the rounds.
 
+    A task holds a chunk's text (chunk_bytes, or one longer document), and for its runs of
+    windows a few bytes for each byte of it; the hashes are made SLICE bytes at a time.
+
     Columns to carry come back as carried_0, carried_1, ... beside each document; they lie with
     its chunk meanwhile, so that no join brings them back.
     """
@@ -495,7 +526,8 @@ def repeats(docs: DataFrame, rule: Rule, schema: str, emit: Callable[[Chunk, int
         return reduce_bucket(rule, t)
 
     def meet(asked: DataFrame) -> DataFrame:
-        return C.checkpointed(asked.groupBy("bucket").applyInArrow(reduce, ROWS))
+        # dealt by number, for adaptive execution would join buckets that look small while they are packed
+        return C.checkpointed(asked.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(reduce, ROWS))
 
     by_chunk = store.groupBy("chunk")
     got = meet(store.mapInArrow(C.lean(seen), ROWS))

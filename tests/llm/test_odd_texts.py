@@ -78,6 +78,57 @@ def test_hot_grams_give_the_same_bytes(spark, hot):
     assert {r.doc_id: bytes(r.kept) for r in got} == want
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_long_texts_in_parts(monkeypatch, words):
+    """Slices of long documents give the same runs' windows, each once, with the same bytes."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["ab", "c", "defg"]) for _ in range(n)).encode() for n in (300, 2, 90, 500)] + [b"", b" " * 700, b"x" * 400]
+    chunk = repeats.Chunk(repeats.Chunk.pack(np.arange(len(texts)), texts))
+    rule = repeats.Rule(words, 13 if words else 40, 5 if words else 16, None)
+
+    def windows():
+        slices = list(chunk.slices(rule))
+        r = repeats.runs_of(rule, chunk, True)
+        run, at = repeats.spread(r, np.arange(len(r.doc)))
+        got = []
+        for k, a in zip(run.tolist(), at.tolist(), strict=True):
+            x = slices[r.slice[k]]
+            begin = x.offset + int(x.starts[a]) - int(chunk.offsets[r.doc[k]])
+            got.append((int(r.doc[k]), begin, int(r.gram[k])))
+        assert all(chunk.data[a:b].split() if words else b - a >= 40 for a, b in zip(r.start.tolist(), r.end.tolist(), strict=True))
+        return sorted(got)
+
+    whole = windows()
+    monkeypatch.setattr(repeats, "SLICE", 200)
+    assert windows() == whole and len({w[:2] for w in whole}) == len(whole)
+
+
+@pytest.mark.parametrize("slices", [64, 256])
+def test_long_documents_lose_the_same(monkeypatch, slices):
+    """What late windows cover, put together from parts."""
+    texts = [" ".join(passages(random.Random(k), 4)) for k in range(6)]
+    chunk = repeats.Chunk(repeats.Chunk.pack(np.arange(6), [t.encode() for t in texts]))
+    rule = repeats.Rule(True, 13, 5, substring_dedup.rule_of(13, 5, 99).decide)
+
+    def covered():
+        s = repeats.State.__new__(repeats.State)
+        s.rule, s.chunk = rule, chunk
+        s.runs = repeats.runs_of(rule, chunk, True)
+        run, at = repeats.spread(s.runs, np.arange(len(s.runs.doc)))
+        x = list(chunk.slices(rule))
+        # every seventh window of a document is late, by its place in the document
+        place = np.array([x[s.runs.slice[k]].first + a - x[s.runs.slice[k]].begins[s.runs.doc[k] - x[s.runs.slice[k]].doc] for k, a in zip(run.tolist(), at.tolist(), strict=True)])
+        s.text, s.text_late = np.arange(len(s.runs.doc)), place % 31 == 0
+        s.first = np.ones(len(s.runs.doc), bool)
+        s.window_run, s.window_at, s.late = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return [(k, hit.tolist()) for k, hit in s.covered()]
+
+    whole = covered()
+    assert len(whole) == 6
+    monkeypatch.setattr(repeats, "SLICE", slices)
+    assert covered() == whole
+
+
 def test_buckets_are_decided_in_parts(monkeypatch):
     """Whatever the parts, a window's first occurrence stays: each gram's stretches come together and in order."""
     rng = np.random.default_rng(11)
