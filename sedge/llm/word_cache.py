@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 #: Bytes that an entry takes besides its key and value, about.
-ENTRY = 200
+ENTRY = 150
 
 
 class WordCache:
@@ -15,7 +15,7 @@ class WordCache:
     Keys of over `longest` units are made each time, so that odd texts push nothing out.
     """
 
-    def __init__(self, make_all: Callable[[list], list], size_of: Callable[[Any], int] = len, limit: int = 24 << 20, longest: int = 256):
+    def __init__(self, make_all: Callable[[list], list], size_of: Callable[[Any], int] = len, limit: int = 48 << 20, longest: int = 256):
         self.make_all, self.size_of, self.limit, self.longest = make_all, size_of, limit, longest
         self.known: dict = {}
         self.old: dict = {}
