@@ -42,7 +42,7 @@ PLACE_BITS = 32
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Distinct stretches of one gram that meet in one task, and bytes of stretches that are decided at a time.
-HOT = 512
+HOT = 4096
 PART_BYTES = 1 << 20
 
 
