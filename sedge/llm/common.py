@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.llm.word_cache import forget_all
+
 #: Bytes of text that one chunk or reduce task is planned for; fixes the number of partitions.
 TASK_BYTES = 8 << 20
 
@@ -186,10 +188,15 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """f for mapInArrow; memory that it freed goes back to the machine when its task ends, for workers stay."""
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], words: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; memory that it freed goes back to the machine when its task ends, for workers stay.
+
+    words: f remembers words; the tasks of others empty what is remembered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not words:
+            forget_all()
         yield from f(batches)
         release()
 

@@ -247,10 +247,10 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary_path: str |
         yield out(done)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = C.checkpointed(docs.mapInArrow(C.lean(encode), "doc_id long, place long, doc_tokens long, ids binary"))
+    coded = C.checkpointed(docs.mapInArrow(C.lean(encode, words=True), "doc_id long, place long, doc_tokens long, ids binary"))
     tokens = coded.agg(F.sum("doc_tokens")).first()[0] or 0
     ranges = coded.repartitionByRange(C.task_count(spark, 2 * tokens, RANGE_BYTES), "place", "doc_id").sortWithinPartitions("place", "doc_id")
-    return ranges.mapInArrow(C.lean(pack), ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in NAMES))
+    return ranges.mapInArrow(C.lean(pack, words=True), ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in NAMES))
 
 
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -231,7 +231,7 @@ def identify(docs: DataFrame, per_language: int = SAMPLE, model_path: str | None
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     docs = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "text")
-    return docs.mapInArrow(C.lean(f), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(C.lean(f, words=True), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

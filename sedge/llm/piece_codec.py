@@ -143,7 +143,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(C.lean(f), "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.mapInArrow(C.lean(f, words=True), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

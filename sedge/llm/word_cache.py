@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from typing import Any
+from weakref import WeakSet
 
 #: Bytes that an entry takes besides its key and value, about.
 ENTRY = 150
@@ -15,8 +16,12 @@ class WordCache:
     Keys of over `longest` units are made each time, so that odd texts push nothing out.
     """
 
-    def __init__(self, make_all: Callable[[list], list], size_of: Callable[[Any], int] = len, limit: int = 48 << 20, longest: int = 256):
+    def __init__(self, make_all: Callable[[list], list], size_of: Callable[[Any], int] = len, limit: int = 96 << 20, longest: int = 256):
         self.make_all, self.size_of, self.limit, self.longest = make_all, size_of, limit, longest
+        self.forget()
+        _caches.add(self)
+
+    def forget(self) -> None:
         self.known: dict = {}
         self.old: dict = {}
         self.size = 0
@@ -38,3 +43,12 @@ class WordCache:
         self.known.update(found)
         self.size += sum(map(len, found)) + sum(map(self.size_of, found.values())) + ENTRY * len(found)
         return self.known | long if long else self.known
+
+
+_caches: WeakSet[WordCache] = WeakSet()
+
+
+def forget_all() -> None:
+    """Empties all caches of this worker, which stays when another operator's tasks come."""
+    for c in _caches:
+        c.forget()
