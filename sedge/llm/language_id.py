@@ -30,8 +30,8 @@ MODEL = "piece_bpe_32k.model"
 LETTERS = regex.compile(r"\p{L}+")
 #: Fitting takes at most so many documents of each language, of at most so many bytes each.
 SAMPLE, SAMPLE_BYTES = 300, 1 << 14
-#: Languages that a model holds at most.
-LANGUAGES = 256
+#: Languages that a model holds at most, and parts of one whose ids are looked through apart.
+LANGUAGES, PARTS = 256, 8
 ROUNDS = 3
 #: Longest piece, and the longest stretch of a word that is scored as one.
 PIECE, STRETCH = 12, 32
@@ -185,9 +185,11 @@ def sample_texts(docs: DataFrame, per_language: int, max_bytes: int) -> dict[str
     rows = learning(docs).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     rows = rows.join(F.broadcast(langs), "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct()
-    ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_language).select("doc_id", "lang")
+    ids = rows.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # a common language's ids are thinned out in parts first
+        w = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_language)
+    ids = ids.select("doc_id", "lang")
     one = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     got: dict[str, list[str]] = {}
     for r in one.orderBy("doc_id", "lang").collect():
