@@ -15,7 +15,7 @@ def byte_target(items: DataFrame, damage: str, cost: str, target: int) -> DataFr
 
     An item is kept while its damage is more than multiplier x cost. Each pass works out FAN
     multipliers by conditional sums over the items and goes on between the last that is over the
-    target and the first within it. All items fit: the multiplier is 0. Items without damage
+    target and the first within it, until one ratio of damage to cost lies there or PASSES are done. All items fit: the multiplier is 0. Items without damage
     or with null costs are never kept; costs are positive. An empty table keeps nothing.
     """
     items = items.select(F.col(damage).cast("double").alias("d"), F.col(cost).cast("double").alias("c")).filter("d > 0 and c > 0").persist()
@@ -26,7 +26,10 @@ def byte_target(items: DataFrame, damage: str, cost: str, target: int) -> DataFr
             high = 0.0
         for _ in range(PASSES if high else 0):
             grid = [low + (high - low) * k / FAN for k in range(1, FAN)]
-            kept = items.agg(*[F.sum(F.when(F.col("d") > lam * F.col("c"), F.col("c")).otherwise(0.0)).alias(f"k{k}") for k, lam in enumerate(grid)]).first()
+            between = F.when((F.col("d") > low * F.col("c")) & (F.col("d") <= high * F.col("c")), F.col("d") / F.col("c"))
+            kept = items.agg(*[F.sum(F.when(F.col("d") > lam * F.col("c"), F.col("c")).otherwise(0.0)).alias(f"k{k}") for k, lam in enumerate(grid)], F.min(between).alias("least"), F.max(between).alias("most")).first()
+            if kept.least == kept.most:  # one step of the frontier is left, and it is over the target
+                break
             over = [k for k in range(len(grid)) if kept[k] > target]
             low, high = grid[over[-1]] if over else low, grid[over[-1] + 1] if over and over[-1] + 1 < len(grid) else high if over else grid[0]
         ok = F.col("d") > high * F.col("c")
