@@ -143,7 +143,7 @@ class Scorer:
 
     def __init__(self, path: str, p: np.ndarray):
         self.pieces, self.p = Pieces(path), p
-        self.seen = WordCache(self.score_words, lambda v: 120 + v.nbytes)
+        self.seen = WordCache(self.score_words, lambda v: 120 + v.nbytes, 192 << 20)
 
     def score_words(self, words: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(words)

@@ -64,7 +64,7 @@ class Agenda:
                     pairs[x, y] = rank[lib.get_score(i)], i
         self.agendas = PairMerge(pairs)
         self.n = n
-        self.seen = WordCache(self.encode_segments, lambda v: 100 + len(v[0]) + 40 * len(v[1]))
+        self.seen = WordCache(self.encode_segments, lambda v: 100 + len(v[0]) + 40 * len(v[1]), 192 << 20)
 
     def encode_segments(self, keys: list[str]) -> list[tuple[str, list[int]]]:
         """Decimal ids and ids of each segment, checked against the library."""
