@@ -172,7 +172,7 @@ def safetensors_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("stream_tumbling_events", "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def stream_tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained(spark, streams.tumbling(streams.stream_of(spark, sf_dir, "events")), "window_start", "event_type").withColumn("total", F.round("total", 6))
+    return streams.drained(spark, streams.tumbling(streams.stream_of(spark, sf_dir, "events", None)), "window_start", "event_type").withColumn("total", F.round("total", 6))
 
 
 @frame_query(
@@ -182,7 +182,7 @@ def stream_tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
        select cast(epoch_us(min(ts)) as bigint) as session_start, user_id, count(*) as n from s group by user_id, session""",
 )
 def stream_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained_sessions(spark, streams.sessions(streams.stream_of(spark, sf_dir, "events")))
+    return streams.drained_sessions(spark, streams.sessions(streams.stream_of(spark, sf_dir, "events", None)))
 
 
 @frame_query("stream_dedup_ingest", "select distinct sha256(text) as text_hash from documents")
@@ -192,9 +192,10 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("stream_until_target", "select count(*) as n_texts, count(*) > 0 as some from (select distinct sha256(text) as h from documents) t")
 def stream_until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts until a tenth of all characters is there; a table of one file is one batch."""
-    target = table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0] or 0
-    got = streams.ingest_until(spark, streams.stream_of(spark, sf_dir, "documents"), target // 10)
+    """Distinct texts until a tenth of their characters is there; a table is one batch, of one file or many."""
+    texts = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256)).agg(F.min("n_chars").alias("n_chars"))
+    target = texts.agg(F.sum("n_chars")).first()[0] or 0
+    got = streams.ingest_until(spark, streams.stream_of(spark, sf_dir, "documents", None), target // 10)
     return got.agg(F.count(F.lit(1)).alias("n_texts"), (F.count(F.lit(1)) > 0).alias("some"))
 
 

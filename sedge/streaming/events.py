@@ -23,10 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
-    """A table as a stream; files_per_batch bounds what one micro-batch takes in."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
+def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 8) -> DataFrame:
+    """A table, a file or a folder of files, as a stream; files_per_batch bounds what one micro-batch takes in, None takes all at once."""
+    table = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(table).schema)
+    if files_per_batch is not None:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return source.parquet(table)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -104,24 +110,24 @@ def distinct_ingest(spark: SparkSession, docs: DataFrame, folder: str | None = N
 def ingest_until(spark: SparkSession, docs: DataFrame, target_chars: int, folder: str | None = None) -> DataFrame:
     """Distinct texts batch by batch until their characters reach the target: text_hash, n_chars, batch.
 
-    The batch that reaches it is the last and is kept whole; a batch that begins before the
-    stream has stopped is let go, what follows is never read. A stream that ends before is an
-    error: a target that can't be met is not passed over.
+    The batch that reaches it is the last and is kept whole, the first one also where the target is 0; a
+    batch that begins before the stream has stopped is let go, what follows is never read. A stream
+    that ends before is an error: a target that can't be met is not passed over.
     """
     folder = folder or shared_folder(spark)
     schema = "text_hash string, n_chars long"
-    total = _results(spark, folder, schema).agg(F.sum("n_chars")).first()[0] or 0
+    n_rows, total = _results(spark, folder, schema).agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
 
     def put(batch: DataFrame, k: int) -> None:
-        nonlocal total
-        if total < target_chars:
+        nonlocal n_rows, total
+        if total < target_chars or not n_rows:
             batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
-            total = _results(spark, folder, schema).agg(F.sum("n_chars")).first()[0] or 0
+            n_rows, total = _results(spark, folder, schema).agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
         else:
             batch.write.format("noop").mode("overwrite").save()
 
     q = _hashes(docs).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    while q.isActive and total < target_chars:
+    while q.isActive and (total < target_chars or not n_rows):
         q.awaitTermination(1)
     q.stop()
     if q.exception() is not None:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge.operators import allocation
+from sedge.plans.catalog import REGISTRY
 from sedge.sources import jsonl
 from sedge.streaming import events
 
@@ -94,6 +95,22 @@ def test_streams_go_on_and_overflow(spark, stream, tmp_path):
         events.drained(spark, counted(), "text", folder=str(tmp_path / "small"), max_rows=5)
 
 
+@pytest.mark.parametrize("texts, n_files", [([f"text {k % 30}" for k in range(60)], 12), (["same"] * 40, 10), (["", None, ""], 2)])
+def test_streams_of_folders_are_whole(spark, tmp_path, texts, n_files):
+    rows = [(k, t, len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(n_files).write.parquet(str(tmp_path / "documents.parquet"))
+    assert REGISTRY["stream_until_target"].run(spark, str(tmp_path)).collect() == [(len(set(texts)), True)]
+
+
+def test_windows_over_files_in_any_order(spark, tmp_path):
+    rows = [(k, k % 3, "view", 1.0, 1_700_000_000 + 86_400 * (11 - k)) for k in range(12)]
+    for r in rows:  # the newest comes first, so that all others would be late
+        df = spark.createDataFrame([r], "event_id long, user_id long, event_type string, value double, at long")
+        df.selectExpr("event_id", "user_id", "event_type", "value", "cast(timestamp_seconds(at) as timestamp_ntz) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    for key in "stream_tumbling_events", "stream_session_events":
+        assert REGISTRY[key].run(spark, str(tmp_path)).count() == 12
+
+
 def test_no_input_at_all(spark, tmp_path):
     (tmp_path / "in").mkdir()
     df = spark.readStream.schema("text string").parquet(str(tmp_path / "in")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
