@@ -99,6 +99,7 @@ def test_streams_go_on_and_overflow(spark, stream, tmp_path):
 def test_streams_of_folders_are_whole(spark, tmp_path, texts, n_files):
     rows = [(k, t, len(t or "")) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(n_files).write.parquet(str(tmp_path / "documents.parquet"))
+    assert REGISTRY["stream_dedup_ingest"].run(spark, str(tmp_path)).count() == len(set(texts))
     assert REGISTRY["stream_until_target"].run(spark, str(tmp_path)).collect() == [(len(set(texts)), True)]
 
 
