@@ -8,29 +8,38 @@ queries below apply them to events and line items.
 
 from __future__ import annotations
 
-from math import exp, factorial
+import re
 
-from sedge.plans.dialect import EVENTS, LEDGER, count_if, md5_int, quantile, sql_query
+from sedge.functions import draws
+from sedge.plans.dialect import EVENTS, LEDGER, count_if, for_oracle, md5_int, quantile, sql_query
 from sedge.plans.routes import ROUTES
 
 REPLICATES = 200
-_SCALE = 10**9
-#: From so many billionths on a draw weighs 1, 2, ...: the distribution summed up.
-_STEPS = [round(_SCALE * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k in range(12)]
+#: A sum of weights, or of weights times a column.
+_SUM = re.compile(r"sum\(w(?: \* (\w+))?\)")
 
 
-def resampled(seed: str, clusters: str, groups: list[str], statistics: dict[str, str], replicates: int = REPLICATES) -> str:
+def resampled(seed: str, clusters: str, groups: list[str], statistics: dict[str, str], replicates: int = REPLICATES, small: bool = False) -> str:
     """CTEs num (the clusters), drawn (each with rep and its weight w) and stat (groups, rep, statistics).
 
-    clusters is SQL with the groups and a column `unit`, which names a cluster within them.
+    clusters is SQL with the groups and a column `unit`, which names a cluster within them. Spark has
+    weights from one call over many digests, and sums of them batch by batch (batched), so no row is made for each
+    cluster and replicate; only drawn makes them. small: groups are many and small, so each is dealt to one task whole.
     """
-    u = md5_int(f"concat('{seed}:', cast(rep as varchar(20)), ':', cast(unit as varchar(200)))") + f" % {_SCALE}"
-    weight = " + ".join(f"case when u >= {t} then 1 else 0 end" for t in _STEPS)
+    u = for_oracle(md5_int(f"concat('{seed}:', cast(rep as varchar(20)), ':', cast(unit as varchar(200)))")) + f" % {draws.SCALE}"
+    weight = " + ".join(f"case when u >= {t} then 1 else 0 end" for t in draws.STEPS)
     by = "".join(f"{g}, " for g in groups)
     stats = ", ".join(f"{x} as {name}" for name, x in statistics.items())
-    return f"""num as ({clusters}), every_rep as (<<select num.*, explode(sequence(0, {replicates - 1})) as rep from num||select num.*, unnest(range({replicates})) as rep from num>>),
+    spark_unit = f"cast(unit as varchar(200)), '{seed}', {replicates}"
+    values = sorted(set(_SUM.findall(stats)) - {""})
+    summed = _SUM.sub(lambda m: f"sum(s[{values.index(m[1]) + 1 if m[1] else 0}])", stats)
+    columns = "".join(f", {c}" for c in [str(len(groups)), *groups, *values])
+    dealt = f"(select * from num distribute by {', '.join(groups)} sort by {', '.join(groups)}) n" if small else "num"
+    spark_stat = f"""batched as (select {by}{draws.SUMS}({spark_unit}{columns}) as sums from {dealt}),
+      stat as (select {by}rep, {summed} from batched lateral view posexplode(sums) p as rep, s group by {by}rep)""" if "count(" not in stats else f"stat as (select {by}rep, {stats} from drawn group by {by}rep)"
+    return f"""num as ({clusters}), <<drawn as (select num.*, rep, cast(weight as int) as w from num lateral view posexplode({draws.NAME}({spark_unit})) d as rep, weight), {spark_stat}||every_rep as (select num.*, unnest(range({replicates})) as rep from num),
       chance as (select every_rep.*, {u} as u from every_rep), drawn as (select chance.*, {weight} as w from chance),
-      stat as (select {by}rep, {stats} from drawn group by {by}rep)"""
+      stat as (select {by}rep, {stats} from drawn group by {by}rep)>>"""
 
 
 def interval(x: str = "x", low: float = 0.025, high: float = 0.975) -> str:
