@@ -152,7 +152,7 @@ def propose_and_confirm(modes: str, least_fit: int, least_confirm: int, margin:
     return f"""sse as ({modes}), support as (select item, count(distinct case when fit then unit end) as n_fit, count(distinct case when not fit then unit end) as n_confirm from sse group by item),
       totals as (select item, mode, round(sum(sse), 3) as total from sse where fit group by item, mode), best as (select item, <<min_by(mode, struct(total, mode))||arg_min(mode, (total, mode))>> as mode from totals group by item),
       pair as (select s.item, s.unit, sum(case when s.mode = 0 then s.sse else 0 end) as sb, sum(case when s.mode = best.mode then s.sse else 0 end) as sc from sse s join best on s.item = best.item where not s.fit and best.mode <> 0 group by s.item, s.unit),
-      {resampled('propose', 'select item, unit, sb, sc from pair', ['item'], {'x': GAIN}, replicates)},
+      {resampled('propose', 'select item, unit, sb, sc from pair', ['item'], {'x': GAIN}, replicates, small=True)},
       ci as (select item, {quantile('x', 0.025)} as low, {quantile('x', 0.975)} as high, count(x) as n_valid from stat group by item), pt as (select item, case when sum(sb) > 0 then 1 - sum(sc) / sum(sb) end as gain from num group by item),
       r as (select u.item, u.n_fit, u.n_confirm, best.mode as proposed, pt.gain, ci.low, ci.high, coalesce(ci.n_valid, 0) as n_valid,
               case when u.n_fit < {least_fit} then 'insufficient fit-document support' when coalesce(best.mode, 0) = 0 then 'mode 0 is the fit-document argmin' when u.n_confirm < {least_confirm} then 'insufficient confirmation-document support'
