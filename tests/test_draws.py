@@ -38,7 +38,7 @@ def test_sums_of_batches(spark, small):
     assert got == want
 
 
-@pytest.mark.parametrize("key", ["codebook_bootstrap", "propose_confirm"])
+@pytest.mark.parametrize("key", ["codebook_bootstrap", "propose_confirm", "keep_stability"])
 def test_no_row_for_each_cluster_and_replicate(spark, data, key):
     from sedge.plans.catalog import REGISTRY
 
