@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 #: Replicates that are drawn at once.
 BLOCK = 64
+#: Rows of a group that are held before those that can't matter are let go.
+HELD = 1 << 16
+#: Items, as many for each group as the longest has, whose groups are solved together.
+IN_STEP = 1 << 13
 
 
 def token_batches(docs: DataFrame, group: str, order: str, tokens: str, cap: int) -> DataFrame:
@@ -67,29 +74,87 @@ def longest_first(items: DataFrame, group: str, item: str, cost: str, workers: i
     return items.select(group, item, cost).groupBy(group).applyInPandas(f, f"{group} long, {item} long, worker long")
 
 
-def knapsack(items: DataFrame, group: str, item: str, gain: str, cost: str, budget: int) -> DataFrame:
-    """Row per group: the best gain within a whole-number budget, its cost and items (first items win ties)."""
+def _may_matter(item: np.ndarray, gain: np.ndarray, cost: np.ndarray, budget: int) -> np.ndarray:
+    """Rows in order of item that some best choice may hold: of equal costs only the highest gains that fit, first items first."""
+    ok = np.flatnonzero((gain > 0) & (cost >= 0) & (cost <= budget))
+    ok = ok[np.lexsort((item[ok], -gain[ok], cost[ok]))]
+    c = cost[ok]
+    place = np.arange(len(ok)) - np.searchsorted(c, c)
+    ok = ok[place < np.where(c > 0, budget // np.maximum(c, 1), len(ok))]
+    return ok[np.argsort(item[ok], kind="stable")]
+
+
+def _best_within(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], budget: int) -> list[tuple[int, int, list[int]]]:
+    """Gain, cost and items of each group's best choice, in step; gains are positive, costs within the budget, items in order."""
+    m, longest = len(groups), max(len(i) for i, _, _ in groups)
+    gain, cost = np.full((longest, m, 1), -1, np.int64), np.zeros((longest, m, 1), np.int64)
+    for j, (i, g, c) in enumerate(groups):
+        gain[longest - len(i) :, j, 0], cost[longest - len(i) :, j, 0] = g, c
+    best = np.zeros((m, 2 * budget + 1), np.int64)
+    best[:, :budget] = -(1 << 62)  # what would cost more than there is
+    flat, within = best.reshape(-1), best[:, budget:]
+    at = np.arange(m)[:, None] * best.shape[1] + budget + np.arange(budget + 1)
+    place, new, take = np.empty_like(at), np.empty(at.shape, np.int64), np.empty((longest, *at.shape), bool)
+    for k in range(longest - 1, -1, -1):
+        np.subtract(at, cost[k], out=place)
+        np.take(flat, place, out=new, mode="clip")
+        np.add(new, gain[k], out=new)
+        np.greater_equal(new, within, out=take[k])
+        np.maximum(within, new, out=within)
+    left, every, chosen = np.full(m, budget), np.arange(m), np.empty((longest, m), bool)
+    for k in range(longest):
+        chosen[k] = take[k, every, left]
+        left -= np.where(chosen[k], cost[k, :, 0], 0)
+    return [(int(within[j, budget]), int(budget - left[j]), i[chosen[longest - len(i) :, j]].tolist()) for j, (i, _, _) in enumerate(groups)]
+
+
+def knapsack(items: DataFrame, group: str, item: str, gain: str, cost: str, budget: int, held: int = HELD) -> DataFrame:
+    """Row per group: the best gain within a whole-number budget, its cost and items (first items win ties).
+
+    A group's rows come to one task in order, a batch at a time; of those read it holds only the ones that may
+    matter, at most budget // cost of a cost, so about budget x ln(budget) and those that cost nothing.
+    """
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(item, kind="stable")
-        best = np.zeros(budget + 1, np.int64)
-        take = np.zeros((len(p), budget + 1), bool)
-        for k in range(len(p) - 1, -1, -1):
-            c, g = int(p[cost].iloc[k]), int(p[gain].iloc[k])
-            if 0 <= c <= budget:
-                new = best.copy()
-                new[c:] = np.maximum(best[c:], best[: budget + 1 - c] + g)
-                take[k] = np.concatenate((np.zeros(c, bool), best[: budget + 1 - c] + g >= best[c:])) & (new >= best)
-                best = new
-        left, chosen, used = budget, [], 0
-        for k in range(len(p)):
-            if take[k, left] and int(p[gain].iloc[k]) > 0:
-                chosen.append(int(p[item].iloc[k]))
-                left -= int(p[cost].iloc[k])
-                used += int(p[cost].iloc[k])
-        return pd.DataFrame({group: [p[group].iloc[0]], "gain": [int(best[budget])], "cost": [used], "items": [chosen]})
-
-    return items.select(group, item, gain, cost).groupBy(group).applyInPandas(f, f"{group} long, gain long, cost long, items array<long>")
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(parts: list[np.ndarray]) -> np.ndarray:
+            rows = np.concatenate(parts, axis=1)
+            return rows[:, _may_matter(*rows, budget)]
+
+        def solved(groups: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
+            rows = [(k, *r) for (k, _), r in zip(groups, _best_within([tuple(x) for _, x in groups], budget), strict=True)]
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [group, "gain", "cost", "items"])
+
+        key, parts, n_held, whole = None, [], 0, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0)
+            code = np.where(keys.is_valid().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy(), 0)
+            new = np.diff(code) != 0
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new | (null[1:] != null[:-1])) + 1), b.num_rows]
+            rows = np.stack([np.asarray(b.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (1, 2, 3)])
+            for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                k = keys[first].as_py()
+                if parts and k != key:
+                    whole.append((key, cut(parts)))
+                    parts, n_held = [], 0
+                    if len(whole) * max(x.shape[1] for _, x in whole) > IN_STEP:
+                        yield solved(whole)
+                        whole = []
+                key = k
+                parts.append(rows[:, first:stop])
+                n_held += stop - first
+                if n_held > held:
+                    parts, n_held = [cut(parts)], 0
+        if parts:
+            whole.append((key, cut(parts)))
+        if whole:
+            yield solved(whole)
+
+    rows = items.select(*[F.col(c).cast("long").alias(c) for c in (group, item, gain, cost)])
+    return rows.repartition(group).sortWithinPartitions(group, item).mapInArrow(f, f"{group} long, gain long, cost long, items array<long>")
 
 
 def seeded_bootstrap(clusters: DataFrame, group: str, order: str, base: str, cand: str, samples: int, seed: int) -> DataFrame:

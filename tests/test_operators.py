@@ -24,6 +24,28 @@ def test_knapsack_is_the_best_of_all_choices(spark):
         assert got[g].cost == sum(r[3] for r in items if r[1] in got[g]["items"]) <= 20
 
 
+def test_knapsack_of_large_groups(spark):
+    """Every choice is tried by plain recursion over all items, which also fixes ties; parts of a group are let go."""
+    rng = np.random.default_rng(2)
+    rows = [(g, k, int(rng.integers(-3, 9)), int(rng.integers(0, 9))) for g in (None, -1, 0, 7) for k in rng.permutation(1500 if g == 0 else 40).tolist()]
+    got = {r.g: r for r in scheduling.knapsack(spark.createDataFrame(rows, "g long, item long, gain long, cost long"), "g", "item", "gain", "cost", 25, 50).collect()}
+    assert set(got) == {None, -1, 0, 7}
+    for g, r in got.items():
+        items = sorted(x[1:] for x in rows if x[0] == g)
+        best = [[0] * 26]
+        for _, gain, cost in reversed(items):
+            best.append([max(best[-1][b], best[-1][b - cost] + gain if cost <= b else 0) for b in range(26)])
+        left, chosen = 25, []
+        for k, (item, gain, cost) in enumerate(items):
+            rest = best[len(items) - k - 1]
+            if gain > 0 and cost <= left and rest[left - cost] + gain >= rest[left]:
+                chosen.append(item)
+                left -= cost
+        assert (r.gain, r.cost, r["items"]) == (best[-1][25], 25 - left, chosen)
+    held = rng.integers(0, 25, (3, 20000))
+    assert len(scheduling._may_matter(held[0], held[1], held[2] + 1, 25)) <= sum(25 // c for c in range(1, 26))
+
+
 def test_batches_close_before_the_cap(spark):
     df = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 5), ("a", 4, 40), ("a", 5, 1)], "s string, d long, n long")
     got = [r.batch for r in scheduling.token_batches(df, "s", "d", "n", 10).orderBy("d").collect()]
