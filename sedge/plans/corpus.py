@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sedge.plans.dialect import count_if, md5_int, same_query, sha, sha_byte, sql_query, strip
+from pyspark.sql import DataFrame, SparkSession
+
+from sedge.plans.dialect import count_if, frame_query, md5_int, run_sql, same_query, sha, sha_byte, sql_query, strip
 
 sql_query(
     "scan_documents",
@@ -131,12 +133,25 @@ sql_query(
         select issue, count(*) as n from v group by issue""",
 )
 
-sql_query(
+#: Least hashes of a layer's experts, of the even and of the odd ones: within the larger of them lie two experts at least.
+_PANEL = f"""with x as (select l_suppkey as layer, l_partkey as expert, {sha("concat('7:', coalesce(cast(l_suppkey as varchar(20)), ''), ':', coalesce(cast(l_partkey as varchar(20)), ''))")} as h from lineitem),
+             y as (select layer, expert, h, cast(conv(substr(h, 1, 15), 16, 10) as bigint) as first, substr(h, 64) in ('0', '2', '4', '6', '8', 'a', 'c', 'e') as even from x),
+             bar as (select layer, greatest(coalesce(min(case when even then first end), {1 << 60}), coalesce(min(case when not even then first end), {1 << 60})) as most from y group by layer),
+             p as (select /*+ shuffle_hash(bar) */ distinct y.layer, expert, h from y join bar on y.layer <=> bar.layer and first <= most),
+             r as (select layer, expert, row_number() over (partition by layer order by h, expert) as k from p)
+        select layer, expert, cast(k as bigint) as place from r where k <= 2"""
+
+
+@frame_query(
     "hash_order_panel",
     f"""with p as (select distinct l_suppkey as layer, l_partkey as expert from lineitem),
              r as (select layer, expert, row_number() over (partition by layer order by {sha("concat('7:', cast(layer as varchar(20)), ':', cast(expert as varchar(20)))")}, expert) as k from p)
         select layer, expert, cast(k as bigint) as place from r where k <= 2""",
 )
+def hash_order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two experts of a layer by hash; rows that can't be among them are let go before the distinct and the sort."""
+    return run_sql(spark, sf_dir, _PANEL)
+
 
 sql_query(
     "dedup_first",

@@ -41,3 +41,20 @@ def test_quantiles_are_exact(spark, rows):
             x = [float(r[2 if value == "v" else 3]) for r in rows if r[1] == g] + ([1.0] if value == "v" and g == "a" else [])
             assert [got[g][k] for k in shares] == pytest.approx(np.quantile(x, list(shares.values())).tolist())
         assert ("none" in got) == (value == "v")
+
+
+def test_panel_of_any_layers(spark, tmp_path):
+    """Few experts, many, repeated and null ones: the first two by hash, found without sorting the others."""
+    import hashlib
+
+    from sedge.plans.catalog import REGISTRY
+
+    rows = [(layer, expert) for layer in (*range(40), None) for expert in [None, *range(layer or 7)] * 2]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = REGISTRY["hash_order_panel"].run(spark, str(tmp_path))
+    text = lambda x: "" if x is None else str(x)
+    digest = lambda r: hashlib.sha256(f"7:{text(r[0])}:{text(r[1])}".encode()).hexdigest()
+    want = {(*r, k) for layer in (*range(40), None) for k, r in enumerate(sorted({r for r in rows if r[0] == layer}, key=digest)[:2], 1)}
+    assert {tuple(r) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("<=>") > plan.index("Window")  # rows are let go below the sort
