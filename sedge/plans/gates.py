@@ -19,12 +19,13 @@ REPLICATES = 200
 _SUM = re.compile(r"sum\(w(?: \* (\w+))?\)")
 
 
-def resampled(seed: str, clusters: str, groups: list[str], statistics: dict[str, str], replicates: int = REPLICATES, small: bool = False) -> str:
+def resampled(seed: str, clusters: str, groups: list[str], statistics: dict[str, str], replicates: int = REPLICATES, small: bool = False, shared: bool = False) -> str:
     """CTEs num (the clusters), drawn (each with rep and its weight w) and stat (groups, rep, statistics).
 
     clusters is SQL with the groups and a column `unit`, which names a cluster within them. Spark has
     weights from one call over many digests, and sums of them batch by batch (batched), so no row is made for each
     cluster and replicate; only drawn makes them. small: groups are many and small, so each is dealt to one task whole.
+    shared: a unit occurs in many groups, so its rows are brought together and a batch has few digests.
     """
     u = for_oracle(md5_int(f"concat('{seed}:', cast(rep as varchar(20)), ':', cast(unit as varchar(200)))")) + f" % {draws.SCALE}"
     weight = " + ".join(f"case when u >= {t} then 1 else 0 end" for t in draws.STEPS)
@@ -34,7 +35,8 @@ def resampled(seed: str, clusters: str, groups: list[str], statistics: dict[str,
     values = sorted(set(_SUM.findall(stats)) - {""})
     summed = _SUM.sub(lambda m: f"sum(s[{values.index(m[1]) + 1 if m[1] else 0}])", stats)
     columns = "".join(f", {c}" for c in [str(len(groups)), *groups, *values])
-    dealt = f"(select * from num distribute by {', '.join(groups)} sort by {', '.join(groups)}) n" if small else "num"
+    deal = ", ".join(groups) if small else "unit" if shared else ""
+    dealt = f"(select * from num distribute by {deal} sort by {deal}) n" if deal else "num"
     spark_stat = f"""batched as (select {by}{draws.SUMS}({spark_unit}{columns}) as sums from {dealt}),
       stat as (select {by}rep, {summed} from batched lateral view posexplode(sums) p as rep, s group by {by}rep)""" if "count(" not in stats else f"stat as (select {by}rep, {stats} from drawn group by {by}rep)"
     return f"""num as ({clusters}), <<drawn as (select num.*, rep, cast(weight as int) as w from num lateral view posexplode({draws.NAME}({spark_unit})) d as rep, weight), {spark_stat}||every_rep as (select num.*, unnest(range({replicates})) as rep from num),
@@ -72,7 +74,7 @@ sql_query(
 
 _KEEP = 10
 _ITEMS = "l as (select expert % 50 as item, layer, sum(base - cand) as gain from led group by 1, 2)"
-_KEPT = f"""{_ITEMS}, {resampled('keep', 'select layer as unit, item, gain from l', ['item'], {'score': 'round(sum(w * gain), 3)'})},
+_KEPT = f"""{_ITEMS}, {resampled('keep', 'select layer as unit, item, gain from l', ['item'], {'score': 'round(sum(w * gain), 3)'}, shared=True)},
       kept as (select rep, item, row_number() over (partition by rep order by score desc, item) <= {_KEEP} as k from stat),
       whole as (select item, gain, row_number() over (order by round(gain, 3) desc, item) <= {_KEEP} as k from (select item, sum(gain) as gain from l group by item) t)"""
 sql_query("keep_stability", f"with {LEDGER}, {_KEPT} select item, {count_if('k')} as n_kept, round(avg(case when k then cast(1 as double) else cast(0 as double) end), 9) as inclusion from kept group by item")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sedge.functions import draws
-from sedge.plans.dialect import run_sql
+from sedge.plans.dialect import for_spark, run_sql
 from sedge.plans.gates import resampled
 
 
@@ -44,3 +47,28 @@ def test_no_row_for_each_cluster_and_replicate(spark, data, key):
 
     plan = REGISTRY[key].run(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert draws.SUMS in plan and "md5" not in plan
+
+
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def units_of_batch(unit: pa.Array, seed: pa.Array, replicates: pa.Array, n_keys: pa.Array, *columns: pa.Array) -> pa.Array:
+    """Stands for SUMS: how many units a batch has digests for."""
+    return pa.array([*[None] * (len(unit) - 1), [[float(len(unit.unique()))]]], pa.list_(pa.list_(pa.float64())))
+
+
+def test_units_of_many_groups_come_together(spark, data):
+    from sedge.plans.catalog import REGISTRY
+
+    rows = [(k % 50, f"u{k * 7919 % 20_000 // 50}", k * 0.25) for k in range(20_000)]
+    spark.createDataFrame(rows, "g long, unit string, v double").repartition(3).createOrReplaceTempView("shared_of_test")
+    sql = [f"with {resampled('x', 'select * from shared_of_test', ['g'], {'n': 'sum(w)', 'x': 'sum(w * v)'}, 12, shared=of)} select * from stat" for of in (False, True)]
+    plain, together = (sorted(tuple(r) for r in run_sql(spark, "", x).collect()) for x in sql)
+    assert plain == together and len(plain) == 600
+    try:
+        spark.udf.register(draws.SUMS, units_of_batch.asNondeterministic())
+        n_units = spark.sql(for_spark(sql[1])).agg(F.sum("n")).first()[0]
+    finally:
+        draws.register(spark)
+    assert 400 <= n_units < 600
+    for key in "keep_stability", "keep_stability_summary":
+        plan = REGISTRY[key].run(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [unit" in plan
