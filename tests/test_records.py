@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +107,18 @@ def test_streams_of_folders_are_whole(spark, tmp_path, texts, n_files):
     assert REGISTRY["stream_until_target"].run(spark, str(tmp_path)).collect() == [(len(set(texts)), True)]
 
 
+def test_ingest_in_many_batches_has_the_hashes_of_its_sql(spark, tmp_path):
+    texts = [None, "", *(f"text {k % 70} \u00e4\U0001f600" for k in range(200))]
+    rows = [{"doc_id": k, "text": t, "n_chars": 1} for k, t in enumerate(texts + texts[:50])]
+    (tmp_path / "documents.parquet").mkdir()
+    for k in range(20):  # three batches of files that are months apart; texts come again in later ones
+        pq.write_table(pa.Table.from_pylist(rows[k::20]), f := tmp_path / "documents.parquet" / f"part-{k}.parquet")
+        os.utime(f, (1_700_000_000 - 86_400 * 40 * (k % 7),) * 2)
+    got = [r.text_hash for r in REGISTRY["stream_dedup_ingest"].run(spark, str(tmp_path)).collect()]
+    want = {t if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_windows_over_files_in_any_order(spark, tmp_path):
     rows = [(k, k % 3, "view", 1.0, 1_700_000_000 + 86_400 * (11 - k)) for k in range(12)]
     for r in rows:  # the newest comes first, so that all others would be late
