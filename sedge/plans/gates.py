@@ -129,7 +129,7 @@ sql_query("screening_gate", f"with {EVENTS}, {screen(8, 6)}")
 
 def confirmation(tolerance: float) -> str:
     """One-sided upper bound of the mean below zero, and the candidate's tail within a tolerance of the baseline's."""
-    return f"""{_CLUSTERS}, {resampled('confirm', 'select event_type, user_id as unit, delta as d from cl', ['event_type'], {'x': MEAN})},
+    return f"""{_CLUSTERS}, {resampled('confirm', 'select event_type, user_id as unit, delta as d from cl', ['event_type'], {'x': MEAN}, shared=True)},
       up as (select event_type, {quantile('x', 0.95)} as high from stat group by event_type), tb as ({cvar('base', 'event_type', 'ev')}), tc as ({cvar('cand', 'event_type', 'ev')})
       select up.event_type, round(high, 7) as upper_95, high < 0 as mean_ok, round(tb.cvar1, 7) as baseline_cvar1, round(tc.cvar1, 7) as candidate_cvar1, tc.cvar1 <= {1 + tolerance} * tb.cvar1 as tail_ok, high < 0 and tc.cvar1 <= {1 + tolerance} * tb.cvar1 as passed
       from up join tb on up.event_type = tb.event_type join tc on up.event_type = tc.event_type"""
@@ -139,7 +139,7 @@ sql_query("confirmation_gate", f"with {EVENTS}, {confirmation(0.05)}")
 sql_query(
     "mode_gate",
     f"""with {LEDGER}, m as (select mode_a, layer as unit, sum(base) as sb, sum(cand) as sc from led group by 1, 2), n as (select mode_a, unit, sb, sc from m union all select 'all' as mode_a, unit, sum(sb) as sb, sum(sc) as sc from m group by unit),
-      {resampled('modes', 'select mode_a, unit, sb, sc from n', ['mode_a'], {'x': GAIN})},
+      {resampled('modes', 'select mode_a, unit, sb, sc from n', ['mode_a'], {'x': GAIN}, shared=True)},
       ci as (select mode_a, {quantile('x', 0.025)} as low, {quantile('x', 0.975)} as high, count(x) as n_replicates from stat group by mode_a), pt as (select mode_a, count(*) as n, 1 - sum(sc) / sum(sb) as gain from num group by mode_a)
       select pt.mode_a, n, round(gain, 9) as gain, round(low, 7) as low, round(high, 7) as high, n_replicates, low > 0 as passes, (select min(case when low > 0 then 1 else 0 end) from ci) = 1 as all_pass from pt join ci on pt.mode_a = ci.mode_a""",
 )
@@ -217,7 +217,7 @@ def familywise(candidates: str, minimum: float, replicates: int = 400) -> str:
     return f"""cand_of as ({candidates}), totals as (select item, draw, round(sum(v), 4) as total from cand_of group by item, draw),
       best as (select item, <<min_by(draw, struct(total, draw))||arg_min(draw, (total, draw))>> as draw, count(*) - 1 as comparisons, max(case when draw = 0 then total end) as base_total from totals group by item),
       pair as (select c.item, c.unit, sum(case when c.draw = 0 then v else -v end) as d from cand_of c join best on c.item = best.item where best.draw <> 0 and c.draw in (0, best.draw) group by c.item, c.unit),
-      {resampled('family', 'select item, unit, d from pair', ['item'], {'x': 'sum(w * d)'}, replicates)},
+      {resampled('family', 'select item, unit, d from pair', ['item'], {'x': 'sum(w * d)'}, replicates, shared=True)},
       low as (select stat.item, <<percentile(x, array(0.05, 0.025, 0.016666666666666666, 0.0125))||quantile_cont(x, [0.05, 0.025, 0.016666666666666666, 0.0125])>> as lows from stat group by stat.item)
       select best.item, best.draw as proposed, case when {_LOW} > {minimum} * base_total then best.draw else 0 end as selected, round({_LOW}, 4) as lower_bound, round({minimum} * base_total, 4) as required,
              case when best.draw = 0 then 'draw_zero_is_argmin' when {_LOW} > {minimum} * base_total then 'familywise_paired_lower_bound_passed' else 'familywise_paired_lower_bound_did_not_pass' end as reason

@@ -69,6 +69,6 @@ def test_units_of_many_groups_come_together(spark, data):
     finally:
         draws.register(spark)
     assert 400 <= n_units < 600
-    for key in "keep_stability", "keep_stability_summary":
+    for key in "keep_stability", "keep_stability_summary", "mode_gate", "confirmation_gate", "paired_lower_bound":
         plan = REGISTRY[key].run(spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [unit" in plan
