@@ -9,6 +9,7 @@ the backward pass, on a bounded sample of documents of each language.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -26,8 +27,6 @@ from sedge.llm.word_cache import WordCache
 from sedge.shipping import ship
 
 MODEL = "piece_bpe_32k.model"
-#: Letters by Unicode category; a number sign such as a half or a square is none.
-LETTERS = regex.compile(r"\p{L}+")
 #: Fitting takes at most so many documents of each language, of at most so many bytes each.
 SAMPLE, SAMPLE_BYTES = 300, 1 << 14
 #: Languages that a model holds at most, and parts of one whose ids are looked through apart.
@@ -35,16 +34,17 @@ LANGUAGES, PARTS = 256, 8
 ROUNDS = 3
 #: Longest piece, and the longest stretch of a word that is scored as one.
 PIECE, STRETCH = 12, 32
+#: Letters by Unicode category; a number sign such as a half or a square is none.
+LETTERS = regex.compile(rf"\p{{L}}{{1,{STRETCH}}}")
+#: Bytes of words' logs that are summed at a time.
+SUM_BYTES = 8 << 20
 FLOOR = 1e-7
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters, each with a mark before it; longer ones fall into stretches."""
-    words = LETTERS.findall(text.lower())
-    if any(len(w) > STRETCH for w in words):
-        words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-    return words
+    """Lower-case runs of letters; longer ones fall into stretches."""
+    return LETTERS.findall(text.lower())
 
 
 class Pieces:
@@ -58,19 +58,63 @@ class Pieces:
         #: The number of every single letter that is no piece.
         self.other = len(found)
 
+        letters = sorted(set().union(*found))
+        #: A letter's number by code point, 0 where it occurs in no piece.
+        self.letter = np.zeros(sys.maxunicode + 1, np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        heads = sorted({p[:k] for p in found for k in range(len(p) + 1)} | {""})
+        node = {h: k for k, h in enumerate(heads)}
+        #: Nodes of the tree of all beginnings: each one's piece, and its parent and last letter as one number.
+        self.piece = np.array([self.number.get(h, -1) for h in heads], np.int32)
+        self.keys = np.array([-1] + [node[h[:-1]] * self.width + int(self.letter[ord(h[-1])]) for h in heads[1:]], np.int64)
+        bits = len(heads).bit_length() + 2
+        self.shift, self.slots = C.U64(64 - bits), np.zeros(1 << bits, np.int32)
+        left = np.arange(1, len(heads), dtype=np.int32)
+        slot = self.slot(self.keys[left])
+        while len(left):  # a node whose slot another took goes to the next
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) % len(self.slots)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(C.U64) * C.U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def children(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node that a letter leads to from each node, 0 where there is none."""
+        keys = nodes * self.width + letters
+        slot = self.slot(keys)
+        out = self.slots[slot]
+        wrong = np.flatnonzero((out > 0) & (self.keys[out] != keys))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) % len(self.slots)
+            got = out[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(got > 0) & (self.keys[got] != keys[wrong])]
+        return out
+
     def lattice(self, words: list[str]) -> np.ndarray:
-        """[word, end, length - 1] for marked words of one length: piece numbers, -1 where there is none."""
+        """[word, end, length - 1] for marked words of one length: piece numbers, -1 where there is none.
+
+        From every place of all words the tree is walked in step, as far as it has the letters.
+        """
         n, size = len(words), len(words[0])
         out = np.full((n, size, PIECE), -1, np.int32)
-        get = self.number.get
-        for k, w in enumerate(words):
-            for end in range(1, size + 1):
-                for length in range(1, min(PIECE, end) + 1):
-                    p = get(w[end - length : end])
-                    if p is not None:
-                        out[k, end - 1, length - 1] = p
-            if (out[k, :, 0] < 0).any():
-                out[k, out[k, :, 0] < 0, 0] = self.other
+        flat = out.reshape(-1)
+        letters = self.letter[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        end = np.arange(n * size)
+        after = end[::-1] % size
+        nodes = np.zeros(n * size, np.int64)
+        for k in range(PIECE):
+            nodes = self.children(nodes, letters[end]).astype(np.int64)
+            p = self.piece[nodes]
+            flat[end[p >= 0] * PIECE + k] = p[p >= 0]
+            on = (nodes > 0) & (after > 0)
+            end, after, nodes = end[on] + 1, after[on] - 1, nodes[on]
+            if not len(end):
+                break
+        single = out[:, :, 0]
+        single[single < 0] = self.other
         return out
 
 
@@ -139,13 +183,13 @@ def fit(texts: dict[str, list[str]], path: str, rounds: int = ROUNDS) -> tuple[l
 
 
 class Scorer:
-    """Log probabilities of words by language, remembered."""
+    """Log probabilities of words by language, remembered as bytes."""
 
     def __init__(self, path: str, p: np.ndarray):
         self.pieces, self.p = Pieces(path), p
-        self.seen = WordCache(self.score_words, lambda v: 120 + v.nbytes, 192 << 20)
+        self.seen = WordCache(self.score_words, lambda v: 40 + len(v), 192 << 20)
 
-    def score_words(self, words: list[str]) -> list[np.ndarray]:
+    def score_words(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         marked = ["▁" + w for w in words]
         for ks in by_length(marked).values():
@@ -153,14 +197,30 @@ class Scorer:
                 part = ks[at : at + 4096]
                 logs = np.log(forward(self.pieces.lattice([marked[k] for k in part]), self.p)[:, -1])
                 for k, x in zip(part, logs, strict=True):
-                    out[k] = x
+                    out[k] = x.tobytes()
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Sum over a text's words for each language; nan without a letter."""
-        words = [words_of(t) for t in texts]
-        known = self.seen.known_for(chain.from_iterable(words))
-        return np.array([np.sum([known[w] for w in ws], axis=0) if ws else np.full(self.p.shape[1], np.nan) for ws in words]).reshape(len(words), self.p.shape[1])
+        """Sum over a text's words for each language, in their order; nan without a letter."""
+        words: list[str] = []
+        size = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            ws = words_of(t)
+            words += ws
+            size[k] = len(ws)
+        known = self.seen.known_for(words)
+        n = self.p.shape[1]
+        out, text = np.zeros((len(texts), n)), np.repeat(np.arange(len(texts)), size)
+        step = SUM_BYTES // (8 * max(n, 1))
+        for at in range(0, len(words), step):
+            part, of = words[at : at + step], text[at : at + step]
+            logs = np.frombuffer(b"".join(map(known.__getitem__, part))).reshape(len(part), n).copy()
+            first, last = of[0], of[-1] + 1
+            logs[0] += out[first]  # of the words before this step
+            for k in range(n):
+                out[first:last, k] = np.bincount(of - first, logs[:, k], last - first)
+        out[size == 0] = np.nan
+        return out
 
 
 _scorers: dict[bytes, Scorer] = {}
