@@ -188,6 +188,34 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], pa.Array]:
+    """The different stretches of bytes among those given, which come in order and don't overlap, and the place of each stretch's in that list."""
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    flat = data if len(data) == size.sum() else data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]
+    found = pa.Array.from_buffers(pa.large_binary(), len(size), buffers).dictionary_encode()
+    return sliced(found.dictionary), found.indices
+
+
+def offsets(a: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in the array's bytes, and the end of the last."""
+    return np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+
+
+def sliced(a: pa.LargeBinaryArray) -> list[bytes]:
+    """What to_pylist() gives, if nothing is null; several times faster."""
+    if not len(a):
+        return []
+    at = offsets(a)
+    line = a.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes()
+    at = (at - at[0]).tolist()
+    return [line[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], words: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f for mapInArrow; memory that it freed goes back to the machine when its task ends, for workers stay.
 

@@ -40,6 +40,16 @@ MARKS = {b".", b",", b"!", b"?", b";", b":"}
 SIGMA = "\u03a3"
 #: Token bytes (two an id) that a range is planned for.
 RANGE_BYTES = 16 << 20
+#: A generation of remembered tokens; an executor's limit holds for all its workers and a full heap.
+CACHE_BYTES = 64 << 20
+#: Pieces that are returned together, of a sequence's bytes each at most.
+PIECES_OUT = 256
+#: By byte: ASCII letters, the marks, and what a letter is in lower case.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[m[0] for m in MARKS]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class WordCoder:
@@ -56,7 +66,7 @@ class WordCoder:
         norms = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if norms != ["NFC", "Replace", "Lowercase"] or not split["invert"] or split["behavior"] != "Removed" or model["unk_token"]:
             raise ValueError("this vocabulary has other rules than its words are cut by here")
-        self.tokens = regex.compile(split["pattern"]["Regex"])
+        self.tokens = regex.compile(split["pattern"]["Regex"] + "|\n")
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         added = spec["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
@@ -71,57 +81,101 @@ class WordCoder:
         names = byte_names()
         self.inner = np.array([vocabulary[c] for c in names], np.int64)
         self.last = np.array([vocabulary[c + suffix] for c in names], np.int64)
-        self.seen = WordCache(self.encode_words)
-
-    def tokens_of(self, word: bytes) -> list[bytes]:
-        """A normal word's tokens; the pattern is only asked where more than letters and one mark come."""
-        if word.isalpha():
-            return [word.lower()]
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1:]]
-        text = word.decode()
+        self.seen = WordCache(self.encode_tokens, limit=CACHE_BYTES)
+
+    def tokens_of(self, words: list[bytes]) -> tuple[list[int], str, list[int]]:
+        """How many tokens each word has, the tokens' text end to end, and the characters of each; the pattern is only asked where more than letters come."""
+        text = b"\n".join(words).decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            text = text.lower() if SIGMA not in text else "".join([c.lower() for c in text])
-            if text.isalpha():
-                return [text.encode()]
-        else:
-            text = text.lower()
-        return [t.encode() for t in self.tokens.findall(text)]
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """16-bit ids of each word."""
-        tokens = [self.tokens_of(w) for w in words]
-        counts = np.array([len(t) for t in tokens], np.int64)
-        data = list(chain.from_iterable(tokens))
-        sizes = np.array([len(d) for d in data], np.int64)
-        raw = np.frombuffer(b"".join(data), np.uint8)
+        text = text.lower() if SIGMA not in text else "".join([c.lower() for c in text])
+        found: list[list[str]] = [[w] for w in text.split("\n")]
+        asked = [k for k, [w] in enumerate(found) if not w.isalpha()]
+        for k in asked:
+            found[k] = []
+        line, numbers = found[asked[0]] if asked else [], iter(asked[1:])
+        for t in self.tokens.findall("\n".join([w for w in text.split("\n") if not w.isalpha()])):
+            if t == "\n":
+                line = found[next(numbers)]
+            else:
+                line.append(t)
+        tokens = list(chain.from_iterable(found))
+        return [len(f) for f in found], "".join(tokens), [len(t) for t in tokens]
+
+    def encode_words(self, words: list[bytes]) -> pa.Array:
+        """16-bit ids of each word; tokens, which are fewer than words, are remembered."""
+        if not words:
+            return pa.array([], pa.large_binary())
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        last = np.cumsum(sizes) - 1
+        # one or two tokens of ASCII letters and a mark are told from others by arrays
+        odd = np.add.reduceat(~_LETTER[data], last - sizes + 1, dtype=np.int64)
+        marked = (odd == 1) & _MARK[data[last]] & (sizes > 1)
+        plain = marked | (odd == 0)
+        counts = 1 + marked
+        others = np.flatnonzero(~plain)
+        counts[others], text, chars = self.tokens_of([words[k] for k in others.tolist()]) if len(others) else ([], "", [])
+        strange_raw = np.frombuffer(text.encode(), np.uint8)
+        # a character's first byte is no continuation
+        places = np.append(np.flatnonzero(strange_raw & 0xC0 != 0x80), len(strange_raw))
+        owner = np.repeat(np.arange(len(words)), counts)
+        first = np.cumsum(counts) - counts
+        lengths = np.ones(len(owner), np.int64)
+        lengths[first[plain]] = (sizes - marked)[plain]
+        strange = ~plain[owner]
+        lengths[strange] = np.diff(places[np.cumsum([0, *chars])])
+        bytewise = np.repeat(strange, lengths)
+        raw = np.zeros(len(bytewise), np.uint8)
+        raw[~bytewise] = _LOWER[data[np.repeat(plain, sizes)]]
+        raw[bytewise] = strange_raw
+        ends = np.cumsum(lengths)
+        keys, which = C.distinct(raw, ends - lengths, ends)
+        coded = pa.array(self.seen.values(keys), pa.large_binary()).take(which)
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(C.offsets(coded)[edges]), coded.buffers()[2]])
+
+    def encode_tokens(self, tokens: list[bytes]) -> list[bytes]:
+        """16-bit ids of each token."""
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
         flat = self.inner[raw]
-        ends = np.cumsum(sizes) - 1
+        ends = np.cumsum(lengths) - 1
         flat[ends] = self.last[raw[ends]]
-        parts: list[bytes] = [b""] * len(data)
-        for rows, got in self.merges.merge_all(flat, sizes):
-            full = (got != END).sum(axis=1) * 2
-            line = got.astype("<u2").tobytes()
-            width = got.shape[1] * 2
-            for k, (r, n) in enumerate(zip(rows.tolist(), full.tolist(), strict=True)):
-                parts[r] = line[k * width : k * width + n]
-        edges = np.concatenate(([0], np.cumsum(counts))).tolist()
-        return [b"".join(parts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        which, ids, n_ids = [], [], np.zeros(len(tokens), np.int64)
+        for rows, got in self.merges.merge_all(flat, lengths):
+            full = got != END
+            which.append(rows)
+            n_ids[rows] = full.sum(axis=1)
+            ids.append(got[full].astype("<u2"))
+        blob = stretches(np.concatenate(ids), n_ids, np.concatenate(which)).tobytes()
+        edges = np.concatenate(([0], np.cumsum(2 * n_ids))).tolist()
+        return [blob[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """16-bit ids and the end id of each text."""
-        words = [t.split() for t in texts]
         marked = {k: self.cut.split(t) for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        for k, parts in marked.items():
-            words[k] = [w for p in parts[::2] for w in p.split()]
-        known = self.seen.known_for(chain.from_iterable(words))
+        # every other part of such a text is an added token's string
+        plain = [p for k, t in enumerate(texts) for p in (marked[k][::2] if k in marked else [t])]
+        data = np.frombuffer(b"\n".join(plain), np.uint8)
+        begins, ends = C.word_spans(data)
+        starts = np.cumsum([0] + [len(p) + 1 for p in plain])
+        edges = np.searchsorted(begins, starts)
+        keys, ids = C.distinct(data, begins, ends)
+        coded = self.encode_words(keys).take(ids)
+        at = C.offsets(coded)[edges].tolist()
+        line = coded.buffers()[2]
+        blobs = iter([line[a:b].to_pybytes() if a < b else b"" for a, b in zip(at[:-1], at[1:], strict=True)])
         end = END_ID.to_bytes(2, "little")
-        out = [b"".join([known[w] for w in ws]) + end for ws in words]
-        for k, parts in marked.items():
-            # every other part is an added token's string
-            out[k] = b"".join([self.added[p] if i % 2 else b"".join([known[w] for w in p.split()]) for i, p in enumerate(parts)]) + end
-        return out
+        return [b"".join([self.added[p] if i % 2 else next(blobs) for i, p in enumerate(marked.get(k, [b""]))]) + end for k in range(len(texts))]
+
+
+def stretches(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Stretches by number, of flat that has them end to end in another order."""
+    begins = np.zeros(len(sizes), np.int64)
+    held = sizes[order]
+    begins[order] = np.cumsum(held) - held
+    return flat[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))]
 
 
 def byte_names() -> list[str]:
@@ -191,6 +245,42 @@ def cuts(total: int, length: int) -> np.ndarray:
     return np.array([length] * (total // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], length: int, sequence: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with ids (packed) as pieces of sequences numbered from this one on, at most PIECES_OUT a batch and a sequence's more."""
+    # at most one sequence is open; a document is cut as it comes
+    filled = 0
+    held: list[tuple] = []
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=NAMES)
+
+    done: list[tuple] = []
+    for b in batches:
+        for doc, n, blob in zip(b.column("doc_id").to_pylist(), b.column("doc_tokens").to_pylist(), b.column("ids"), strict=True):
+            ids = np.frombuffer(C.unpack(blob.as_py()), "<u2").astype("<u4")
+            start = 0
+            while start < n:
+                size = min(n - start, length - filled)
+                held.append((doc, start, size, n, sequence, filled, ids[start : start + size].tobytes()))
+                start, filled = start + size, filled + size
+                if filled == length:
+                    done += held
+                    held, filled, sequence = [], 0, sequence + 1
+                if len(done) >= PIECES_OUT:
+                    yield out(done)
+                    done = []
+    ends = np.cumsum(cuts(filled, length))
+    for doc, start, size, n, _, at, ids in held:
+        to = at + size
+        while at < to:
+            k = int(np.searchsorted(ends, at, "right"))
+            step = min(to, int(ends[k])) - at
+            done.append((doc, start, step, n, sequence + k, at - (int(ends[k - 1]) if k else 0), ids[: 4 * step]))
+            at, start, ids = at + step, start + step, ids[4 * step :]
+    yield out(done)
+
+
 def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = None) -> DataFrame:
     """Row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian).
 
@@ -213,38 +303,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary_path: str |
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "place", "doc_tokens", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # at most one sequence is open; a document is cut as it comes
-        sequence, filled = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple] = []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=NAMES)
-
-        done: list[tuple] = []
-        for b in batches:
-            for doc, n, blob in zip(b.column("doc_id").to_pylist(), b.column("doc_tokens").to_pylist(), b.column("ids"), strict=True):
-                ids = np.frombuffer(C.unpack(blob.as_py()), "<u2").astype("<u4")
-                start = 0
-                while start < n:
-                    size = min(n - start, length - filled)
-                    held.append((doc, start, size, n, sequence, filled, ids[start : start + size].tobytes()))
-                    start, filled = start + size, filled + size
-                    if filled == length:
-                        done += held
-                        held, filled, sequence = [], 0, sequence + 1
-                if len(done) >= 2048:
-                    yield out(done)
-                    done = []
-        ends = np.cumsum(cuts(filled, length))
-        for doc, start, size, n, _, at, ids in held:
-            to = at + size
-            while at < to:
-                k = int(np.searchsorted(ends, at, "right"))
-                step = min(to, int(ends[k])) - at
-                done.append((doc, start, step, n, sequence + k, at - (int(ends[k - 1]) if k else 0), ids[: 4 * step]))
-                at, start, ids = at + step, start + step, ids[4 * step :]
-        yield out(done)
+        yield from pieces(batches, length, TaskContext.get().partitionId() << 32)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = C.checkpointed(docs.mapInArrow(C.lean(encode, words=True), "doc_id long, place long, doc_tokens long, ids binary"))

@@ -24,12 +24,34 @@ class PairMerge:
         items = sorted((a << PAIR_BITS | b, rank << PAIR_BITS | made) for (a, b), (rank, made) in pairs.items())
         self.keys = np.array([k for k, _ in items], np.int64)
         self.values = np.array([v for _, v in items], np.int64)
+        # a table of at most a fourth of its slots filled; a pair whose slot is taken lies in the next free one
+        self.shift = np.uint64(61 - max(1, len(items)).bit_length())
+        size = 1 << 64 - int(self.shift)
+        slots, held = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        for k, at in enumerate(self.slot(self.keys).tolist()):
+            while slots[at] >= 0:
+                at = (at + 1) % size
+            slots[at], held[at] = self.keys[k], self.values[k]
+        self.slots, self.held = slots, held
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
     def made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank and symbol that each pair makes, NONE where it makes none."""
-        key = np.where((a < 0) | (b < 0), -1, a << PAIR_BITS | b)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        key = (a << PAIR_BITS | b).ravel()
+        key[((a | b) < 0).ravel()] = -2
+        at = self.slot(key)
+        there = self.slots[at]
+        out = np.where(there == key, self.held[at], NONE)
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            at[rest] = next_at = (at[rest] + 1) % len(self.slots)
+            there = self.slots[next_at]
+            hit = there == key[rest]
+            out[rest[hit]] = self.held[next_at[hit]]
+            rest = rest[~hit & (there >= 0)]
+        return out.reshape(a.shape)
 
     def merge(self, symbols: np.ndarray) -> np.ndarray:
         """Symbols of words of one length (rows) when no pair makes anything any more; END fills up.

@@ -29,20 +29,41 @@ class WordCache:
     def known_for(self, keys: Iterable[Any]) -> dict:
         """A dict that has all the keys; new values are made in one call."""
         wanted = set(keys)
-        if self.size >= self.limit:
-            self.old, self.known, self.size = self.known, {}, 0
+        self.turn()
         new = wanted.difference(self.known)
-        old = self.old
-        found = {k: old[k] for k in new if k in old}
+        found = {k: self.old[k] for k in new if k in self.old}
         new = sorted(new.difference(found))
         if new:
             found.update(zip(new, self.make_all(new), strict=True))
+        return self.known | long if (long := self.keep(found)) else self.known
+
+    def values(self, keys: list) -> list:
+        """Values, none of which is None, of keys that are all different, in their order."""
+        self.turn()
+        out = list(map(self.known.get, keys))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if self.old:
+            for k in missing:
+                out[k] = self.old.get(keys[k])
+        new = [k for k in missing if out[k] is None]
+        if new:
+            for k, v in zip(new, self.make_all([keys[k] for k in new]), strict=True):
+                out[k] = v
+        self.keep({keys[k]: out[k] for k in missing})
+        return out
+
+    def turn(self) -> None:
+        if self.size >= self.limit:
+            self.old, self.known, self.size = self.known, {}, 0
+
+    def keep(self, found: dict) -> dict:
+        """Remembers values, and returns those that are too long for it."""
         long = {k: v for k, v in found.items() if len(k) > self.longest}
         for k in long:
             del found[k]
         self.known.update(found)
         self.size += sum(map(len, found)) + sum(map(self.size_of, found.values())) + ENTRY * len(found)
-        return self.known | long if long else self.known
+        return long
 
 
 _caches: WeakSet[WordCache] = WeakSet()

@@ -275,3 +275,24 @@ def test_pages_give_ordered_items(spark, data):
         got.setdefault(r.page_id, []).append((r.digest, r.caption))
         assert r["size"] == (int(r.digest[1:]) * 10 if r.digest != "d5" else None)
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_tokens_are_merged_once_and_long_documents_leave_in_small_batches():
+    import pyarrow as pa
+
+    from sedge.llm import common
+
+    coder = curve_packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    merged, merge_all = [], coder.merges.merge_all
+    coder.merges.merge_all = lambda flat, sizes: merged.extend(sizes.tolist()) or merge_all(flat, sizes)
+    texts = ["Word, word WORD. word!! Été été", "", "word. ,"]
+    want = [[*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode([t.encode() for t in texts])] == want
+    # word, a comma, a full stop, two exclamation marks and the French word
+    assert sorted(merged) == sorted(len(t.encode()) for t in ["word", ",", ".", "!!", "été"])
+    ids = np.arange(4 * 5000 + 3, dtype="<u2")
+    rows = pa.RecordBatch.from_pydict({"doc_id": [7], "doc_tokens": [len(ids)], "ids": [common.pack(ids)]})
+    out = [b.to_pydict() for b in curve_packing.pieces(iter([rows]), 4, 0)]
+    assert max(len(b["doc_id"]) for b in out) <= curve_packing.PIECES_OUT
+    assert np.frombuffer(b"".join(x for b in out for x in b["ids"]), "<u4").tolist() == ids.tolist()
