@@ -39,6 +39,8 @@ SLOT_BITS, SEGMENTS = 18, 16
 IDF_HIGH = float(np.log(5))
 IDF_LOW = IDF_HIGH / 2
 TABLE_BITS = 16
+#: The bar for a document's samples lies where so many are expected below it.
+LIKELY = 4
 PART_BYTES = 1 << 20
 #: Bits of a shingle's hash that are kept to compare two documents.
 KEPT_BYTES = 5
@@ -120,40 +122,58 @@ def variables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return odd, r, c, rng.random((n, 1 << TABLE_BITS)).astype(np.float32)
 
 
+def log_a(log_w: np.ndarray, r: np.ndarray, c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log a and t of shingles by their weights and variables (c: log c - r)."""
+    t = np.floor(log_w / r + beta)
+    return c - r * (t - beta), t
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents that have shingles, and the keys of their bands.
 
     A sample is the shingle with the least a and its quantised log weight t. log a is at least
-    (log c - r) - log weight, so only shingles whose bound is below the value of the best bound's
-    shingle are worked out.
+    (log c - r) - log weight, and the least a of a document is exponential with the sum of its
+    weights as rate. So shingles whose bound is under a bar, which a least a passes once in e**LIKELY
+    times, are worked out; where nothing is found well under the bar, all of the document's are.
     """
     odd, r, c, beta = variables()
     edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    local = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(doc)]))))
+    keys = np.zeros((len(edge), BANDS), U64)
+    if not len(edge):
+        return doc[edge], keys
+    sizes = np.diff(np.concatenate((edge, [len(doc)])))
+    local = np.repeat(np.arange(len(edge)), sizes)
     log_w = np.log(weight).astype(np.float32)
+    bar = np.log(LIKELY / np.add.reduceat(weight, edge)).astype(np.float32)
+    under = log_w + bar[local]
     mixed = C.mix(h ^ U64(0xD1B54A32D192ED03))
-    keys = np.zeros((len(edge), BANDS), U64)
     for j in range(BANDS * ROWS):
-        if not len(edge):
-            break
-        i = (mixed * odd[j] >> U64(64 - TABLE_BITS)).astype(np.int64)
-        bound = c[j][i] - log_w
+        i = (mixed * odd[j] >> U64(64 - TABLE_BITS)).view(np.int64)
 
-        def exact(at: np.ndarray, i: np.ndarray = i, j: int = j) -> tuple[np.ndarray, np.ndarray]:
+        def least(at: np.ndarray, i: np.ndarray = i, j: int = j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of the documents of these shingles: the shingle with the least a, that and its t."""
             k = i[at]
-            t = np.floor(log_w[at] / r[j][k] + beta[j][k])
-            return c[j][k] - r[j][k] * (t - beta[j][k]), t
-
-        best = np.minimum.reduceat(bound, edge)
-        at = np.flatnonzero(bound == best[local])
-        value, _ = exact(at)
-        least = np.full(len(edge), np.inf, np.float32)
-        np.minimum.at(least, local[at], value)
-        at = np.flatnonzero(bound <= least[local])
-        value, t = exact(at)
-        order = np.lexsort((mixed[at], value, local[at]))
-        first = order[np.concatenate(([True], local[at][order][1:] != local[at][order][:-1]))]
-        sample = C.mix(h[at[first]] ^ C.mix(t[first].astype(np.int64).view(U64)))
+            value, t = log_a(log_w[at], r[j][k], c[j][k], beta[j][k])
+            own = local[at]
+            begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            low = np.minimum.reduceat(value, begins)
+            equal = np.flatnonzero(value == np.repeat(low, np.diff(np.concatenate((begins, [len(at)])))))
+            if len(equal) > len(begins):
+                equal = equal[np.lexsort((mixed[at[equal]], own[equal]))]
+                equal = equal[np.concatenate(([True], own[equal][1:] != own[equal][:-1]))]
+            return at[equal], low, t[equal]
+
+        first, t = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.float32)
+        left = np.ones(len(edge), bool)
+        at = np.flatnonzero(c[j][i] <= under)
+        if len(at):
+            found, low, its = least(at)
+            clear = low < bar[local[found]] - SLACK
+            own = local[found][clear]
+            first[own], t[own], left[own] = found[clear], its[clear], False
+        if left.any():
+            first[left], _, t[left] = least(np.flatnonzero(np.repeat(left, sizes)))
+        sample = C.mix(h[first] ^ C.mix(t.astype(np.int64).view(U64)))
         keys[:, j // ROWS] = C.mix(keys[:, j // ROWS] * U64(31) ^ sample)
     return doc[edge], keys
 

@@ -249,3 +249,33 @@ def test_segments_merge_as_in_the_library():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(5000)]
     got = [[i for s in ss for i in s[1]] for ss in agenda(path).encode(texts)]
     assert got == lib.encode(texts)
+
+
+def test_samples_are_least_over_all_shingles_though_few_are_worked_out(monkeypatch):
+    from sedge.llm import common, minhash_dedup
+
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 2, 3, *rng.integers(1, 40, 30), *rng.integers(300, 600, 30)])
+    doc = np.repeat(np.arange(len(sizes)) * 2, sizes)
+    h = rng.integers(0, 1 << 63, len(doc)).astype(np.uint64)
+    # one shingle may weigh more than all others, and all may weigh next to nothing
+    weight = rng.uniform(0.8, 1.6, len(doc)) * np.where(rng.random(len(doc)) < 0.01, 5000, 1)
+    weight[doc == 70] *= 1e-6
+    odd, r, c, beta = minhash_dedup.variables()
+    mixed, log_w = common.mix(h ^ np.uint64(0xD1B54A32D192ED03)), np.log(weight).astype(np.float32)
+    want = []
+    for d in np.unique(doc):
+        at, keys = np.flatnonzero(doc == d), np.zeros(minhash_dedup.BANDS, np.uint64)
+        for j in range(minhash_dedup.BANDS * minhash_dedup.ROWS):
+            i = (mixed[at] * odd[j] >> np.uint64(64 - minhash_dedup.TABLE_BITS)).astype(np.int64)
+            t = np.floor(log_w[at] / r[j][i] + beta[j][i])
+            k = np.lexsort((mixed[at], c[j][i] - r[j][i] * (t - beta[j][i])))[:1]
+            sample = common.mix(h[at][k] ^ common.mix(t[k].astype(np.int64).view(np.uint64)))
+            band = slice(j // minhash_dedup.ROWS, j // minhash_dedup.ROWS + 1)
+            keys[band] = common.mix(keys[band] * np.uint64(31) ^ sample)
+        want.append(keys)
+    counted, log_a = [], minhash_dedup.log_a
+    monkeypatch.setattr(minhash_dedup, "log_a", lambda w, *a: counted.append(len(w)) or log_a(w, *a))
+    which, got = minhash_dedup.signatures(doc, h, weight)
+    assert (which == np.unique(doc)).all() and (got == np.array(want)).all()
+    assert sum(counted) < len(doc) * len(odd) / 4
