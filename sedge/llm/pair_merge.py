@@ -28,10 +28,13 @@ class PairMerge:
         self.shift = np.uint64(61 - max(1, len(items)).bit_length())
         size = 1 << 64 - int(self.shift)
         slots, held = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        for k, at in enumerate(self.slot(self.keys).tolist()):
-            while slots[at] >= 0:
-                at = (at + 1) % size
-            slots[at], held[at] = self.keys[k], self.values[k]
+        left, at = np.arange(len(items)), self.slot(self.keys)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = self.keys[left[free]]
+            placed = slots[at] == self.keys[left]
+            held[at[placed]] = self.values[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) % size
         self.slots, self.held = slots, held
 
     def slot(self, keys: np.ndarray) -> np.ndarray:

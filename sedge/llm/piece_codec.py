@@ -45,7 +45,7 @@ class Agenda:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this vocabulary reaches over a segment's end")
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.names = [str(i) for i in range(n)]
+        self.decimal = pa.array([b"%d " % i for i in range(n)], pa.large_binary())
         # symbols are piece ids; other characters of pieces come after those, all others are negative
         chars = sorted(set("".join(self.ids)) - self.ids.keys())
         symbols = self.ids | {c: n + k for k, c in enumerate(chars)}
@@ -64,28 +64,29 @@ class Agenda:
                     pairs[x, y] = rank[lib.get_score(i)], i
         self.agendas = PairMerge(pairs)
         self.n = n
-        self.seen = WordCache(self.encode_segments, lambda v: 100 + len(v[0]) + 40 * len(v[1]), 192 << 20)
+        self.seen = WordCache(self.encode_segments)
 
-    def encode_segments(self, keys: list[str]) -> list[tuple[str, list[int]]]:
-        """Decimal ids and ids of each segment, checked against the library."""
+    def encode_segments(self, keys: list[str]) -> list[bytes]:
+        """32-bit ids of each segment, checked against the library."""
         texts = [k if k.startswith("\n") else MARK + k for k in keys]
         flat = self.of_char[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
         sizes = np.array([len(t) for t in texts])
-        out: list = [None] * len(keys)
+        out: list[bytes] = [b""] * len(keys)
         for rows, got in self.agendas.merge_all(flat, sizes):
-            ends = (got != END).sum(axis=1)
-            odd = ((got < 0) & (got != END)) | (got >= self.n)
-            for r, ids, end, strange in zip(rows.tolist(), got.tolist(), ends.tolist(), odd.any(axis=1).tolist(), strict=True):
-                ids = ids[:end]
-                if strange:
-                    ids = list(chain.from_iterable(self.fallback(i) for i in ids))
-                out[r] = (" ".join([self.names[i] for i in ids]), ids)
+            full = got != END
+            line, width = got.astype("<i4").tobytes(), 4 * got.shape[1]
+            for k, (r, n) in enumerate(zip(rows.tolist(), (4 * full.sum(axis=1)).tolist(), strict=True)):
+                out[r] = line[k * width : k * width + n]
+            for k in np.flatnonzero((((got < 0) & full) | (got >= self.n)).any(axis=1)).tolist():
+                out[rows[k]] = np.array([*chain.from_iterable(self.fallback(i) for i in got[k][full[k]].tolist())], "<i4").tobytes()
         lead, line = self.library.encode("\n")[:-1], self.library.encode("\n")[-1:]
         # a line end before each segment keeps the library's own mark at the start apart
         got = self.library.encode([("" if k.startswith("\n") else "\n ") + k.replace(MARK, " ") for k in keys], num_threads=1)
-        for k, (_, ids), g in zip(keys, out, got, strict=True):
-            if g != lead + ([] if k.startswith("\n") else line) + ids:
-                raise RuntimeError(f"the agenda and the library differ on {k!r}: {ids} and {g}")
+        before, inside = (np.array(x, "<i4").tobytes() for x in (lead + line, lead))
+        want = [(inside if k.startswith("\n") else before) + ids for k, ids in zip(keys, out, strict=True)]
+        if [4 * len(g) for g in got] != [len(w) for w in want] or np.fromiter(chain.from_iterable(got), "<i4").tobytes() != b"".join(want):
+            k = next(k for k, (g, w) in enumerate(zip(got, want, strict=True)) if np.array(g, "<i4").tobytes() != w)
+            raise RuntimeError(f"the agenda and the library differ on {keys[k]!r}: {np.frombuffer(want[k], '<i4').tolist()} and {got[k]}")
         return out
 
     def fallback(self, symbol: int) -> list[int]:
@@ -106,9 +107,24 @@ class Agenda:
         return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, list[int]]]]:
+        """Of each text's segments: decimal ids, joined by one space, and ids."""
         keys = [self.segments(t) for t in texts]
-        known = self.seen.known_for(chain.from_iterable(keys))
-        return [[known[k] for k in ks] for ks in keys]
+        different = list(dict.fromkeys(chain.from_iterable(keys)))
+        ids = {k: np.frombuffer(v, "<i4").tolist() for k, v in zip(different, self.seen.values(different), strict=True)}
+        return [[(" ".join([str(i) for i in ids[k]]), ids[k]) for k in ks] for ks in keys]
+
+    def encode_whole(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """ids of each text, and those in decimal, each with a space after it."""
+        keys = [self.segments(t) for t in texts]
+        found = pa.array(list(chain.from_iterable(keys)), pa.large_string()).dictionary_encode()
+        different = [k.decode() for k in C.sliced(found.dictionary.cast(pa.large_binary()))]
+        ids = pa.array(self.seen.values(different), pa.large_binary()).take(found.indices)
+        edges = C.offsets(ids)[np.cumsum([0, *map(len, keys)])] // 4
+        flat = np.frombuffer(ids.buffers()[2], "<i4", int(edges[-1])) if edges[-1] else np.zeros(0, np.int32)
+        names = self.decimal.take(pa.array(flat))
+        places, line = C.offsets(names)[edges].tolist(), names.buffers()[2]
+        edges = edges.tolist()
+        return [(flat[a:b].tolist(), line[x:y].to_pybytes().decode() if x < y else "") for a, b, x, y in zip(edges[:-1], edges[1:], places[:-1], places[1:], strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -134,10 +150,10 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
             for at in range(0, b.num_rows, ROWS_OUT):
                 part = b.slice(at, ROWS_OUT)
                 n, ids, decoded = [], [], []
-                for segments in coder.encode([x.as_py() or "" for x in part.column("text")]):
-                    every = [*chain.from_iterable([s[1] for s in segments]), end]
+                for every, line in coder.encode_whole([x.as_py() or "" for x in part.column("text")]):
+                    every.append(end)
                     n.append(len(every))
-                    ids.append(" ".join([*[s[0] for s in segments], str(end)]))
+                    ids.append(line + str(end))
                     decoded.append(lib.decode(every))
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"])

@@ -296,3 +296,12 @@ def test_tokens_are_merged_once_and_long_documents_leave_in_small_batches():
     out = [b.to_pydict() for b in curve_packing.pieces(iter([rows]), 4, 0)]
     assert max(len(b["doc_id"]) for b in out) <= curve_packing.PIECES_OUT
     assert np.frombuffer(b"".join(x for b in out for x in b["ids"]), "<u4").tolist() == ids.tolist()
+
+
+def test_whole_texts_are_coded_by_their_different_segments():
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    coder = piece_codec.agenda(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", "the and the", "  two  spaces \n\n line ▁ mark", "日本 é🙂 the", "\n", " ", "", "and the \x00\t"]
+    want = [lib.encode(t) for t in texts]
+    assert coder.encode_whole(texts) == [(w, "".join([f"{i} " for i in w])) for w in want]
+    assert coder.encode_whole(["", ""]) == [([], "")] * 2 and coder.encode_whole([]) == []
